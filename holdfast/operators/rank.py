@@ -16,77 +16,118 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_PER_RANGE = 20
 LARGEST_SAMPLE = 100_000
-HELPERS = ("_group", "_key", "_chunks", "_chunk", "_range", "_start")
+HELPERS = ("_group", "_key", "_range")
 
 
 def descending(value: Column) -> Column:
-    """Sort key for a numeric column: greatest first, nulls last."""
-    return F.struct(value.isNull().alias("missing"), (-value).alias("negated"))
+    """Sort key for a numeric measure: greatest first, nulls last.
 
+    NaN sorts after every number; measures have null instead of NaN since ingestion.
+    """
+    return F.coalesce(-value.cast("double"), F.lit(float("nan")))
 
-def ascending(value: Column) -> Column:
-    """Sort key for a column: least first, nulls last."""
-    return F.struct(value.isNull().alias("missing"), value.alias("value"))
 
+def _cuts(
+    keyed: DataFrame, tie_starts: bool, width: int, ranges: int, drawn_by: Sequence[str] = ()
+) -> Column:
+    """Range starts, sorted and chunked into arrays of ``width``, as a scalar subquery.
 
-def _cuts(keyed: DataFrame, tie_starts: bool, width: int, ranges: int) -> Column:
-    """Range starts, sorted and chunked into arrays of ``width``, as a scalar subquery."""
+    ``drawn_by`` columns join the hash that picks the sample. Naming the columns
+    that the rest of the plan reads lets Spark reuse one shuffle for both.
+    """
     size = min(ranges * SAMPLE_PER_RANGE, LARGEST_SAMPLE)
     step = max(1, size // ranges)
-    sample = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(size)
+    draw = F.xxhash64("_key", *drawn_by)
+    sample = keyed.orderBy(draw, "_key").limit(size).select("_key")
     cuts = sample.agg(F.sort_array(F.collect_list("_key")).alias("cuts")).select(
         F.filter("cuts", lambda _, i: i % step == step - 1).alias("cuts")
     )
     if tie_starts:
         # The start of a sampled value is a cut too: a range then begins either
-        # at the start of a value or inside one.
-        value_start = F.transform("cuts", _without_id)
-        cuts = cuts.select(
-            F.sort_array(F.array_distinct(F.concat("cuts", value_start))).alias("cuts")
-        )
+        # at the start of a value or inside one. Null ids sort first.
+        fields = sample.schema["_key"].dataType
+        before_ids = F.transform("cuts", lambda k: _blank(k, fields))
+        cuts = cuts.select(F.sort_array(F.array_distinct(F.concat("cuts", before_ids))).alias("cuts"))
     numbers = F.sequence(F.lit(0), F.greatest(F.size("cuts") - 1, F.lit(0)), F.lit(width))
     chunks = F.transform(numbers, lambda i: F.slice("cuts", i + 1, width))
     return cuts.select(F.filter(chunks, lambda c: F.size(c) > 0)).scalar()
 
 
-def _without_id(key: Column) -> Column:
-    nothing = F.lit(None).cast("boolean")
-    return F.struct(
-        key["group"].alias("group"),
-        key["value"].alias("value"),
-        F.when(nothing, key["id"]).alias("id"),
-    )
+def _blank(key: Column, fields: T.StructType) -> Column:
+    """The key without its row id."""
+    return F.struct(*[
+        F.lit(None).cast(f.dataType).alias(f.name) if f.name.startswith("id")
+        else key[f.name].alias(f.name)
+        for f in fields
+    ])
+
+
+def _named(prefix: str, columns: Sequence[Column]) -> list[Column]:
+    return [c.alias(f"{prefix}{i}") for i, c in enumerate(columns)]
+
+
+class _Ranges:
+    """Rows with their sort key and range number, and the totals of every range."""
+
+    def __init__(
+        self,
+        df: DataFrame,
+        by: Sequence[Column],
+        row_id: Sequence[str],
+        within: Sequence[str],
+        tie_starts: bool = False,
+        drawn_by: Sequence[str] = (),
+    ):
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.width = max(2, int(ranges**0.5))
+        self.groups = [f"g{i}" for i in range(len(within))]
+        self.values = [f"k{i}" for i in range(len(by))]
+        # One flat struct: comparing it is several times cheaper than a nested one.
+        parts = _named("g", [F.col(c) for c in within]) + _named("k", by)
+        parts += _named("id", [F.col(c) for c in row_id])
+        group = F.struct(*within) if within else F.struct(F.lit(0).alias("all"))
+        keyed = df.withColumns({"_group": group, "_key": F.struct(*parts)})
+        self.cuts = _cuts(keyed, tie_starts, self.width, ranges, drawn_by)
+        self.rows = self._numbered(keyed)
+
+    def _numbered(self, keyed: DataFrame) -> DataFrame:
+        """Find the chunk first, then the cut in it: 2 * sqrt(ranges) comparisons a row.
+
+        Each step is a column of its own, so that none is computed twice, and the
+        number is never null, so a join on it needs no filter that repeats the search.
+        """
+        key = F.col("_key")
+        keyed = keyed.withColumn("_chunks", self.cuts)
+        keyed = keyed.withColumn(
+            "_chunk", F.size(F.filter("_chunks", lambda c: F.get(c, F.lit(0)) <= key))
+        )
+        inside = F.filter(F.get("_chunks", F.col("_chunk") - 1), lambda cut: cut <= key)
+        number = F.when(F.col("_chunk") > 0, (F.col("_chunk") - 1) * self.width + F.size(inside))
+        return keyed.withColumn("_range", F.coalesce(number, F.lit(0))).drop("_chunks", "_chunk")
 
+    def totals(self, *sums: Column) -> DataFrame:
+        """One row per range and group: at most ranges + groups rows."""
+        return self.rows.groupBy("_range", "_group").agg(*sums)
 
-def _ranged(
-    df: DataFrame,
-    by: Sequence[Column],
-    row_id: Sequence[str],
-    within: Sequence[str],
-    tie_starts: bool = False,
-) -> DataFrame:
-    """Add the key, its range number and the cut at which that range starts."""
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = max(2, int(ranges**0.5))
-    group = F.struct(*within) if within else F.struct(F.lit(0).alias("all"))
-    ident = F.struct(*row_id) if row_id else F.struct(F.lit(0).alias("one"))
-    value = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])
-    keyed = df.withColumn("_group", group).withColumn(
-        "_key", F.struct(F.col("_group").alias("group"), value.alias("value"), ident.alias("id"))
-    )
-    # Find the chunk first, then the cut in it: 2 * sqrt(ranges) comparisons a row.
-    keyed = keyed.withColumn("_chunks", _cuts(keyed, tie_starts, width, ranges)).withColumn(
-        "_chunk", F.size(F.filter("_chunks", lambda c: F.get(c, F.lit(0)) <= F.col("_key")))
-    )
-    passed = F.filter(F.get("_chunks", F.col("_chunk") - 1), lambda cut: cut <= F.col("_key"))
-    in_chunk = F.col("_chunk") > 0
-    return keyed.withColumns({
-        "_range": F.when(in_chunk, (F.col("_chunk") - 1) * width + F.size(passed)).otherwise(0),
-        "_start": F.when(in_chunk, F.element_at(passed, -1)["value"]),
-    })
+    def start_value(self) -> Column:
+        """Of a totals row: the sort value at which its range starts, if in its group."""
+        place = F.col("_range") - 1
+        chunk = F.get("_chunks", F.floor(place / self.width).cast("int"))
+        cut = F.get(chunk, F.pmod(place, F.lit(self.width)))
+        same_group = F.lit(True)
+        for field, name in zip(self.groups, self._group_fields()):
+            same_group = same_group & cut[field].eqNullSafe(F.col("_group")[name])
+        return F.when(same_group, F.struct(*[cut[v].alias(v) for v in self.values]))
+
+    def _group_fields(self) -> list[str]:
+        return self.rows.schema["_group"].dataType.fieldNames()
+
+    def value(self) -> Column:
+        return F.struct(*[F.col("_key")[v].alias(v) for v in self.values])
 
 
 def _before(name: str) -> Column:
@@ -97,10 +138,6 @@ def _before(name: str) -> Column:
     return F.coalesce(F.sum(name).over(earlier), F.lit(0))
 
 
-def _finish(df: DataFrame, extra: Sequence[str]) -> DataFrame:
-    return df.drop(*HELPERS, *extra)
-
-
 def global_rank(
     df: DataFrame,
     name: str,
@@ -112,27 +149,31 @@ def global_rank(
     """Add a 1-based rank over the whole table, or over each ``within`` group.
 
     ``by`` are ascending sort keys. ``ties="first"`` numbers equal values by
-    ``row_id``; ``ties="min"`` gives equal values their lowest position.
+    ``row_id``; ``ties="min"`` gives equal values their lowest position. The
+    input is read three times (sample, range sizes, rows): pass a stored table.
     """
     if ties not in ("first", "min"):
         raise ValueError(f"unknown ties: {ties}")
-    ranged = _ranged(df, by, row_id, within, tie_starts=ties == "min")
-    per_range = ranged.groupBy("_range", "_start", "_group").agg(F.count("*").alias("_rows"))
-    per_range = per_range.withColumn("_offset", _before("_rows"))
+    ranges = _Ranges(df, by, row_id, within, tie_starts=ties == "min")
+    sizes = ranges.totals(F.count("*").alias("_rows")).withColumn("_offset", _before("_rows"))
     if ties == "min":
+        sizes = sizes.withColumn("_chunks", ranges.cuts)
+        sizes = sizes.withColumn("_start", ranges.start_value())
         same_start = Window.partitionBy("_group", "_start")
-        per_range = per_range.withColumn("_first_offset", F.min("_offset").over(same_start))
-    per_range = per_range.drop("_rows", "_start")
+        sizes = sizes.withColumn("_first_offset", F.min("_offset").over(same_start))
+    sizes = sizes.drop("_rows", "_chunks")
 
     in_range = Window.partitionBy("_range", "_group")
+    joined = ranges.rows.join(sizes, ["_range", "_group"])
     if ties == "first":
         position = F.row_number().over(in_range.orderBy("_key")) + F.col("_offset")
     else:
-        local = F.rank().over(in_range.orderBy(F.col("_key")["value"])) + F.col("_offset")
-        continues = F.col("_start") == F.col("_key")["value"]
+        by_value = in_range.orderBy(*[F.col("_key")[v] for v in ranges.values])
+        local = F.rank().over(by_value) + F.col("_offset")
+        continues = F.col("_start") == ranges.value()
         position = F.when(continues, F.col("_first_offset") + 1).otherwise(local)
-    joined = ranged.join(per_range, ["_range", "_group"])
-    return _finish(joined.withColumn(name, position.cast("long")), ["_offset", "_first_offset"])
+    ranked = joined.withColumn(name, position.cast("long"))
+    return ranked.drop(*HELPERS, "_offset", "_first_offset", "_start")
 
 
 def running_totals(
@@ -142,19 +183,16 @@ def running_totals(
 
     The rows must have distinct sort keys inside a group, as after a groupBy.
     """
-    ranged = _ranged(df, by, (), within)
-    per_range = ranged.groupBy("_range", "_group").agg(
-        *[F.sum(t).alias(f"_sum_{t}") for t in totals]
-    )
-    per_range = per_range.select(
+    ranges = _Ranges(df, by, (), within, drawn_by=totals)
+    sums = ranges.totals(*[F.sum(t).alias(f"_sum_{t}") for t in totals])
+    offsets = sums.select(
         "_range", "_group", *[_before(f"_sum_{t}").alias(f"_offset_{t}") for t in totals]
     )
     earlier = Window.partitionBy("_range", "_group").orderBy("_key").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    joined = ranged.join(per_range, ["_range", "_group"])
-    joined = joined.withColumns({
+    joined = ranges.rows.join(offsets, ["_range", "_group"]).withColumns({
         f"{t}_before": F.coalesce(F.sum(t).over(earlier), F.lit(0)) + F.col(f"_offset_{t}")
         for t in totals
     })
-    return _finish(joined, [f"_offset_{t}" for t in totals])
+    return joined.drop(*HELPERS, *[f"_offset_{t}" for t in totals])

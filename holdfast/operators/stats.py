@@ -152,7 +152,6 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def _pearson(a: str, b: str) -> Column:
     """Over the rows where both are known; ``corr`` itself fails on a zero deviation."""
-    x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-    y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
-    spread = F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.stddev_samp(x) * F.stddev_samp(y))
-    return F.try_divide(F.covar_samp(x, y), spread)
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
+    return F.try_divide(F.regr_sxy(y, x), spread)

@@ -24,11 +24,13 @@ from holdfast.operators import (
     stats,
 )
 from holdfast.operators import prescriptions as rx
+from holdfast.plans import training
 from holdfast.plans.workspace import Workspace
 from holdfast.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
+BUILDERS: dict[str, Callable[[Workspace], DataFrame]] = {}
 KEY = ("customer_id", "period")
 
 
@@ -39,6 +41,7 @@ def query(build: Callable[[Workspace], DataFrame]) -> Callable[[Workspace], Data
         return presented(build(Workspace(spark, sf_dir)))
 
     CATALOG[build.__name__] = run
+    BUILDERS[build.__name__] = build
     return build
 
 
@@ -205,12 +208,12 @@ def fill_missing(w: Workspace) -> DataFrame:
 
 @query
 def score_customers(w: Workspace) -> DataFrame:
-    return scoring.score_customers(w.features, scoring.scorecard())
+    return scoring.score_customers(w.current_features, scoring.scorecard())
 
 
 @query
 def score_customers_model_tiers(w: Workspace) -> DataFrame:
-    return scoring.score_customers(w.features, scoring.scorecard(), tiers="model")
+    return scoring.score_customers(w.current_features, scoring.scorecard(), tiers="model")
 
 
 @query
@@ -262,14 +265,14 @@ def revenue_enriched(w: Workspace) -> DataFrame:
 
 @query
 def risk_rank(w: Workspace) -> DataFrame:
-    return scoring.with_risk_rank(w.predictions).select(
+    return scoring.with_risk_rank(w.stored_predictions).select(
         "customer_id", "prediction_date", "churn_probability", "risk_rank"
     )
 
 
 @query
 def revenue_rank(w: Workspace) -> DataFrame:
-    return scoring.with_revenue_rank(w.predictions).select(
+    return scoring.with_revenue_rank(w.stored_predictions).select(
         "customer_id", "prediction_date", "annual_revenue_at_risk", "risk_rank"
     )
 
@@ -370,7 +373,7 @@ def journey_narrative(w: Workspace) -> DataFrame:
 
 @query
 def latest_run(w: Workspace) -> DataFrame:
-    return serving.ranked_run(scoring.with_risk_rank(w.predictions)).select(
+    return serving.ranked_run(scoring.with_risk_rank(w.stored_predictions)).select(
         "customer_id", "prediction_date", "churn_probability", "risk_tier", "risk_rank"
     )
 
@@ -461,8 +464,9 @@ def probability_buckets(w: Workspace) -> DataFrame:
 @query
 def probability_stats(w: Workspace) -> DataFrame:
     p = F.col("churn_probability")
-    median = stats.exact_quantiles(w.predictions, "churn_probability", {"median": 0.5}).scalar()
-    return w.predictions.agg(
+    runs = w.stored_predictions
+    median = stats.exact_quantiles(runs, "churn_probability", {"median": 0.5}).scalar()
+    return runs.agg(
         F.count("*").alias("total"), F.min(p).alias("min_churn"), F.max(p).alias("max_churn"),
         F.avg(p).alias("avg_churn"),
     ).withColumn("median_churn", median)
@@ -563,7 +567,7 @@ def complete_records(w: Workspace) -> DataFrame:
 
 @query
 def describe_features(w: Workspace) -> DataFrame:
-    return eda.describe_features(w.features)
+    return eda.describe_features(w.stored_features)
 
 
 @query
@@ -588,7 +592,7 @@ def features_by_tier(w: Workspace) -> DataFrame:
 
 @query
 def boxplot_stats(w: Workspace) -> DataFrame:
-    return eda.boxplot_stats(w.features)
+    return eda.boxplot_stats(w.stored_features)
 
 
 @query
@@ -604,7 +608,7 @@ def health_by_segment(w: Workspace) -> DataFrame:
 
 @query
 def feature_center(w: Workspace) -> DataFrame:
-    return eda.feature_center(w.features)
+    return eda.feature_center(w.stored_features)
 
 
 @query
@@ -644,7 +648,7 @@ def top_risk_rows(w: Workspace) -> DataFrame:
 
 @query
 def calibration_deciles(w: Workspace) -> DataFrame:
-    return evaluation.calibration_deciles(w.scored)
+    return evaluation.calibration_deciles(w.stored_scores)
 
 
 @query
@@ -659,12 +663,12 @@ def classification_report(w: Workspace) -> DataFrame:
 
 @query
 def roc_curve(w: Workspace) -> DataFrame:
-    return evaluation.roc_curve(w.scored)
+    return evaluation.roc_curve(w.stored_scores)
 
 
 @query
 def roc_auc(w: Workspace) -> DataFrame:
-    return evaluation.roc_auc(w.scored)
+    return evaluation.roc_auc(w.stored_scores)
 
 
 # --- explanations -----------------------------------------------------------------------------------
@@ -672,7 +676,7 @@ def roc_auc(w: Workspace) -> DataFrame:
 
 @query
 def features_with_predictions(w: Workspace) -> DataFrame:
-    return explain.features_with_predictions(features.latest_period(w.features), w.run)
+    return explain.features_with_predictions(w.current_features, w.current_run)
 
 
 @query
@@ -788,3 +792,25 @@ def intervention_history(w: Workspace) -> DataFrame:
 @query
 def today_interventions(w: Workspace) -> DataFrame:
     return actions.today_interventions(w.interventions, w.as_of)
+
+
+# --- trained model: no SQL equivalent -------------------------------------------------------------------
+
+for _build in (
+    training.train_evaluate,
+    training.feature_importance_top,
+    training.score_boosted,
+    training.explain_boosted,
+):
+    query(_build)
+
+
+@query
+def alert_summary(w: Workspace) -> DataFrame:
+    """Totals with the day's last actions as one text."""
+    summary = actions.alert_summary(w.interventions, w.as_of)
+    lines = F.transform(
+        "recent_activity",
+        lambda a: F.concat_ws(" ", a["customer_id"].cast("string"), a["action_type"], a["status"]),
+    )
+    return summary.withColumn("recent_activity", F.array_join(lines, "; "))

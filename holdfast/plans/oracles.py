@@ -962,3 +962,14 @@ SELECT * FROM log ORDER BY timestamp DESC, intervention_id LIMIT 100""")
 add("intervention_history", "SELECT log.* FROM log JOIN worst USING (customer_id)")
 add("today_interventions", """
 SELECT * FROM log WHERE substr(timestamp, 1, 10) = (SELECT max(prediction_date) FROM pred)""")
+add("alert_summary", """
+, today AS (SELECT * FROM log WHERE substr(timestamp, 1, 10) = (SELECT max(prediction_date) FROM pred))
+SELECT count(*) AS total_interventions, count(DISTINCT customer_id) AS unique_customers,
+       count(*) FILTER (WHERE action_type = 'email_alert') AS emails_sent,
+       count(*) FILTER (WHERE action_type = 'retention_flag_created') AS flags_created,
+       (SELECT count(*) FROM today) AS today_interventions,
+       (SELECT max(prediction_date) FROM pred) AS date,
+       (SELECT coalesce(string_agg(customer_id || ' ' || action_type || ' ' || status, '; '
+                        ORDER BY intervention_id), '')
+        FROM (SELECT * FROM today ORDER BY intervention_id LIMIT 10)) AS recent_activity
+FROM log""")

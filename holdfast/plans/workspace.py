@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from holdfast.config import TIER_PRICES
 from holdfast.operators import actions, explain, features, journeys, monitoring, scoring
 from holdfast.operators import prescriptions as rx
-from holdfast.sources import activity
+from holdfast.sources import activity, tables
 
 
 class Workspace:
-    """Each property is an unexecuted plan; nothing is cached or collected."""
+    """Each property is an unexecuted plan; only the ``stored_`` ones run a job,
+    for queries that scan their input several times."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -52,12 +53,33 @@ class Workspace:
 
     @cached_property
     def run(self) -> DataFrame:
-        return monitoring.latest_run(self.predictions)
+        return self.predictions.where(F.col("prediction_date") == self.as_of)
 
     @cached_property
     def scored(self) -> DataFrame:
         return scoring.score_all_periods(self.features, scoring.scorecard())
 
+    @cached_property
+    def stored_features(self) -> DataFrame:
+        return tables.stored(self.features, "features")
+
+    @cached_property
+    def stored_predictions(self) -> DataFrame:
+        return tables.stored(self.predictions, "predictions")
+
+    @cached_property
+    def stored_scores(self) -> DataFrame:
+        return tables.stored(self.scored.select("churned", "churn_probability"), "scores")
+
+    @cached_property
+    def current_features(self) -> DataFrame:
+        """Stored features of the last period: the daily job works on these."""
+        return tables.stored(features.latest_period(self.features), "current-features")
+
+    @cached_property
+    def current_run(self) -> DataFrame:
+        return scoring.predict(self.current_features, scoring.scorecard())
+
     @cached_property
     def prescriptions(self) -> DataFrame:
         return rx.prescribe(self.run)
@@ -68,9 +90,7 @@ class Workspace:
 
     @cached_property
     def explained(self) -> DataFrame:
-        rows = explain.features_with_predictions(
-            features.latest_period(self.features), self.run
-        )
+        rows = explain.features_with_predictions(self.current_features, self.current_run)
         return explain.explain_linear(rows, keep=("customer_id", "churn_probability"))
 
     @cached_property

@@ -7,7 +7,9 @@ lists only those folders. Every write can be repeated without adding rows.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +95,31 @@ def duplicate_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for checkpoints and intermediate tables.
+
+    Local sessions without the setting get a temporary folder; a cluster session
+    without it is an error, since a machine-local folder dies with its machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    return tempfile.mkdtemp(prefix="holdfast-")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a result to the shared folder and read it back.
+
+    For a result that the next steps scan several times: it is computed once, its
+    scans read single columns, and a lost executor costs no recomputation.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jsparkSession.sparkContext().hadoopConfiguration()
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
