@@ -140,7 +140,8 @@ def calibration_deciles(scored: DataFrame, bins: int = 10) -> DataFrame:
     low, width = span["low"], span["high"] - span["low"]
     position = F.ceil(F.try_divide(p - low, width) * bins)
     # A constant probability falls in the middle of a range widened around it.
-    index = F.coalesce(F.greatest(F.lit(1), position), F.lit((bins + 1) // 2)).cast("int")
+    middle = (bins + 1) // 2
+    index = F.when(position.isNull(), middle).otherwise(F.greatest(F.lit(1), position)).cast("int")
     return scored.where(p.isNotNull()).groupBy(index.alias("bin")).agg(
         F.count("*").alias("total_customers"),
         F.sum("churned").alias("churned_count"),
