@@ -43,91 +43,56 @@ def enrich(panel: DataFrame, customers: DataFrame) -> DataFrame:
     return panel.join(customers.select("customer_id", *SEGMENT_COLUMNS), "customer_id")
 
 
-def with_rolling(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+# Each step is a set of column expressions; steps that do not depend on each other
+# are added in one projection.
+
+
+def rolling(cfg: Settings = DEFAULT) -> dict[str, Column]:
     """Means over the current and the preceding rows; raw value when all are missing."""
     last_rows = in_time().rowsBetween(1 - cfg.window_rows, 0)
-    return df.withColumns({
+    return {
         name: F.coalesce(F.avg(source).over(last_rows), F.col(source).cast("double"))
         for name, source in ROLLING.items()
-    })
-
-
-def with_login_trend(
-    df: DataFrame, cfg: Settings = DEFAULT, point_in_time: bool = False
-) -> DataFrame:
-    """Relative change of logins, the last rows against the rows before them.
-
-    By default each customer's *whole* history gives one value, repeated on every
-    row. ``point_in_time=True`` looks back from each row instead, which keeps
-    later months out of training rows.
-    """
-    k = cfg.window_rows
-    number = F.col("_number")
-    history = F.col("_history")
-    df = df.withColumn("_number", F.row_number().over(in_time()))
-    if point_in_time:
-        df = df.withColumns({
-            "_recent": F.avg("logins_per_day").over(in_time().rowsBetween(1 - k, 0)),
-            "_past": F.avg("logins_per_day").over(in_time().rowsBetween(1 - 2 * k, -k)),
-            "_oldest": F.first("logins_per_day").over(
-                in_time().rowsBetween(Window.unboundedPreceding, 0)
-            ),
-            "_history": number,
-        })
-    else:
-        everything = Window.partitionBy("customer_id")
-        df = df.withColumn("_history", F.count("*").over(everything))
-        recent = number > history - k
-        past = (number > history - 2 * k) & (number <= history - k)
-        logins = F.col("logins_per_day")
-        df = df.withColumns({
-            "_recent": F.avg(F.when(recent, logins)).over(everything),
-            "_past": F.avg(F.when(past, logins)).over(everything),
-            "_oldest": F.max(F.when(number == 1, logins)).over(everything),
-        })
-    base = F.when(history >= 2 * k, F.col("_past")).otherwise(F.col("_oldest"))
-    trend = F.when(base > 0, (F.col("_recent") - base) / base).otherwise(0.0)
-    return df.withColumn("logins_trend_3m", trend).drop(
-        "_number", "_history", "_recent", "_past", "_oldest"
-    )
+    }
 
 
-def with_decay(df: DataFrame) -> DataFrame:
+def decay() -> dict[str, Column]:
     """Change of the engagement score since the previous row; 0 when there is none."""
     change = F.col("engagement_score") - F.lag("engagement_score").over(in_time())
-    return df.withColumn("engagement_decay", F.coalesce(change, F.lit(0.0)))
+    return {"engagement_decay": F.coalesce(change, F.lit(0.0))}
 
 
-def with_recency(df: DataFrame) -> DataFrame:
+def recency() -> dict[str, Column]:
     days = F.col("days_since_last_login")
-    return df.withColumns({
+    return {
         "days_inactive": days,
         "recency_category": recency_category(days),
         "recency_score": recency_score(days),
-    })
+    }
 
 
-def with_adoption(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+def adoption(cfg: Settings = DEFAULT) -> dict[str, Column]:
     rate = adoption_rate(F.col("features_used_count"), cfg)
-    return df.withColumns({
+    return {
         "feature_adoption_rate": rate,
         "is_high_adoption": flag(rate > cfg.high_adoption_above),
         "is_low_adoption": flag(rate < cfg.low_adoption_below),
-    })
+    }
 
 
-def with_risk_flags(df: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    flags = {
+def risk_flags(cfg: Settings = DEFAULT) -> dict[str, Column]:
+    """Needs the recency, adoption and trend columns."""
+    tests = {
         "flag_no_login_30days": F.col("days_inactive") >= cfg.inactive_after,
         "flag_no_login_60days": F.col("days_inactive") >= cfg.severely_inactive_after,
         "flag_low_feature_adoption": F.col("feature_adoption_rate") < cfg.low_adoption_below,
         "flag_high_support_tickets": F.col("support_tickets") >= cfg.many_tickets_from,
         "flag_declining_engagement": F.col("logins_trend_3m") < cfg.declining_below,
     }
-    return df.withColumns({name: flag(test) for name, test in flags.items()})
+    return {name: flag(test) for name, test in tests.items()}
 
 
-def with_composites(df: DataFrame, corrected_health: bool = False) -> DataFrame:
+def composites(corrected_health: bool = False) -> dict[str, Column]:
     """Count of four flags (the 60-day one repeats the 30-day one) and the health score."""
     count: Column = F.col(RISK_FLAGS[0])
     for name in RISK_FLAGS[1:]:
@@ -139,7 +104,54 @@ def with_composites(df: DataFrame, corrected_health: bool = False) -> DataFrame:
         F.col("support_tickets"),
         corrected_health,
     )
-    return df.withColumns({"risk_flag_count": count, "health_score": health})
+    return {"risk_flag_count": count, "health_score": health}
+
+
+POSITION = ("_number", "_history")
+
+
+def position() -> dict[str, Column]:
+    """Row number and length of each customer's history, for the trend."""
+    whole = Window.partitionBy("customer_id")
+    return {"_number": F.row_number().over(in_time()), "_history": F.count("*").over(whole)}
+
+
+def _trend(df: DataFrame, cfg: Settings, point_in_time: bool) -> DataFrame:
+    """Add ``logins_trend_3m`` to rows with a position."""
+    k = cfg.window_rows
+    number, history, logins = F.col("_number"), F.col("_history"), F.col("logins_per_day")
+    if point_in_time:
+        history = number
+        so_far = in_time().rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({
+            "_recent": F.avg(logins).over(in_time().rowsBetween(1 - k, 0)),
+            "_past": F.avg(logins).over(in_time().rowsBetween(1 - 2 * k, -k)),
+            "_oldest": F.first(logins).over(so_far),
+        })
+    else:
+        everything = Window.partitionBy("customer_id")
+        recent = number > history - k
+        past = (number > history - 2 * k) & (number <= history - k)
+        df = df.withColumns({
+            "_recent": F.avg(F.when(recent, logins)).over(everything),
+            "_past": F.avg(F.when(past, logins)).over(everything),
+            "_oldest": F.max(F.when(number == 1, logins)).over(everything),
+        })
+    base = F.when(history >= 2 * k, F.col("_past")).otherwise(F.col("_oldest"))
+    trend = F.when(base > 0, (F.col("_recent") - base) / base).otherwise(0.0)
+    return df.withColumn("logins_trend_3m", trend).drop(*POSITION, "_recent", "_past", "_oldest")
+
+
+def with_login_trend(
+    df: DataFrame, cfg: Settings = DEFAULT, point_in_time: bool = False
+) -> DataFrame:
+    """Relative change of logins, the last rows against the rows before them.
+
+    By default each customer's *whole* history gives one value, repeated on every
+    row. ``point_in_time=True`` looks back from each row instead, which keeps
+    later months out of training rows.
+    """
+    return _trend(df.withColumns(position()), cfg, point_in_time)
 
 
 def panel_features(
@@ -149,13 +161,9 @@ def panel_features(
     corrected_health: bool = False,
 ) -> DataFrame:
     """Every derived column, on top of the panel columns."""
-    df = with_rolling(panel, cfg)
-    df = with_login_trend(df, cfg, point_in_time)
-    df = with_decay(df)
-    df = with_recency(df)
-    df = with_adoption(df, cfg)
-    df = with_risk_flags(df, cfg)
-    return with_composites(df, corrected_health)
+    independent = rolling(cfg) | decay() | recency() | adoption(cfg) | position()
+    df = _trend(panel.withColumns(independent), cfg, point_in_time)
+    return df.withColumns(risk_flags(cfg)).withColumns(composites(corrected_health))
 
 
 def feature_matrix(

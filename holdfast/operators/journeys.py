@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.functions.columns import journey_phase, journey_risk, percent
+from holdfast.functions.columns import journey_phase, journey_risk
 from holdfast.operators.features import in_time
 
 AT_RISK = ("Critical", "High")
@@ -94,13 +94,33 @@ def distribution(journeys: DataFrame, column: str) -> DataFrame:
 def narrative(panel: DataFrame) -> DataFrame:
     """Readable history of each customer: status, turning points, table of periods.
 
-    The lists collected per customer have one entry per period.
+    The list collected per customer has one entry per period, so it is bounded by
+    the calendar; everything else is read off that list without another shuffle.
     """
-    rows = timeline(panel)
-    row = F.struct("period", "phase", "phase_changed", "logins_per_day", "features_used",
-                   "engagement_score", "risk")
-    per_customer = rows.groupBy("customer_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    points = F.transform(
+    row = F.struct("period", "phase", "health", "risk", "churned", "phase_changed",
+                   "logins_per_day", "features_used", "engagement_score")
+    told = timeline(panel).groupBy("customer_id").agg(
+        F.sort_array(F.collect_list(row)).alias("rows")
+    )
+    told = told.withColumns({
+        "last": F.element_at("rows", -1),
+        "first_risk": F.array_position(F.transform("rows", lambda r: r["risk"].isin(*AT_RISK)), True),
+    })
+    at_risk = F.col("first_risk") > 0
+    first = F.get("rows", (F.col("first_risk") - 1).cast("int"))["period"]
+    remaining = F.size("rows") - F.col("first_risk") + 1
+    status = F.concat_ws(
+        "\n",
+        F.concat(F.lit("CUSTOMER "), F.col("customer_id").cast("string"), F.lit(" JOURNEY ANALYSIS")),
+        F.concat(F.lit("Phase: "), F.col("last.phase")),
+        F.concat(F.lit("Health: "), F.col("last.health")),
+        F.concat(F.lit("Risk Level: "), F.col("last.risk")),
+        F.concat(F.lit("Churned: "), F.when(F.col("last.churned") == 1, "Yes").otherwise("No")),
+        F.concat(F.lit("Total months observed: "), F.size("rows").cast("string")),
+        F.concat(F.lit("First at-risk: "), F.when(at_risk, first).otherwise("Never")),
+        F.when(at_risk, F.concat(F.lit("Months until churn: "), remaining.cast("string"))),
+    )
+    turns = F.transform(
         F.filter("rows", lambda r: r["phase_changed"] == 1),
         lambda r: F.concat(r["period"], F.lit(": → "), r["phase"]),
     )
@@ -111,34 +131,16 @@ def narrative(panel: DataFrame) -> DataFrame:
             r["engagement_score"].cast("string"), r["phase"], r["risk"],
         ),
     )
-    told = per_customer.select(
+    told = told.select(
         "customer_id",
-        F.concat_ws("\n", points).alias("inflection_points"),
+        status.alias("status"),
+        F.concat_ws("\n", turns).alias("inflection_points"),
         F.concat_ws("\n", lines).alias("detail"),
     )
-    told = told.join(summary(panel), "customer_id")
-    status = F.concat_ws(
-        "\n",
-        F.concat(F.lit("CUSTOMER "), F.col("customer_id").cast("string"), F.lit(" JOURNEY ANALYSIS")),
-        F.concat(F.lit("Phase: "), "current_phase"),
-        F.concat(F.lit("Health: "), "current_health"),
-        F.concat(F.lit("Risk Level: "), "current_risk"),
-        F.concat(F.lit("Churned: "), F.when(F.col("churned"), "Yes").otherwise("No")),
-        F.concat(F.lit("Total months observed: "), F.col("total_months_observed").cast("string")),
-        F.concat(F.lit("First at-risk: "), F.coalesce("first_at_risk_month", F.lit("Never"))),
-        F.concat(F.lit("Months until churn: "), F.col("months_until_churn").cast("string")),
-    )
-    return told.select(
-        "customer_id",
-        status.alias("status"),
-        "inflection_points",
-        F.concat_ws(
-            "\n\n", status, F.concat(F.lit("Inflection Points:\n"), F.col("inflection_points")),
-            F.concat(F.lit("Detailed Journey:\n"), F.col("detail")),
-        ).alias("narrative"),
+    whole = F.concat_ws(
+        "\n\n",
+        "status",
+        F.concat(F.lit("Inflection Points:\n"), "inflection_points"),
+        F.concat(F.lit("Detailed Journey:\n"), "detail"),
     )
-
-
-def churned_text(stats: DataFrame) -> DataFrame:
-    """Statistics with the churned share as text."""
-    return stats.withColumn("churned_share", percent(F.col("churned_share")))
+    return told.withColumn("narrative", whole).drop("detail")

@@ -101,45 +101,51 @@ def boxplot(df: DataFrame, column: str, group: str) -> DataFrame:
     )
 
 
-def histogram(
-    df: DataFrame, column: str, bins: int, group: str | None = None, groups: Sequence = ()
+def histograms(
+    df: DataFrame,
+    columns: Sequence[str],
+    bins: int,
+    group: str | None = None,
+    groups: Sequence = (),
 ) -> DataFrame:
-    """Equal-width counts over the common range of all rows; empty bins are kept.
+    """Equal-width counts of each column over the range of all its rows.
 
-    Bins are closed on the left, the last one on both sides. A constant column
-    gets a range of width one around its value.
+    Bins are closed on the left, the last one on both sides; empty bins are kept.
+    A constant column gets a range of width one around its value. ``groups`` are
+    the values of ``group`` to show, known in advance. What is broadcast has one
+    row per column, or per column, group and bin.
     """
     keep = [group] if group else []
-    values = df.select(*keep, F.col(column).cast("double").alias("value")).where(
-        F.col("value").isNotNull()
+    cells = to_long(df, columns, keep).where(F.col("value").isNotNull())
+    half = F.when(F.min("value") == F.max("value"), 0.5).otherwise(0.0)
+    spans = cells.groupBy("metric").agg(
+        (F.min("value") - half).alias("low"), (F.max("value") + half).alias("high")
     )
-    edges = values.agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    same = F.col("low") == F.col("high")
-    edges = edges.select(
-        F.struct(
-            F.when(same, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
-            F.when(same, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
-        ).alias("edges")
-    )
-    span = edges.scalar()
-    width = (span["high"] - span["low"]) / bins
-    index = F.floor((F.col("value") - span["low"]) / (span["high"] - span["low"]) * bins)
-    counted = values.groupBy(*keep, F.least(index, F.lit(bins - 1)).alias("bin")).agg(
+    width = F.col("high") - F.col("low")
+    index = F.floor((F.col("value") - F.col("low")) / width * bins)
+    placed = cells.join(F.broadcast(spans), "metric")
+    counted = placed.groupBy(*keep, "metric", F.least(index, F.lit(bins - 1)).alias("bin")).agg(
         F.count("*").alias("n")
     )
-    spark = df.sparkSession
-    frame = spark.range(bins).select(F.col("id").alias("bin"))
+    frame = spans.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     if group:
-        frame = frame.select(F.explode(F.array(*[F.lit(g) for g in groups])).alias(group), "bin")
-    return frame.join(F.broadcast(counted), [*keep, "bin"], "left").select(
+        frame = frame.withColumn(group, F.explode(F.array(*[F.lit(g) for g in groups])))
+    return frame.join(F.broadcast(counted), [*keep, "metric", "bin"], "left").select(
+        "metric",
         *keep,
-        F.col("bin").cast("int").alias("bin"),
-        (span["low"] + F.col("bin") * width).alias("bin_start"),
-        (span["low"] + (F.col("bin") + 1) * width).alias("bin_end"),
+        "bin",
+        (F.col("low") + F.col("bin") * (width / bins)).alias("bin_start"),
+        (F.col("low") + (F.col("bin") + 1) * (width / bins)).alias("bin_end"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 
 
+def histogram(
+    df: DataFrame, column: str, bins: int, group: str | None = None, groups: Sequence = ()
+) -> DataFrame:
+    return histograms(df, [column], bins, group, groups).drop("metric")
+
+
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Pearson coefficient of each pair in one scan; null when a column is constant."""
     one = df.agg(*[_pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])

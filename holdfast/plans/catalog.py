@@ -120,7 +120,7 @@ def segment_churn_prior(w: Workspace) -> DataFrame:
 
 @query
 def rolling_3m(w: Workspace) -> DataFrame:
-    return features.with_rolling(w.panel).select(*KEY, *features.ROLLING)
+    return w.panel.withColumns(features.rolling()).select(*KEY, *features.ROLLING)
 
 
 @query
@@ -135,19 +135,19 @@ def login_trend_point_in_time(w: Workspace) -> DataFrame:
 
 @query
 def engagement_decay(w: Workspace) -> DataFrame:
-    return features.with_decay(w.panel).select(*KEY, "engagement_decay")
+    return w.panel.withColumns(features.decay()).select(*KEY, "engagement_decay")
 
 
 @query
 def recency_features(w: Workspace) -> DataFrame:
-    return features.with_recency(w.panel).select(
+    return w.panel.withColumns(features.recency()).select(
         *KEY, "days_inactive", "recency_category", "recency_score"
     )
 
 
 @query
 def adoption_features(w: Workspace) -> DataFrame:
-    return features.with_adoption(w.panel).select(
+    return w.panel.withColumns(features.adoption()).select(
         *KEY, "feature_adoption_rate", "is_high_adoption", "is_low_adoption"
     )
 
@@ -186,21 +186,18 @@ def latest_period(w: Workspace) -> DataFrame:
 @query
 def fill_missing(w: Workspace) -> DataFrame:
     """Three policies side by side on inputs that are unknown for silent periods."""
-    silent = F.col("active_users") == 0
+    known = F.col("active_users") > 0
+    calls, logins = F.when(known, F.col("api_calls")), F.when(known, F.col("logins_per_day"))
     gaps = w.panel.select(
-        *KEY, F.when(~silent, F.col("api_calls")).alias("api_calls"),
-        F.when(~silent, F.col("logins_per_day")).alias("logins_per_day"),
-        "features_used_count",
+        *KEY, "features_used_count", calls.alias("api_calls"), logins.alias("logins_per_day"),
+        calls.alias("api_calls_zero"), logins.alias("logins_zero"),
+        calls.alias("api_calls_mean"), logins.alias("logins_mean"),
     )
-    inputs = ["api_calls", "logins_per_day"]
-    zero = features.fill_with_zero(gaps, inputs).select(
-        *KEY, F.col("api_calls").alias("api_calls_zero"), F.col("logins_per_day").alias("logins_zero")
+    filled = features.fill_with_zero(gaps, ["api_calls_zero", "logins_zero"])
+    filled = features.fill_with_mean(filled, ["api_calls_mean", "logins_mean"])
+    return filled.withColumns(features.rolling()).drop(
+        "api_calls", "logins_per_day", "features_used_count", "features_3m_avg"
     )
-    mean = features.fill_with_mean(gaps, inputs).select(
-        *KEY, F.col("api_calls").alias("api_calls_mean"), F.col("logins_per_day").alias("logins_mean")
-    )
-    rolled = features.with_rolling(gaps).select(*KEY, "api_calls_3m_avg", "logins_3m_avg")
-    return zero.join(mean, list(KEY)).join(rolled, list(KEY))
 
 
 # --- scoring --------------------------------------------------------------------------------
@@ -597,8 +594,13 @@ def boxplot_stats(w: Workspace) -> DataFrame:
 
 @query
 def histogram(w: Workspace) -> DataFrame:
-    """Login distribution of active and churned rows over common bins."""
-    return stats.histogram(w.enriched, "logins_per_day", 20, "churned", (0, 1))
+    """Four engagement metrics of active and churned rows, over common bins per metric."""
+    return stats.histograms(w.enriched, eda.LABEL_METRICS, 20, "churned", (0, 1))
+
+
+@query
+def key_feature_histograms(w: Workspace) -> DataFrame:
+    return stats.histograms(w.features, eda.KEY_FEATURES, 30)
 
 
 @query

@@ -624,28 +624,39 @@ SELECT count(*) AS total, {r('min(churn_probability)', 'min_churn')},
        {r('quantile_cont(churn_probability, 0.5)', 'median_churn')} FROM pred""")
 
 
-def histogram_sql(source: str, column: str, bins: int, group: str = "", groups: str = "") -> str:
-    """Equal-width bins over the common range, empty ones included."""
-    lead, key = (f"{group}, ", f"v.{group} = f.{group} AND ") if group else ("", "")
-    frame = f"range({bins}) t(bin)" + (f" CROSS JOIN (VALUES {groups}) g({group})" if group else "")
-    value = f"CAST({column} AS DOUBLE)"
+def histogram_sql(
+    source: str, columns: tuple[str, ...], bins: int, group: str = "", groups: str = "",
+    metric: bool = True,
+) -> str:
+    """Equal-width bins over each column's range, empty ones included."""
+    lead = f"{group}, " if group else ""
+    cells = " UNION ALL ".join(
+        f"SELECT {lead}'{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM {source}" for c in columns)
+    grid = f" CROSS JOIN (VALUES {groups}) g({group})" if group else ""
+    match = f"v.{group} = f.{group} AND " if group else ""
+    shown = ("f.metric, " if metric else "") + (f"f.{group}, " if group else "")
     return f"""
-, span AS (SELECT min({value}) AS lo, max({value}) AS hi FROM {source}),
+, hcells AS ({cells}),
+spans AS (SELECT metric, min(value) AS lo, max(value) AS hi FROM hcells GROUP BY metric),
 binned AS (
-  SELECT {lead}least({bins - 1}, CAST(floor(({value} - lo) / (hi - lo) * {bins}) AS INTEGER)) AS bin
-  FROM {source} CROSS JOIN span),
-frame AS (SELECT * FROM {frame})
-SELECT {"f." + group + ", " if group else ""}CAST(f.bin AS INTEGER) AS bin,
-       {r(f"any_value(lo) + f.bin * ((any_value(hi) - any_value(lo)) / {bins})", "bin_start")},
-       {r(f"any_value(lo) + (f.bin + 1) * ((any_value(hi) - any_value(lo)) / {bins})", "bin_end")},
-       count(v.bin) AS n
-FROM frame f CROSS JOIN span LEFT JOIN binned v ON {key}v.bin = f.bin
-GROUP BY {"f." + group + ", " if group else ""}f.bin"""
-
-
-add("probability_histogram", histogram_sql("run", "churn_probability", 30))
-add("health_histogram", histogram_sql("run", "health_score", 20))
-add("histogram", histogram_sql("enriched", "logins_per_day", 20, "churned", "(0), (1)"))
+  SELECT {lead}metric, least({bins - 1}, CAST(floor((value - lo) / (hi - lo) * {bins}) AS INTEGER)) AS bin
+  FROM hcells JOIN spans USING (metric)),
+frame AS (SELECT * FROM spans CROSS JOIN range({bins}) t(bin){grid})
+SELECT {shown}CAST(f.bin AS INTEGER) AS bin,
+       {r(f"lo + f.bin * ((hi - lo) / {bins})", "bin_start")},
+       {r(f"lo + (f.bin + 1) * ((hi - lo) / {bins})", "bin_end")}, count(v.bin) AS n
+FROM frame f LEFT JOIN binned v ON {match}v.metric = f.metric AND v.bin = f.bin
+GROUP BY {"f." + group + ", " if group else ""}f.metric, f.bin, lo, hi"""
+
+
+add("probability_histogram", histogram_sql(
+    "run", ("churn_probability",), 30, metric=False))
+add("health_histogram", histogram_sql("run", ("health_score",), 20, metric=False))
+LABEL_METRICS = ("logins_per_day", "features_used_count", "days_since_last_login", "engagement_score")
+KEY_FEATURES = ("days_inactive", "feature_adoption_rate", "health_score", "logins_3m_avg",
+                "logins_trend_3m")
+add("histogram", histogram_sql("enriched", LABEL_METRICS, 20, "churned", "(0), (1)"))
+add("key_feature_histograms", histogram_sql("feat", KEY_FEATURES, 30))
 add("retention_scenarios", f"""
 SELECT format('{{:.0f}}', rate * 100) || '%' AS scenario,
        {r('sum(annual_revenue_at_risk) * rate', 'revenue_saved')}
@@ -774,7 +785,8 @@ SEGMENTED = """
             THEN 'Medium Risk' ELSE 'High Risk' END AS risk_segment FROM feat)
 """
 add("health_by_segment", SEGMENTED + histogram_sql(
-    "segmented", "health_score", 20, "risk_segment", "('Low Risk'), ('Medium Risk'), ('High Risk')"))
+    "segmented", ("health_score",), 20, "risk_segment",
+    "('Low Risk'), ('Medium Risk'), ('High Risk')", metric=False))
 add("feature_center", CELLS + f"""
 SELECT metric, {r('avg(value)', 'mean')}, {r('quantile_cont(value, 0.5)', 'median')} FROM cells
 WHERE metric IN ('days_inactive', 'feature_adoption_rate', 'health_score', 'logins_3m_avg',

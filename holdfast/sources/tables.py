@@ -7,8 +7,11 @@ lists only those folders. Every write can be repeated without adding rows.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Sequence
+from functools import lru_cache
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,7 +109,14 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="holdfast-")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _own_folder(application: str) -> str:
+    folder = tempfile.mkdtemp(prefix=f"holdfast-{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -44,19 +44,19 @@ def test_rolling_means_and_decay(make_panel):
     given = months(1.0, 2.0, None, 6.0)
     for r, score in zip(given, (50.0, 40.0, None, 45.0)):
         r["engagement_score"] = score
-    found = rows(features.with_decay(features.with_rolling(make_panel(*given))), "period")
+    found = rows(make_panel(*given).withColumns(features.rolling() | features.decay()), "period")
     assert [r["logins_3m_avg"] for r in found] == [1.0, 1.5, 1.5, 4.0]
     assert [r["engagement_decay"] for r in found] == [0.0, -10.0, 0.0, 0.0]
 
 
 def test_rolling_falls_back_to_raw_value(make_panel):
-    found = features.with_rolling(make_panel(*months(None))).first()
+    found = make_panel(*months(None)).withColumns(features.rolling()).first()
     assert found["logins_3m_avg"] is None
 
 
 def test_customers_do_not_mix(make_panel):
     panel = make_panel(*months(1.0, 1.0), *months(9.0, 9.0, customer="B"))
-    found = features.with_rolling(panel).groupBy("customer_id").agg(F.max("logins_3m_avg").alias("m"))
+    found = panel.withColumns(features.rolling()).groupBy("customer_id").agg(F.max("logins_3m_avg").alias("m"))
     assert {r["customer_id"]: r["m"] for r in found.collect()} == {"A": 1.0, "B": 9.0}
 
 
