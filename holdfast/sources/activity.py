@@ -25,6 +25,7 @@ INDUSTRY_OF_SEGMENT = {
 }
 NEVER_SEEN = 365
 FEATURE_KINDS = 10
+VALUE_SCALE = 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,16 +37,16 @@ def daily_activity(events: DataFrame) -> DataFrame:
 
     Distinct features are counted with a bit mask: ``k % 10`` takes at most 19
     values, so OR-ing one bit per value replaces a second, distinct aggregation.
-    Values are summed as decimals, which makes the sum independent of row order.
+    Values are summed as whole ten-thousandths: exact, whatever the row order.
     """
-    kind = F.get_json_object("props", "$.k").cast("int") % FEATURE_KINDS
-    bit = F.call_function("shiftleft", F.lit(1), kind + FEATURE_KINDS - 1)
+    bit = F.call_function("shiftleft", F.lit(1), feature_number() % FEATURE_KINDS + FEATURE_KINDS - 1)
+    total = F.sum(F.rint(F.col("value") * VALUE_SCALE).cast("long"))
     known = events.where(F.col("user_id").isNotNull() & F.col("ts").isNotNull())
     return known.groupBy(
         F.col("user_id").alias("customer_id"), F.to_date("ts").alias("day")
     ).agg(
         F.count("*").alias("active_users"),
-        F.round(F.sum(F.col("value").cast("decimal(18,4)"))).cast("long").alias("api_calls"),
+        F.floor((total + VALUE_SCALE // 2) / VALUE_SCALE).alias("api_calls"),
         F.count_if(F.col("event_type").isin("view", "click")).alias("logins"),
         F.bit_count(F.bit_or(bit)).alias("features"),
         F.count_if(F.col("event_type") == "error").alias("tickets"),
@@ -53,6 +54,14 @@ def daily_activity(events: DataFrame) -> DataFrame:
     )
 
 
+def feature_number() -> Column:
+    """``k`` of the event's properties; the JSON parser only sees unusual ones."""
+    bare = F.when(
+        F.startswith("props", F.lit('{"k": ')), F.btrim("props", F.lit('{"k: }')).try_cast("int")
+    )
+    return F.coalesce(bare, F.get_json_object("props", "$.k").cast("int"))
+
+
 def calendar(events: DataFrame) -> Column:
     """Sorted array of the days seen in events: one entry per calendar day."""
     return events.agg(F.sort_array(F.collect_set(F.to_date("ts")))).scalar()
