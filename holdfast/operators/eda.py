@@ -141,9 +141,7 @@ def quality_report(df: DataFrame) -> DataFrame:
 
 
 def label_distribution(df: DataFrame) -> DataFrame:
-    counts = df.groupBy("churned").agg(F.count("*").alias("records"))
-    total = df.agg(F.count("*").alias("n")).scalar()
-    return counts.withColumn("share", F.col("records") / total)
+    return stats.shares(df, "churned", "records")
 
 
 def complete_records(df: DataFrame) -> DataFrame:

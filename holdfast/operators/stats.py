@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.operators.rank import running_totals
@@ -66,6 +66,14 @@ def exact_quantiles(
     )
 
 
+def shares(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows and share of each value. The total is summed over the few grouped rows,
+    so the input is read once."""
+    counts = df.groupBy(column).agg(F.count("*").alias(name))
+    total = F.sum(name).over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn("share", F.col(name) / total)
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, quartiles and max of each column, one row a column."""
     cells = to_long(df, columns)

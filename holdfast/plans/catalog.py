@@ -314,7 +314,8 @@ def top_roi(w: Workspace) -> DataFrame:
 
 @query
 def prescription_lookup(w: Workspace) -> DataFrame:
-    return serving.prescription_lookup(w.prescriptions, serving.top_customer(w.predictions))
+    plans = rx.prescribe(w.stored_run)
+    return serving.prescription_lookup(plans, serving.top_customer(w.stored_predictions))
 
 
 # --- journeys ------------------------------------------------------------------------------------
@@ -352,12 +353,12 @@ def journey_statistics(w: Workspace) -> DataFrame:
 
 @query
 def phase_distribution(w: Workspace) -> DataFrame:
-    return journeys.distribution(w.journeys, "current_phase")
+    return stats.shares(w.journeys, "current_phase", "customers")
 
 
 @query
 def risk_distribution(w: Workspace) -> DataFrame:
-    return journeys.distribution(w.journeys, "current_risk")
+    return stats.shares(w.journeys, "current_risk", "customers")
 
 
 @query
@@ -377,12 +378,14 @@ def latest_run(w: Workspace) -> DataFrame:
 
 @query
 def customer_lookup(w: Workspace) -> DataFrame:
-    return serving.customer_lookup(w.predictions, serving.top_customer(w.predictions))
+    runs = w.stored_predictions
+    return serving.customer_lookup(runs, serving.top_customer(runs))
 
 
 @query
 def customer_360(w: Workspace) -> DataFrame:
-    nested = serving.customer_360(w.predictions, w.prescriptions, w.explanations)
+    plans = rx.prescribe(w.current_run)
+    nested = serving.customer_360(w.current_run, plans, w.explanations)
     return nested.select(
         "customer_id", "prediction.churn_probability", "prediction.risk_tier",
         "prediction.annual_revenue_at_risk", "recommendation.prescribed_action",
@@ -410,7 +413,7 @@ def priority_rank(w: Workspace) -> DataFrame:
 
 @query
 def high_risk_list(w: Workspace) -> DataFrame:
-    return serving.high_risk_list(w.predictions)
+    return serving.high_risk_list(w.stored_predictions)
 
 
 @query
@@ -430,7 +433,7 @@ def display_prescriptions(w: Workspace) -> DataFrame:
 
 @query
 def kpi_summary(w: Workspace) -> DataFrame:
-    return serving.kpi_summary(w.predictions)
+    return serving.kpi_summary(w.stored_predictions)
 
 
 @query
@@ -471,12 +474,12 @@ def probability_stats(w: Workspace) -> DataFrame:
 
 @query
 def probability_histogram(w: Workspace) -> DataFrame:
-    return stats.histogram(w.run, "churn_probability", 30)
+    return stats.histogram(w.current_run, "churn_probability", 30)
 
 
 @query
 def health_histogram(w: Workspace) -> DataFrame:
-    return stats.histogram(w.run, "health_score", 20)
+    return stats.histogram(w.current_run, "health_score", 20)
 
 
 @query
@@ -549,7 +552,7 @@ def segment_summary(w: Workspace) -> DataFrame:
 
 @query
 def quality_report(w: Workspace) -> DataFrame:
-    return eda.quality_report(w.enriched)
+    return eda.quality_report(tables.stored(w.enriched, "enriched"))
 
 
 @query
@@ -595,17 +598,18 @@ def boxplot_stats(w: Workspace) -> DataFrame:
 @query
 def histogram(w: Workspace) -> DataFrame:
     """Four engagement metrics of active and churned rows, over common bins per metric."""
-    return stats.histograms(w.enriched, eda.LABEL_METRICS, 20, "churned", (0, 1))
+    rows = tables.stored(w.enriched.select("churned", *eda.LABEL_METRICS), "label-metrics")
+    return stats.histograms(rows, eda.LABEL_METRICS, 20, "churned", (0, 1))
 
 
 @query
 def key_feature_histograms(w: Workspace) -> DataFrame:
-    return stats.histograms(w.features, eda.KEY_FEATURES, 30)
+    return stats.histograms(w.stored_features, eda.KEY_FEATURES, 30)
 
 
 @query
 def health_by_segment(w: Workspace) -> DataFrame:
-    return eda.health_by_segment(w.features)
+    return eda.health_by_segment(w.stored_features)
 
 
 @query
@@ -695,7 +699,7 @@ def explanation_summary(w: Workspace) -> DataFrame:
 
 @query
 def explanation_detail(w: Workspace) -> DataFrame:
-    return explain.detail(w.explained, serving.top_customer(w.predictions))
+    return explain.detail(w.explained, serving.top_customer(w.stored_predictions))
 
 
 @query
@@ -705,7 +709,7 @@ def explanation_rows(w: Workspace) -> DataFrame:
 
 @query
 def explanation_lookup(w: Workspace) -> DataFrame:
-    return serving.explanation_lookup(w.explanations, serving.top_customer(w.predictions))
+    return serving.explanation_lookup(w.explanations, serving.top_customer(w.stored_predictions))
 
 
 # --- monitoring ---------------------------------------------------------------------------------------
@@ -713,7 +717,7 @@ def explanation_lookup(w: Workspace) -> DataFrame:
 
 @query
 def run_statistics(w: Workspace) -> DataFrame:
-    return monitoring.run_statistics(w.predictions)
+    return monitoring.run_statistics(w.stored_predictions)
 
 
 @query
@@ -738,22 +742,22 @@ def drift(w: Workspace) -> DataFrame:
 
 @query
 def risk_anomaly(w: Workspace) -> DataFrame:
-    return monitoring.risk_anomaly(w.predictions)
+    return monitoring.risk_anomaly(w.stored_predictions)
 
 
 @query
 def monitoring_checks(w: Workspace) -> DataFrame:
-    return monitoring.monitoring_checks(w.predictions)
+    return monitoring.monitoring_checks(w.stored_predictions)
 
 
 @query
 def metric_log(w: Workspace) -> DataFrame:
-    return monitoring.log_metrics(monitoring.monitoring_checks(w.predictions), w.as_of)
+    return monitoring.log_metrics(monitoring.monitoring_checks(w.stored_predictions), w.as_of)
 
 
 @query
 def model_health(w: Workspace) -> DataFrame:
-    return monitoring.model_health(monitoring.monitoring_checks(w.predictions))
+    return monitoring.model_health(monitoring.monitoring_checks(w.stored_predictions))
 
 
 # --- actions --------------------------------------------------------------------------------------------
@@ -761,19 +765,19 @@ def model_health(w: Workspace) -> DataFrame:
 
 @query
 def uncontacted_high_risk(w: Workspace) -> DataFrame:
-    waiting = actions.uncontacted_high_risk(w.run, w.interventions, w.as_of)
+    waiting = actions.uncontacted_high_risk(w.stored_run, w.interventions, w.as_of)
     return actions.by_revenue(waiting)
 
 
 @query
 def alert_messages(w: Workspace) -> DataFrame:
-    waiting = actions.uncontacted_high_risk(w.run, w.interventions, w.as_of)
+    waiting = actions.uncontacted_high_risk(w.stored_run, w.interventions, w.as_of)
     return actions.alert_messages(waiting, w.as_of)
 
 
 @query
 def new_interventions(w: Workspace) -> DataFrame:
-    return actions.trigger(w.predictions, w.interventions, w.as_of).select(*actions.LOG_COLUMNS)
+    return actions.trigger(w.stored_predictions, w.interventions, w.as_of).select(*actions.LOG_COLUMNS)
 
 
 @query
@@ -788,7 +792,7 @@ def recent_interventions(w: Workspace) -> DataFrame:
 
 @query
 def intervention_history(w: Workspace) -> DataFrame:
-    return actions.intervention_history(w.interventions, serving.top_customer(w.predictions))
+    return actions.intervention_history(w.interventions, serving.top_customer(w.stored_predictions))
 
 
 @query

@@ -6,6 +6,7 @@ lost or repeated does not repeat the others and adds no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,11 @@ class Store:
 
 
 class RetentionJob:
-    """The steps of one day. ``strategy`` scores features: scorecard or trained model."""
+    """The steps of one day.
+
+    ``strategy`` scores features, ``explainer`` adds contributions to scored
+    features; both default to the scorecard.
+    """
 
     def __init__(
         self,
@@ -39,9 +44,11 @@ class RetentionJob:
         strategy: scoring.Strategy | None = None,
         tiers: str = "business",
         cfg: Settings = DEFAULT,
+        explainer: Callable[[DataFrame], DataFrame] | None = None,
     ):
         self.spark, self.store, self.cfg, self.tiers = spark, Store(root), cfg, tiers
         self.strategy = strategy or scoring.scorecard(cfg)
+        self.explainer = explainer or self._explain_scorecard
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.store.path(name))
@@ -96,8 +103,10 @@ class RetentionJob:
     def explain(self) -> None:
         run = monitoring.latest_run(self.predictions())
         rows = explain.features_with_predictions(self.read("current_features"), run)
-        explained = explain.explain_linear(rows, self.cfg, ("customer_id", "churn_probability"))
-        tables.replace_table(explain.summary(explained), self.store.path("explanations"))
+        tables.replace_table(explain.summary(self.explainer(rows)), self.store.path("explanations"))
+
+    def _explain_scorecard(self, rows: DataFrame) -> DataFrame:
+        return explain.explain_linear(rows, self.cfg, ("customer_id", "churn_probability"))
 
     def act(self, as_of: Column) -> None:
         path = self.store.path("interventions")

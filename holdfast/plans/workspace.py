@@ -67,6 +67,10 @@ class Workspace:
     def stored_predictions(self) -> DataFrame:
         return tables.stored(self.predictions, "predictions")
 
+    @cached_property
+    def stored_run(self) -> DataFrame:
+        return monitoring.latest_run(self.stored_predictions)
+
     @cached_property
     def stored_scores(self) -> DataFrame:
         return tables.stored(self.scored.select("churned", "churn_probability"), "scores")
@@ -101,7 +105,7 @@ class Workspace:
     def interventions(self) -> DataFrame:
         """A log in mid-day: every earlier run is dealt with, and of the last run
         the accounts on the most expensive plan."""
-        high = self.predictions.where(F.col("risk_tier") == monitoring.HIGH)
+        high = self.stored_predictions.where(F.col("risk_tier") == monitoring.HIGH)
         earlier = F.col("prediction_date") < self.as_of
         first = F.col("monthly_revenue") >= max(TIER_PRICES.values())
         return actions.new_interventions(high.where(earlier | first), F.col("prediction_date"))

@@ -32,8 +32,13 @@ def read_customers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     return nan_to_null(_read(spark, path, schemas.CUSTOMERS, fmt))
 
 
-def read_engagement(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Engagement rows; a CSV whose header lacks a required column is refused."""
+def read_engagement(
+    spark: SparkSession, path: str, fmt: str = "csv", keep_order: bool = False
+) -> DataFrame:
+    """Engagement rows; a file without a required column is refused.
+
+    ``keep_order`` adds ``_order``, the position of the row in its input files.
+    """
     if fmt == "csv":
         header = spark.read.csv(path, header=True).columns
         require_columns(header, schemas.REQUIRED_ENGAGEMENT)
@@ -42,10 +47,17 @@ def read_engagement(spark: SparkSession, path: str, fmt: str = "csv") -> DataFra
             else T.StructField(name, T.StringType())
             for name in header
         ])
-        rows = _read(spark, path, by_name, fmt).select(*schemas.REQUIRED_ENGAGEMENT)
+        rows = _read(spark, path, by_name, fmt)
     else:
         rows = validate_columns(spark.read.format(fmt).load(path))
-    return nan_to_null(rows)
+    order = [file_order().alias("_order")] if keep_order else []
+    return nan_to_null(rows.select(*schemas.REQUIRED_ENGAGEMENT, *order))
+
+
+def read_new_engagement(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Arriving rows, the first of each customer and period in file order."""
+    rows = read_engagement(spark, path, fmt, keep_order=True)
+    return dedup_first(rows, PANEL_KEY, F.col("_order")).drop("_order")
 
 
 def require_columns(present: Sequence[str], required: Sequence[str]) -> None:

@@ -61,6 +61,16 @@ def test_first_row_wins(spark, make_panel):
     assert tables.duplicate_count(marked, tables.PANEL_KEY).first()["removed"] == 1
 
 
+def test_first_row_of_the_files_wins(spark, tmp_path):
+    source = tmp_path / "many"
+    source.mkdir()
+    for name, calls in (("1.csv", 11), ("2.csv", 22)):
+        write_lines(source / name, f"A,2024-01,5,{calls},2.5,3,4,0,61.5,0",
+                    f"A,2024-01,5,{calls + 1},2.5,3,4,0,61.5,0")
+    found = tables.read_new_engagement(spark, str(source)).collect()
+    assert [r["api_calls"] for r in found] == [11]
+
+
 def test_a_hot_key_is_reduced_before_the_shuffle(spark):
     hot = spark.range(10).select(F.lit("A").alias("k"), "id", F.lit("x").alias("v"))
     plan = tables.dedup_first(hot, ["k"], F.col("id"))._jdf.queryExecution().executedPlan().toString()
@@ -149,6 +159,21 @@ def test_stored_predictions_equal_the_query(stored_job, workspace):
     assert stored.exceptAll(wanted).isEmpty() and wanted.exceptAll(stored).isEmpty()
 
 
+def test_daily_job_with_a_trained_model(spark, workspace, tmp_path):
+    from holdfast.__main__ import model_choice
+    from holdfast.operators import ml
+    from holdfast.plans.training import fit_and_store
+
+    root, folder = str(tmp_path / "tables"), str(tmp_path / "boosted")
+    load_inputs(spark, root, workspace.panel, workspace.customers)
+    fit_and_store(workspace.features, folder, ml.BoostingSettings(trees=3, max_depth=3))
+    job = RetentionJob(spark, root, **model_choice(folder))
+    job.run(F.lit("2024-01-30"))
+    explained = job.read("explanations")
+    assert explained.count() == job.read("predictions").count()
+    assert explained.where(F.size(F.split("top_3_features", ", ")) != 3).isEmpty()
+
+
 # --- streams --------------------------------------------------------------------------------
 
 
