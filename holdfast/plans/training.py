@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.operators import evaluation, explain, ml, scoring
-from holdfast.operators.features import latest_period
-from holdfast.operators.monitoring import latest_run
 from holdfast.operators.tree_contributions import explain_trees
 from holdfast.plans.workspace import Workspace
 from holdfast.sources import tables
@@ -21,25 +19,31 @@ def fit_and_store(
 ) -> tuple[PipelineModel, DataFrame]:
     """Split, fit, save; returns the model and its train/test evaluation.
 
-    Features are written next to the model first: boosting scans them often, and
-    a stored table survives lost executors.
+    What is scanned more than once is written next to the model first: boosting
+    and evaluation scan their rows often, and a stored table survives lost executors.
     """
-    tables.replace_table(features, f"{path}/training_rows")
-    stored = features.sparkSession.read.parquet(f"{path}/training_rows")
-    train_rows, test_rows = ml.stratified_split(stored)
-    model = ml.train(train_rows, settings)
+    spark = features.sparkSession
+    tables.replace_table(features, f"{path}/all_rows")
+    parts = ml.stratified_split(spark.read.parquet(f"{path}/all_rows"))
+    rows = {}
+    for name, part in zip(("train", "test"), parts):
+        tables.replace_table(part, f"{path}/{name}_rows")
+        rows[name] = spark.read.parquet(f"{path}/{name}_rows")
+    model = ml.train(rows["train"], settings)
     ml.save_model(model, f"{path}/model")
-    score = scoring.trained(model)
+    for name in rows:
+        scored = scoring.score_all_periods(rows[name], scoring.trained(model))
+        scored = scored.select("churned", "churn_probability", "predicted_churn")
+        tables.replace_table(scored, f"{path}/{name}_scores")
     report = evaluation.evaluate(
-        scoring.score_all_periods(train_rows, score), scoring.score_all_periods(test_rows, score)
+        spark.read.parquet(f"{path}/train_scores"), spark.read.parquet(f"{path}/test_scores")
     )
     return model, report
 
 
-def tree_explanations(features: DataFrame, model: PipelineModel, path: str) -> DataFrame:
-    """Contributions of the stored model for the latest period, next to its predictions."""
-    current = latest_period(features)
-    run = latest_run(scoring.predict(current, scoring.trained(model)))
+def tree_explanations(current: DataFrame, model: PipelineModel, path: str) -> DataFrame:
+    """Contributions of the stored model to its predictions for the latest features."""
+    run = scoring.predict(current, scoring.trained(model))
     rows = explain.features_with_predictions(current, run)
     return explain_trees(rows, model, f"{path}/model", ("customer_id", "churn_probability"))
 
@@ -67,11 +71,11 @@ def feature_importance_top(w: Workspace) -> DataFrame:
 def explain_boosted(w: Workspace) -> DataFrame:
     """Summary texts of the tree model, as the scorecard has them."""
     model, _, path = _fitted(w)
-    return explain.summary(tree_explanations(w.features, model, path))
+    return explain.summary(tree_explanations(w.current_features, model, path))
 
 
 def score_boosted(w: Workspace) -> DataFrame:
     model, _, _ = _fitted(w)
-    ranked = scoring.score_customers(w.features, scoring.trained(model))
+    ranked = scoring.score_customers(w.current_features, scoring.trained(model))
     return ranked.select("customer_id", "prediction_date", "churn_probability", "risk_tier",
                          F.col("risk_rank"))

@@ -169,15 +169,20 @@ def new_rows(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> Dat
 def append_engagement(spark: SparkSession, rows: DataFrame, path: str) -> None:
     """Add rows whose (customer, period) is not stored yet.
 
-    Only the stored key columns are read, and only the periods that arrive:
-    the join on the partition column prunes the other folders.
+    Only the stored key columns are read, and only the folders between the first
+    and the last arriving period.
     """
     rows = validate_columns(rows)
     if table_exists(spark, path):
         schema = T.StructType([rows.schema[c] for c in rows.columns])
-        rows = new_rows(rows, spark.read.schema(schema).parquet(path), PANEL_KEY)
-    rows.repartition("period", F.pmod(F.xxhash64("customer_id"), F.lit(_spread(spark)))) \
-        .write.mode("append").partitionBy("period").parquet(path)
+        first = rows.agg(F.min("period").alias("first")).scalar()
+        last = rows.agg(F.max("period").alias("last")).scalar()
+        stored_keys = spark.read.schema(schema).parquet(path).where(
+            F.col("period").between(first, last)
+        )
+        rows = new_rows(rows, stored_keys, PANEL_KEY)
+    salt = F.pmod(F.xxhash64("customer_id"), F.lit(_spread(spark)))
+    rows.repartition("period", salt).write.mode("append").partitionBy("period").parquet(path)
 
 
 def _spread(spark: SparkSession) -> int:

@@ -114,7 +114,31 @@ def test_the_latest_run_reads_one_folder(spark, make_predictions, tmp_path):
     latest = monitoring.latest_run(spark.read.parquet(path))
     assert latest.first()["churn_probability"] == pytest.approx(0.5)
     scans = latest._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(prediction_date" in scans
+    filters = scans.split("PartitionFilters: [")[1].split("]")[0]
+    assert "prediction_date" in filters and "ubquery" in filters
+
+
+def test_append_reads_only_arriving_periods(spark, make_panel, tmp_path):
+    """The period range of the arriving rows is a partition filter of the stored table."""
+    path = str(tmp_path / "engagement")
+    months = [panel_row("A", f"2024-0{m}") for m in range(1, 7)]
+    tables.append_engagement(spark, make_panel(*months), path)
+    tables.append_engagement(spark, make_panel(panel_row("B", "2024-03"), months[2]), path)
+    stored = spark.read.schema(schemas.ENGAGEMENT).parquet(path)
+    assert stored.count() == 7
+    arriving = make_panel(panel_row("B", "2024-03"))
+    first = arriving.agg(F.min("period").alias("p")).scalar()
+    plan = stored.where(F.col("period").between(first, first))._jdf.queryExecution()
+    filters = plan.executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "ubquery" in filters
+
+
+def test_intermediate_tables_go_to_the_shared_folder(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert tables.shared_folder(spark) == folder
+    kept = tables.stored(spark.range(3), "three")
+    assert all(f.startswith(f"file://{folder}") for f in kept.inputFiles())
+    assert kept.count() == 3
 
 
 # --- the daily job -------------------------------------------------------------------------
