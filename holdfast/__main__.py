@@ -29,6 +29,10 @@ def arguments() -> argparse.Namespace:
     daily.add_argument("--model", help="model folder; the scorecard is used without it")
     daily.add_argument("--tiers", default="business", choices=("business", "model"))
     jobs.add_parser("status", help="the last runs")
+    jobs.add_parser("retier", help="business tiers on all stored runs")
+    export = jobs.add_parser("export", help="one stored table as CSV")
+    export.add_argument("--table", required=True)
+    export.add_argument("--out", required=True)
     summary = jobs.add_parser("summary", help="segment summary as CSV")
     summary.add_argument("--out", required=True)
     return parser.parse_args()
@@ -55,13 +59,19 @@ def main() -> None:
         load_inputs(spark, args.root, arrived, customers)
     elif args.job == "train":
         matrix = features.feature_matrix(job.engagement(), job.read("customers"))
-        fit_and_store(matrix, args.model)[1].show(truncate=False)
+        model, report = fit_and_store(matrix, args.model)
+        tables.export_csv(ml.feature_importance(model, spark), f"{args.model}/feature_importance")
+        report.show(truncate=False)
     elif args.job == "daily":
         choice = model_choice(args.model) if args.model else {}
         scored = RetentionJob(spark, args.root, tiers=args.tiers, **choice)
         scored.run(F.lit(args.as_of).cast("timestamp"))
     elif args.job == "status":
         monitoring.run_status(job.predictions()).show(truncate=False)
+    elif args.job == "retier":
+        job.retier().show(truncate=False)
+    elif args.job == "export":
+        tables.export_csv(job.read(args.table), args.out)
     else:
         enriched = features.enrich(job.engagement(), job.read("customers"))
         tables.export_csv(eda.segment_summary(enriched, job.read("customers")), args.out)

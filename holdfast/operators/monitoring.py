@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from holdfast.config import DEFAULT, RISK_TIERS, Settings
@@ -181,6 +181,22 @@ def monitoring_checks(predictions: DataFrame, cfg: Settings = DEFAULT) -> DataFr
     return drift_row.unionByName(share_row).unionByName(stat_rows).select("m.*")
 
 
+def metric_row(
+    spark: SparkSession,
+    metric_type: str,
+    metric_name: str,
+    metric_value: float,
+    status: str = "normal",
+    alert_flag: bool = False,
+    notes: str = "",
+) -> DataFrame:
+    """A single check result, to be logged next to the others."""
+    schema = ("metric_type string, metric_name string, metric_value double, status string, "
+              "alert_flag boolean, notes string")
+    row = (metric_type, metric_name, float(metric_value), status, alert_flag, notes)
+    return spark.createDataFrame([row], schema)
+
+
 def log_metrics(checks: DataFrame, as_of: Column) -> DataFrame:
     """Metric rows in the stored layout; ids repeat when the same pass is run again."""
     key = F.concat_ws("|", "metric_type", "metric_name", as_of.cast("string"))

@@ -44,8 +44,12 @@ def with_engagement_score(
     logins = F.col("logins_per_day") / F.lit(5.0) * 25
     features = F.col("features_used_count") / F.lit(float(cfg.features_available)) * 25
     recency = (60 - F.col("days_since_last_login")) / F.lit(60.0) * 25
-    score = clip(F.bround(users + logins + features + recency, 1), 0.0, 100.0)
-    return with_period_max(panel, peak).withColumn("engagement_score", score).drop("peak_users")
+    # Rounded in a column of its own: the bounds below would repeat the rounding.
+    rounded = with_period_max(panel, peak).withColumn(
+        "engagement_score", F.bround(users + logins + features + recency, 1)
+    )
+    bounded = clip(F.col("engagement_score"), 0.0, 100.0)
+    return rounded.withColumn("engagement_score", bounded).drop("peak_users")
 
 
 # --- rate tables and the segment prior ------------------------------------------

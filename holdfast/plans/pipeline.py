@@ -15,7 +15,15 @@ from pyspark.sql import types as T
 
 from holdfast import schemas
 from holdfast.config import DEFAULT, Settings
-from holdfast.operators import actions, explain, features, journeys, monitoring, scoring
+from holdfast.operators import (
+    actions,
+    explain,
+    features,
+    journeys,
+    monitoring,
+    scoring,
+    serving,
+)
 from holdfast.operators import prescriptions as rx
 from holdfast.sources import tables
 
@@ -91,6 +99,16 @@ class RetentionJob:
         )
         tables.store_predictions(self.spark, stored, self.store.path("predictions"))
 
+    def retier(self) -> DataFrame:
+        """Give all stored runs business tiers; returns the customers per tier.
+
+        The new rows are staged first, since the table cannot be read while its
+        folders are replaced.
+        """
+        staged = tables.stored(scoring.retier(self.predictions(), self.cfg), "retiered")
+        tables.store_predictions(self.spark, staged, self.store.path("predictions"))
+        return serving.value_counts(self.predictions(), "risk_tier")
+
     def prescribe(self) -> None:
         run = monitoring.latest_run(self.predictions())
         tables.replace_table(rx.prescribe(run), self.store.path("prescriptions"))

@@ -183,6 +183,27 @@ def test_stored_predictions_equal_the_query(stored_job, workspace):
     assert stored.exceptAll(wanted).isEmpty() and wanted.exceptAll(stored).isEmpty()
 
 
+def test_retier_rewrites_every_stored_run(spark, make_predictions, tmp_path):
+    job = RetentionJob(spark, str(tmp_path))
+    runs = [("A", "2024-01-01", 0.25, "Low Risk"), ("B", "2024-01-02", 0.5, "Medium Risk"),
+            ("C", "2024-01-02", 0.1, "Low Risk")]
+    tables.store_predictions(spark, make_predictions(*runs), job.store.path("predictions"))
+    found = {r["risk_tier"]: r["customers"] for r in job.retier().collect()}
+    assert found == {"Low Risk": 1, "Medium Risk": 1, "High Risk": 1}
+    assert job.predictions().count() == 3
+
+
+def test_single_metric_is_logged(spark, tmp_path):
+    row = monitoring.metric_row(spark, "custom", "rows", 3)
+    logged = monitoring.log_metrics(row, F.lit("2024-01-02"))
+    assert logged.schema.fieldNames() == schemas.MODEL_METRICS.fieldNames()
+    path = str(tmp_path / "metrics")
+    for _ in range(2):
+        tables.append_by_id(spark, logged, path, "metric_id")
+    assert spark.read.parquet(path).first()["metric_value"] == 3.0
+    assert spark.read.parquet(path).count() == 1
+
+
 def test_daily_job_with_a_trained_model(spark, workspace, tmp_path):
     from holdfast.__main__ import model_choice
     from holdfast.operators import ml
