@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.sources.tables import shared_folder
@@ -75,12 +75,15 @@ class Store:
         self.written: list[str] = []
         _STORES.append(self)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, **measures: Column) -> DataFrame:
+        """Write ``df`` and return it as read back, its row count and other aggregates in ``measured``."""
         path = f"{self.root}/{name}-{len(self.written)}"
-        df.write.parquet(path)
+        seen = Observation()
+        counted = [m.alias(k) for k, m in measures.items()]
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *counted).write.parquet(path)
         self.written.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out.stored_at = path
+        out.stored_at, out.measured = path, seen.get
         return out
 
     def drop(self, *tables: DataFrame) -> None:

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from holdfast.llm import bpe
-from holdfast.llm.common import table
+from holdfast.llm import bpe, simhash
+from holdfast.llm.common import Store, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -17,9 +18,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Store(spark))
+    return found.select("doc_id", simhash.hex_digits(F.col("bits")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_byte_bpe,
+        op9_simhash_golay,
     )
 }
