@@ -49,6 +49,16 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return condition
 
 
+#: A stored table of at most so many rows is broadcast, if its files are small too.
+SMALL_ROWS, SMALL_BYTES = 1 << 18, 16 << 20
+
+
+def if_small(stored: DataFrame) -> DataFrame:
+    """A stored table with a broadcast hint if its measured size allows; else Spark shuffles it."""
+    small = stored.measured["rows"] <= SMALL_ROWS and stored.file_bytes <= SMALL_BYTES
+    return F.broadcast(stored) if small else stored
+
+
 def pieces(frames: Iterator[pd.DataFrame], column: str = "text") -> Iterator[pd.DataFrame]:
     """Frames cut so that each holds about ``BATCH_BYTES`` of text, or one row."""
     for frame in frames:
@@ -84,17 +94,22 @@ class Store:
         self.written.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.stored_at, out.measured = path, seen.get
+        files, folder = self._folder(path)
+        out.file_bytes = files.getContentSummary(folder).getLength()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for path in (t.stored_at for t in tables if hasattr(t, "stored_at")):
             self._delete(path)
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         conf = self.spark._jsparkSession.sparkContext().hadoopConfiguration()
-        folder.getFileSystem(conf).delete(folder, True)
+        return folder.getFileSystem(conf), folder
+
+    def _delete(self, path: str) -> None:
+        files, folder = self._folder(path)
+        files.delete(folder, True)
 
 
 _STORES: list[Store] = []

@@ -2,4 +2,37 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+SQL: dict[str, str] = {
+    "op7_winnowing": f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, {_LETTERS}) AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, {_LETTERS}) AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS s
+  FROM (
+    SELECT doc_id, w, l.n AS n, unnest(range(1, len(w) - l.n + 2)) AS p
+    FROM d CROSS JOIN (SELECT DISTINCT n FROM iw) l WHERE len(w) >= l.n
+  )
+), m AS (
+  SELECT dw.doc_id, dw.p, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.s = iw.s
+), h AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM m))
+  GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit,
+       coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+}
