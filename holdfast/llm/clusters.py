@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import Store
 
-#: Rounds in which a bucket's rows are compared with one of them only.
-HUB_ROUNDS = 2
-
-
 def _directed(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -54,66 +50,50 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
 
 
 def clusters(
-    keys: DataFrame,
+    nodes: DataFrame,
+    keyed: Callable[[DataFrame], DataFrame],
     screen: Callable[[Column, Column], Column],
     store: Store,
     verify: Callable[[DataFrame], DataFrame] | None = None,
     payload: str = "id",
-    hub_rounds: int = HUB_ROUNDS,
 ) -> DataFrame:
     """``id`` and ``label`` of the ids that link to another; exact for any bucket size.
 
-    ``keys`` has ``key``, ``id`` and ``payload``; an id may have many keys. Two ids link if they
-    share a key, pass ``screen`` on their payloads (inside the join) and survive ``verify``, a
-    function from pairs (``a``, ``b``) to the pairs that hold.
+    ``nodes`` (stored; ``id``, ``payload``) go through ``keyed`` with a column ``label`` added,
+    which returns them once per ``key``. Two ids link if they share a key, pass ``screen`` on
+    their payloads and survive ``verify``, a function from pairs (``a``, ``b``) to the pairs that hold.
 
-    First every bucket's rows are compared with one hub, as many comparisons as rows. A bucket
-    whose rows then have one label needs nothing more. In the others the rows outside the
-    largest label are compared with all rows of another label, so that every pair of
-    different labels is compared: nothing is lost and a bucket of copies never meets itself.
+    First every bucket's rows are compared with one hub, as many comparisons as rows, and the
+    links give labels. Then the rows outside a bucket's largest label are compared with its
+    rows of other labels: every pair of different labels meets, copies of one group do not.
+    Each step shuffles the keys once; a bucket's pairs are never listed, only its links are.
     """
-    rows = ["key", "id"] if payload == "id" else ["key", "id", payload]
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    left = store.put(keys.select(*rows).join(shared, "key"), "keys")
-    links = None
-    labels = None
-    for turn in range(hub_rounds):
-        hub = left.groupBy("key").agg(
-            F.min_by(F.struct("id", F.col(payload).alias("p")), F.xxhash64("id", F.lit(turn))).alias("hub")
-        )
-        pairs = left.join(hub, "key").where(F.col("id") != F.col("hub.id"))
-        pairs = pairs.where(screen(F.col(payload), F.col("hub.p")))
-        links = _more(links, _pairs(pairs, F.col("id"), F.col("hub.id")), verify, store)
-        labels = store.put(components(links, store), "labels")
-        before, left = left, store.put(_open(left.select(*rows), labels), "keys")
-        store.drop(before)
-        if not left.measured["rows"]:
-            return labels
-    if labels is None:
-        left = store.put(left.withColumn("label", F.col("id")), "keys")
-    sizes = left.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    few = left.join(main, "key").where("label <> main").select(
-        "key", F.col("id").alias("a"), F.col(payload).alias("p"), F.col("label").alias("l")
+    bucket = Window.partitionBy("key")
+    other = F.col("id") if payload == "id" else F.col(payload)
+    lone = keyed(nodes.withColumn("label", F.col("id")))
+    hub = lone.withColumn("hub", F.min(F.struct("id", other.alias("p"))).over(bucket))
+    stars = hub.where((F.col("id") != F.col("hub.id")) & screen(other, F.col("hub.p")))
+    links = _checked(_pairs(stars, F.col("id"), F.col("hub.id")), verify, store)
+    labels = store.put(components(links, store), "labels")
+
+    marked = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    marked = store.put(marked, "marked")
+    sized = keyed(marked).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
+    main = F.max(F.struct("n", "label")).over(bucket)["label"]
+    few = sized.withColumn("main", main).where("label <> main").select(
+        "key", F.col("id").alias("a"), other.alias("p"), F.col("label").alias("l")
     )
-    rest = few.join(
-        left, (few.key == left.key) & (few.l != left.label) & screen(few.p, left[payload])
-    )
-    links = _more(links, _pairs(rest, F.col("a"), F.col("id")), verify, store)
-    return components(links, store)
+    every = keyed(marked).select("key", F.col("id").alias("b"), other.alias("q"), F.col("label").alias("m"))
+    met = few.join(every, (few.key == every.key) & (few.l != every.m) & screen(few.p, every.q))
+    rest = _checked(_pairs(met, F.col("a"), F.col("b")), verify, store)
+    if not rest.measured["rows"]:
+        return labels
+    return components(links.union(rest), store)
 
 
 def _pairs(rows: DataFrame, a: Column, b: Column) -> DataFrame:
     return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _more(links: DataFrame | None, pairs: DataFrame, verify, store: Store) -> DataFrame:
-    fresh = store.put(pairs if verify is None else verify(pairs), "links")
-    return fresh if links is None else links.union(fresh)
-
-
-def _open(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one label, with their labels."""
-    marked = keys.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    ends = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return marked.join(ends.where("lo <> hi").select("key"), "key")
+def _checked(pairs: DataFrame, verify, store: Store) -> DataFrame:
+    return store.put(pairs if verify is None else verify(pairs), "links")

@@ -111,12 +111,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def golay_keys(prints: DataFrame) -> DataFrame:
-    """``key``, ``id``: each fingerprint of ``id`` under every pair of its segments' keys."""
+    """``key``, ``id``, ``label``: each fingerprint (``id``) under every pair of its segments' keys."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 1 << 13):
-                ids = frame["id"].to_numpy()[at : at + (1 << 13)]
+            for at in range(0, len(frame), 1 << 12):
+                ids = frame["id"].to_numpy()[at : at + (1 << 12)]
+                labels = frame["label"].to_numpy()[at : at + (1 << 12)]
                 bits = ids.view(np.uint64)
                 segments = [
                     segment_keys(((bits >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64))
@@ -127,10 +128,12 @@ def golay_keys(prints: DataFrame) -> DataFrame:
                     keys = np.sort(pair.reshape(len(ids), -1), axis=1)
                     fresh = np.ones(keys.shape, dtype=bool)
                     fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
-                    owner = np.repeat(ids, keys.shape[1]).reshape(keys.shape)
-                    yield pd.DataFrame({"key": keys[fresh] | (kind << 24), "id": owner[fresh]})
+                    owner = np.repeat(np.arange(len(ids)), keys.shape[1]).reshape(keys.shape)[fresh]
+                    yield pd.DataFrame(
+                        {"key": keys[fresh] | (kind << 24), "id": ids[owner], "label": labels[owner]}
+                    )
 
-    return prints.select("id").mapInPandas(run, "key long, id long")
+    return prints.select("id", "label").mapInPandas(run, "key long, id long, label long")
 
 
 def near(max_bits: int):
@@ -154,7 +157,7 @@ def near_duplicates(
         raise ValueError(f"the keys find up to {MAX_BITS} differing bits")
     marked = store.put(fingerprints(docs, shingle), "fingerprints")
     prints = store.put(marked.groupBy(F.col("bits").alias("id")).agg(F.min("doc_id").alias("first")), "prints")
-    labels = clusters(golay_keys(prints), near(max_bits), store)
+    labels = clusters(prints.select("id"), golay_keys, near(max_bits), store)
     groups = prints.join(labels, "id", "left").select(
         F.col("id").alias("bits"), "first", F.coalesce("label", "id").alias("label")
     )
