@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, decontamination, simhash
+from holdfast.llm import bpe, decontamination, lines, simhash, toxicity
 from holdfast.llm.common import Store, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed(table(spark, sf_dir, "documents"), Store(spark))
+
+
+def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontamination.decontaminate(docs, items, Store(spark)).select(
@@ -36,6 +44,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_byte_bpe,
+        op4_fuzzy_lines,
+        op5_toxic_segments,
         op7_winnowing,
         op9_simhash_golay,
     )
