@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.clusters import clusters
-from holdfast.llm.common import Store, pieces, texts
+from holdfast.llm.common import Store, if_small, pieces, text_key, texts
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: First bit and length of the segments.
@@ -100,14 +100,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``bits`` (the fingerprint as a signed long) of every row; null text: empty."""
+    """``doc_id``, ``key`` and ``bits`` (the fingerprint as a signed long) of every row; null text: empty."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in pieces(frames):
             found = np.array([fingerprint(t, shingle) for t in frame["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "bits": found.view(np.int64)})
+            yield frame[["doc_id", "key"]].assign(bits=found.view(np.int64))
 
-    return texts(docs).mapInPandas(run, "doc_id long, bits long")
+    keyed = texts(docs).withColumn("key", text_key(F.col("text")))
+    return keyed.mapInPandas(run, "doc_id long, key long, bits long")
 
 
 def golay_keys(prints: DataFrame) -> DataFrame:
@@ -143,6 +144,20 @@ def near(max_bits: int):
     return within
 
 
+def _components(docs: DataFrame, store: Store, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Stored ``doc_id``, ``key``, ``bits`` of the rows, and ``bits``, ``label``, ``component_id``."""
+    if not 0 <= max_bits <= MAX_BITS:
+        raise ValueError(f"the keys find up to {MAX_BITS} differing bits")
+    marked = store.put(fingerprints(docs, shingle), "fingerprints")
+    prints = store.put(marked.groupBy(F.col("bits").alias("id")).agg(F.min("doc_id").alias("first")), "prints")
+    labels = clusters(prints.select("id"), golay_keys, near(max_bits), store)
+    groups = prints.join(labels, "id", "left").select(
+        F.col("id").alias("bits"), "first", F.coalesce("label", "id").alias("label")
+    )
+    least = groups.groupBy("label").agg(F.min("first").alias("component_id"))
+    return marked, store.put(groups.join(least, "label").select("bits", "label", "component_id"), "named")
+
+
 def near_duplicates(
     docs: DataFrame, store: Store, shingle: int = SHINGLE, max_bits: int = MAX_BITS
 ) -> DataFrame:
@@ -153,18 +168,37 @@ def near_duplicates(
     reach. Rows without words link like any other. A null ``doc_id`` links too but names no
     component unless no other row is in it; equal rows give equal rows; an empty table none.
     """
-    if not 0 <= max_bits <= MAX_BITS:
-        raise ValueError(f"the keys find up to {MAX_BITS} differing bits")
-    marked = store.put(fingerprints(docs, shingle), "fingerprints")
-    prints = store.put(marked.groupBy(F.col("bits").alias("id")).agg(F.min("doc_id").alias("first")), "prints")
-    labels = clusters(prints.select("id"), golay_keys, near(max_bits), store)
-    groups = prints.join(labels, "id", "left").select(
-        F.col("id").alias("bits"), "first", F.coalesce("label", "id").alias("label")
-    )
-    least = groups.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = store.put(groups.join(least, "label").select("bits", "component_id"), "named")
+    marked, named = _components(docs, store, shingle, max_bits)
     return marked.join(named, "bits").select("doc_id", "bits", "component_id")
 
 
+def representatives(
+    docs: DataFrame, store: Store, shingle: int = SHINGLE, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one for each component of ``near_duplicates``.
+
+    That of the smallest ``doc_id`` stays. Rows that share this ``doc_id`` are told apart by
+    their text's hash; of rows equal in both one stays.
+    """
+    marked, named = _components(docs, store, shingle, max_bits)
+    row = F.struct("doc_id", "key")
+    # null ids come last, so that a component of other rows is never named by one
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    named_here = F.col("component_id").eqNullSafe(F.col("doc_id"))
+    best = marked.join(named, "bits").groupBy("label").agg(
+        F.min_by(row, order).alias("row"), F.count_if(named_here).alias("n")
+    )
+    kept = store.put(best.select(F.col("row.doc_id").alias("kept_id"), F.col("row.key").alias("kept_key"), "n"), "kept")
+    key = text_key(F.coalesce(docs["text"], F.lit("")))
+    match = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (key == F.col("kept_key"))
+    names = [docs[f"`{c}`"] for c in docs.columns]
+    once = docs.join(if_small(kept).where("n = 1"), match).select(*names)
+    if not kept.where("n <> 1").take(1):
+        return once
+    several = docs.join(kept.where("n <> 1"), match)
+    first = several.groupBy("kept_id", "kept_key").agg(F.first(F.struct(*names)).alias("row"))
+    return once.union(first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+
+
 def hex_digits(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
