@@ -2,10 +2,48 @@
 
 from __future__ import annotations
 
+from holdfast.llm.licenses import COVERAGE, TEMPLATES
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+
+def _license_sql() -> str:
+    """Every template tried at every word: phrase in place, coverage at least a half."""
+    parts = []
+    for t in TEMPLATES:
+        key, start = "[" + ", ".join(f"'{x}'" for x in t.key) + "]", t.start
+        inside = " + ".join(
+            f"CASE WHEN p + {i - start} >= 1 AND w[p + {i - start}] = '{x}' THEN 1 ELSE 0 END"
+            for i, x in enumerate(t.words)
+        )
+        parts.append(
+            f"SELECT doc_id, '{t.label}' AS label, {str(t.base).lower()} AS base, p - 1 AS first, "
+            f"({inside}) / {len(t.words)}.0::DOUBLE AS cover "
+            f"FROM p WHERE w[p : p + {len(t.key) - 1}] = {key}"
+        )
+    return f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, {_LETTERS}) AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d
+), m AS (
+  SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE cover >= {COVERAGE}
+), s AS (
+  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word,
+         max(first) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score
+  FROM m GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
 SQL: dict[str, str] = {
+    "op6_license_index": _license_sql(),
     "op7_winnowing": f"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, {_LETTERS}) AS w FROM documents
