@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, decontamination, licenses, lines, simhash, toxicity
+from holdfast.llm import bpe, decontamination, licenses, lines, quality, sharding, simhash, toxicity
 from holdfast.llm.common import Store, table
 
+SHARDS = 40
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -39,11 +40,23 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents"), SHARDS, Store(spark))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Store(spark))
     return found.select("doc_id", simhash.hex_digits(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+def op10_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.filtered(table(spark, sf_dir, "documents"), Store(spark)).drop("failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -52,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_toxic_segments,
         op6_license_index,
         op7_winnowing,
+        op8_best_fit_shards,
         op9_simhash_golay,
+        op10_adaptive_quality,
     )
 }
