@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, decontamination, licenses, lines, quality, sharding, simhash, toxicity
+from holdfast.llm import bpe, ctw, decontamination, licenses, lines, quality, sharding, simhash, toxicity
 from holdfast.llm.common import Store, table
 
 SHARDS = 40
@@ -19,6 +19,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = ctw.held_out(F.col("doc_id"))
+    found = ctw.score(table(spark, sf_dir, "documents"), ~held_out, Store(spark))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.removed(table(spark, sf_dir, "documents"), Store(spark))
 
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_byte_bpe,
+        op3_context_tree,
         op4_fuzzy_lines,
         op5_toxic_segments,
         op6_license_index,
