@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, ctw, decontamination, licenses, lines, quality, sharding, simhash, toxicity
+from holdfast.llm import bpe, ctw, decontamination, licenses, lines, quality, sharding, simhash, substrings, toxicity
 from holdfast.llm.common import Store, table
 
 SHARDS = 40
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"), Store(spark))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -68,6 +72,7 @@ def op10_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_compact_windows,
         op2_byte_bpe,
         op3_context_tree,
         op4_fuzzy_lines,
