@@ -285,8 +285,9 @@ def passages(docs: DataFrame, model: Model, most: float = SIGNIFICANT) -> DataFr
                     expected = model.chance * len(scores) * math.exp(-model.rate * score)
                     if expected <= most:
                         rows.append((doc_id, first, behind, score, expected))
-            out = pd.DataFrame(rows, columns=["doc_id", "first", "behind", "score", "expected"])
-            yield out.astype({"doc_id": "Int64"})
+            if rows:
+                out = pd.DataFrame(rows, columns=["doc_id", "first", "behind", "score", "expected"])
+                yield out.astype({"doc_id": "Int64"})
 
     return texts(docs).mapInPandas(run, "doc_id long, first long, behind long, score double, expected double")
 
