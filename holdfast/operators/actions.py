@@ -18,6 +18,14 @@ LOG_COLUMNS = (
     "recipient_email", "notes",
 )
 
+#: What makes a row of the log, with its day; ids are for display.
+LOG_KEY = ("customer_id", "action_type")
+
+
+def day_of_log(log: DataFrame, as_of: Column) -> DataFrame:
+    """The folder of one day of the stored log."""
+    return log.where(F.col("log_day") == F.date_format(as_of.cast("date"), "yyyy-MM-dd"))
+
 
 def dated(interventions: DataFrame, as_of: Column) -> DataFrame:
     return interventions.where(F.to_date("timestamp") == as_of.cast("date"))

@@ -47,17 +47,16 @@ def churn_by(df: DataFrame, segment: str) -> DataFrame:
 def churn_by_segments(df: DataFrame) -> DataFrame:
     """Churn by size, tier and industry from one scan."""
     sets = [[F.col(s)] for s in SEGMENTS]
-    value = F.coalesce(*SEGMENTS)
-    name = F.when(F.col("company_size").isNotNull(), "company_size").when(
-        F.col("subscription_tier").isNotNull(), "subscription_tier"
-    ).otherwise("industry")
     grouped = df.groupingSets(sets, *SEGMENTS).agg(
+        *[(F.grouping(s) == 0).alias(f"_{s}") for s in SEGMENTS],
         F.sum("churned").alias("churn_count"),
         F.avg("churned").alias("churn_rate"),
         F.count("*").alias("total_records"),
     )
+    # the set that a row belongs to, not its value, names it: a null segment stays null
+    name = F.coalesce(*[F.when(F.col(f"_{s}"), F.lit(s)) for s in SEGMENTS])
     return grouped.select(
-        name.alias("segment"), value.alias("segment_value"),
+        name.alias("segment"), F.coalesce(*SEGMENTS).alias("segment_value"),
         "churn_count", "churn_rate", "total_records",
     )
 
@@ -208,11 +207,10 @@ def boxplot_stats(features: DataFrame) -> DataFrame:
         for column, group in plots
     ]
     long = features.select(F.inline(F.array(*parts)))
-    keyed = long.withColumn("cell", F.concat_ws("|", "plot", "group"))
-    boxes = stats.boxplot(keyed, "value", "cell")
-    return boxes.select(
-        F.split_part("group_value", F.lit("|"), F.lit(1)).alias("plot"),
-        F.split_part("group_value", F.lit("|"), F.lit(2)).alias("group"),
+    # as in the exploration, rows without a group are in no plot
+    known = long.where(F.col("group").isNotNull()).withColumn("cell", F.struct("plot", "group"))
+    return stats.boxplot(known, "value", "cell").select(
+        "group_value.plot", "group_value.group",
         "q1", "median", "q3", "iqr", "whisker_low", "whisker_high", "outliers",
     )
 

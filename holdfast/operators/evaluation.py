@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.config import RISK_TIERS
@@ -126,8 +126,11 @@ def evaluate(train: DataFrame, test: DataFrame, limit: float = 0.05) -> DataFram
         parts.append(
             confusion_metrics(scored).select(F.lit(name).alias("part"), auc.alias("auc"), "*")
         )
-    gap = F.abs(roc_auc(train).select("auc").scalar() - roc_auc(test).select("auc").scalar())
-    return parts[0].unionByName(parts[1]).withColumn("overfitting", gap >= limit)
+    # two rows, one per part: the gap is taken between them
+    both = Window.partitionBy(F.lit(0))
+    gap = F.max("auc").over(both) - F.min("auc").over(both)
+    known = F.count("auc").over(both) == 2
+    return parts[0].unionByName(parts[1]).withColumn("overfitting", F.when(known, gap >= limit))
 
 
 # --- calibration and tiers ---------------------------------------------------------------
@@ -179,7 +182,7 @@ def high_risk_segments(scored: DataFrame, customers: DataFrame) -> DataFrame:
     return grouped.select(
         F.when(F.col("level") == 1, "company_size").when(F.col("level") == 2, "subscription_tier")
         .otherwise("all").alias("segment"),
-        F.coalesce(size, tier, F.lit("all")).alias("segment_value"),
+        F.when(F.col("level") == 3, "all").otherwise(F.coalesce(size, tier)).alias("segment_value"),
         "customers", "churned", "monthly_revenue",
     )
 

@@ -9,6 +9,8 @@ from holdfast.config import DEFAULT, RISK_TIERS, Settings
 from holdfast.functions.columns import decimals, percent, ratio
 
 LOW, MEDIUM, HIGH = RISK_TIERS
+#: What makes a row of the metric log, with its day.
+METRIC_KEY = ("metric_type", "metric_name")
 
 
 def latest_run(predictions: DataFrame) -> DataFrame:
@@ -17,6 +19,15 @@ def latest_run(predictions: DataFrame) -> DataFrame:
     return predictions.where(F.col("prediction_date") == latest)
 
 
+def last_runs(predictions: DataFrame, runs: int) -> DataFrame:
+    """Rows of the last runs. On a partitioned table only their folders are read: the dates come
+    from the folder names, and the oldest of them is a filter known when the scan starts."""
+    dates = predictions.select("prediction_date").distinct()
+    newest = dates.orderBy(F.desc("prediction_date")).limit(runs)
+    oldest = newest.agg(F.min("prediction_date").alias("oldest")).scalar()
+    return predictions.where(F.col("prediction_date") >= oldest)
+
+
 def per_run(predictions: DataFrame) -> DataFrame:
     """One row per run date."""
     p, tier = F.col("churn_probability"), F.col("risk_tier")
@@ -39,7 +50,7 @@ def run_statistics(predictions: DataFrame) -> DataFrame:
 
 def run_history(predictions: DataFrame, runs: int = 5) -> DataFrame:
     """The last runs, newest first."""
-    return predictions.groupBy("prediction_date").agg(
+    return last_runs(predictions, runs).groupBy("prediction_date").agg(
         F.count("*").alias("customer_count"),
         F.count_if(F.col("risk_tier") == HIGH).alias("high_risk_count"),
         F.round(F.avg("churn_probability"), 4).alias("avg_churn_prob"),
@@ -65,7 +76,7 @@ def run_delta(predictions: DataFrame) -> DataFrame:
 
     The unpartitioned window sees two rows: the runs are aggregated and limited first.
     """
-    means = predictions.groupBy("prediction_date").agg(
+    means = last_runs(predictions, 2).groupBy("prediction_date").agg(
         F.avg("churn_probability").alias("avg_churn")
     ).orderBy(F.desc("prediction_date")).limit(2)
     by_run = Window.partitionBy(F.lit(0)).orderBy("prediction_date")
@@ -81,7 +92,7 @@ def run_delta(predictions: DataFrame) -> DataFrame:
 
 def drift(predictions: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Relative change of the mean probability; always one row, also without runs."""
-    means = predictions.groupBy("prediction_date").agg(
+    means = last_runs(predictions, 2).groupBy("prediction_date").agg(
         F.avg("churn_probability").alias("avg_churn")
     ).orderBy(F.desc("prediction_date")).limit(2)
     two = means.agg(
@@ -199,7 +210,8 @@ def metric_row(
 
 def log_metrics(checks: DataFrame, as_of: Column) -> DataFrame:
     """Metric rows in the stored layout; ids repeat when the same pass is run again."""
-    key = F.concat_ws("|", "metric_type", "metric_name", as_of.cast("string"))
+    moment = F.date_format(as_of.cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    key = F.concat_ws("|", "metric_type", "metric_name", moment)
     return checks.select(
         stable_id(key).alias("metric_id"),
         as_of.cast("date").alias("metric_date"),

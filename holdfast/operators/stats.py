@@ -28,8 +28,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one column per probability.
 
-    ``within`` columns must have few distinct values (metric names, segments):
-    the per-group totals are broadcast.
+    ``within`` may have any number of groups: their totals join without a forced broadcast.
     """
     counts = (
         df.where(F.col(value).isNotNull())
@@ -38,7 +37,7 @@ def exact_quantiles(
     placed = running_totals(counts, [F.col(value)], ["n"], within)
     totals = counts.groupBy(*within).agg(F.sum("n").alias("total"))
     if within:
-        placed = placed.join(F.broadcast(totals), list(within))
+        placed = placed.join(totals, list(within))
     else:
         placed = placed.withColumn("total", totals.scalar())
 
@@ -101,7 +100,7 @@ def boxplot(df: DataFrame, column: str, group: str) -> DataFrame:
     low = F.col("q1") - F.col("iqr") * 1.5
     high = F.col("q3") + F.col("iqr") * 1.5
     inside = (F.col("value") >= low) & (F.col("value") <= high)
-    fenced = values.join(F.broadcast(box), "group_value")
+    fenced = values.join(box, "group_value")
     return fenced.groupBy("group_value", "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
@@ -121,7 +120,7 @@ def histograms(
     Bins are closed on the left, the last one on both sides; empty bins are kept.
     A constant column gets a range of width one around its value. ``groups`` are
     the values of ``group`` to show, known in advance. What is broadcast has one
-    row per column, or per column, group and bin.
+    row per column.
     """
     keep = [group] if group else []
     cells = to_long(df, columns, keep).where(F.col("value").isNotNull())
@@ -138,7 +137,7 @@ def histograms(
     frame = spans.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     if group:
         frame = frame.withColumn(group, F.explode(F.array(*[F.lit(g) for g in groups])))
-    return frame.join(F.broadcast(counted), [*keep, "metric", "bin"], "left").select(
+    return frame.join(counted, [*keep, "metric", "bin"], "left").select(
         "metric",
         *keep,
         "bin",

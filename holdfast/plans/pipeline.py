@@ -102,10 +102,16 @@ class RetentionJob:
     def retier(self) -> DataFrame:
         """Give all stored runs business tiers; returns the customers per tier.
 
-        The new rows are staged first, since the table cannot be read while its
-        folders are replaced.
+        Only runs in which a tier changes are rewritten. Their new rows are staged first,
+        since the table cannot be read while its folders are replaced.
         """
-        staged = tables.stored(scoring.retier(self.predictions(), self.cfg), "retiered")
+        stored = self.predictions()
+        new = scoring.retier(stored, self.cfg)
+        old_tier = stored.select("customer_id", "prediction_date", F.col("risk_tier").alias("old_tier"))
+        changed = new.join(old_tier, ["customer_id", "prediction_date"]).where(
+            ~F.col("risk_tier").eqNullSafe(F.col("old_tier"))
+        ).select("prediction_date").distinct()
+        staged = tables.stored(new.join(changed, "prediction_date", "left_semi"), "retiered")
         tables.store_predictions(self.spark, staged, self.store.path("predictions"))
         return serving.value_counts(self.predictions(), "risk_tier")
 
@@ -128,14 +134,18 @@ class RetentionJob:
 
     def act(self, as_of: Column) -> None:
         path = self.store.path("interventions")
-        log = tables.load(self.spark, path, schemas.INTERVENTIONS, self._customer_type())
+        log = actions.day_of_log(
+            tables.load(self.spark, path, schemas.INTERVENTION_LOG, self._customer_type()), as_of
+        )
         new = actions.trigger(self.predictions(), log, as_of)
-        tables.append_by_id(self.spark, new, path, "intervention_id")
+        tables.append_log(self.spark, new, path, actions.LOG_KEY, "timestamp")
 
     def monitor(self, as_of: Column) -> None:
         checks = monitoring.monitoring_checks(self.predictions(), self.cfg)
         logged = monitoring.log_metrics(checks, as_of)
-        tables.append_by_id(self.spark, logged, self.store.path("model_metrics"), "metric_id")
+        tables.append_log(
+            self.spark, logged, self.store.path("model_metrics"), monitoring.METRIC_KEY, "metric_time"
+        )
 
     def run(self, as_of: Column) -> None:
         """All steps of the day. ``as_of`` is the date of the run, never the clock."""

@@ -57,6 +57,9 @@ INTERVENTIONS = T.StructType([
     T.StructField("notes", T.StringType()),
 ])
 
+#: As stored: partitioned by the day of the action.
+INTERVENTION_LOG = T.StructType([*INTERVENTIONS.fields, T.StructField("log_day", T.StringType())])
+
 MODEL_METRICS = T.StructType([
     T.StructField("metric_id", T.LongType(), False),
     T.StructField("metric_date", T.DateType()),

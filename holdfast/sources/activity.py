@@ -25,7 +25,6 @@ INDUSTRY_OF_SEGMENT = {
 }
 NEVER_SEEN = 365
 FEATURE_KINDS = 10
-VALUE_SCALE = 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,16 +36,16 @@ def daily_activity(events: DataFrame) -> DataFrame:
 
     Distinct features are counted with a bit mask: ``k % 10`` takes at most 19
     values, so OR-ing one bit per value replaces a second, distinct aggregation.
-    Values are summed as whole ten-thousandths: exact, whatever the row order.
+    Values are summed as decimals, exact whatever the row order; NaN counts as no value.
     """
     bit = F.call_function("shiftleft", F.lit(1), feature_number() % FEATURE_KINDS + FEATURE_KINDS - 1)
-    total = F.sum(F.rint(F.col("value") * VALUE_SCALE).cast("long"))
+    total = F.coalesce(F.sum(F.col("value").try_cast("decimal(28,12)")), F.lit(0))
     known = events.where(F.col("user_id").isNotNull() & F.col("ts").isNotNull())
     return known.groupBy(
         F.col("user_id").alias("customer_id"), F.to_date("ts").alias("day")
     ).agg(
         F.count("*").alias("active_users"),
-        F.floor((total + VALUE_SCALE // 2) / VALUE_SCALE).alias("api_calls"),
+        F.floor(total + F.lit(0.5).cast("decimal(2,1)")).cast("long").alias("api_calls"),
         F.count_if(F.col("event_type").isin("view", "click")).alias("logins"),
         F.bit_count(F.bit_or(bit)).alias("features"),
         F.count_if(F.col("event_type") == "error").alias("tickets"),
@@ -59,7 +58,7 @@ def feature_number() -> Column:
     bare = F.when(
         F.startswith("props", F.lit('{"k": ')), F.btrim("props", F.lit('{"k: }')).try_cast("int")
     )
-    return F.coalesce(bare, F.get_json_object("props", "$.k").cast("int"))
+    return F.coalesce(bare, F.get_json_object("props", "$.k").try_cast("int"))
 
 
 def calendar(events: DataFrame) -> Column:
@@ -76,12 +75,11 @@ def engagement_panel(events: DataFrame) -> DataFrame:
         F.lead("day").over(by_day).alias("next_day"),
     ).withColumn("calendar", calendar(events))
     # An active day stands for itself and the silent days up to the next active
-    # one; the first also stands for the silent days before it.
-    covered = F.filter(
-        "calendar",
-        lambda d: (F.col("previous_day").isNull() | (d >= F.col("day")))
-        & (F.col("next_day").isNull() | (d < F.col("next_day"))),
-    )
+    # one; the first also stands for the silent days before it. The calendar is sorted
+    # and has all active days, so what a day stands for is a slice of it.
+    start = F.when(F.col("previous_day").isNull(), 1).otherwise(F.array_position("calendar", F.col("day")))
+    behind = F.coalesce(F.array_position("calendar", F.col("next_day")), F.size("calendar") + 1)
+    covered = F.slice("calendar", start.cast("int"), (behind - start).cast("int"))
     days = spans.withColumn("date", F.explode(covered))
     active = F.col("date") == F.col("day")
     idle_hours = F.timestamp_diff("HOUR", F.col("last_ts"), F.date_add("date", 1))

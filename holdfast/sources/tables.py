@@ -11,7 +11,8 @@ import atexit
 import shutil
 import tempfile
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_, or_
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,39 +20,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast import schemas
+from holdfast.sources import files
 
 PANEL_KEY = ("customer_id", "period")
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
-    reader = spark.read.schema(schema)
-    return reader.csv(path, header=True) if fmt == "csv" else reader.format(fmt).load(path)
-
-
 def read_customers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return nan_to_null(_read(spark, path, schemas.CUSTOMERS, fmt))
+    """Customer rows, columns matched by name in every file."""
+    return nan_to_null(files.read(spark, path, schemas.CUSTOMERS, fmt))
 
 
 def read_engagement(
-    spark: SparkSession, path: str, fmt: str = "csv", keep_order: bool = False
+    spark: SparkSession, path: str | Sequence[str], fmt: str = "csv", keep_order: bool = False
 ) -> DataFrame:
-    """Engagement rows; a file without a required column is refused.
+    """Engagement rows, columns matched by name; a file without a required column is refused.
 
     ``keep_order`` adds ``_order``, the position of the row in its input files.
     """
-    if fmt == "csv":
-        header = spark.read.csv(path, header=True).columns
-        require_columns(header, schemas.REQUIRED_ENGAGEMENT)
-        by_name = T.StructType([
-            schemas.ENGAGEMENT[name] if name in schemas.REQUIRED_ENGAGEMENT
-            else T.StructField(name, T.StringType())
-            for name in header
-        ])
-        rows = _read(spark, path, by_name, fmt)
-    else:
-        rows = validate_columns(spark.read.format(fmt).load(path))
     order = [file_order().alias("_order")] if keep_order else []
-    return nan_to_null(rows.select(*schemas.REQUIRED_ENGAGEMENT, *order))
+    return nan_to_null(files.read(spark, path, schemas.ENGAGEMENT, fmt, *order))
 
 
 def read_new_engagement(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -163,28 +150,41 @@ def load(
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return incoming.join(stored.select(*keys), list(keys), "left_anti")
+    """Rows whose key is not stored; a null in a key equals a stored null."""
+    kept = stored.select(*[F.col(k).alias(f"_stored_{k}") for k in keys])
+    equal = [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys]
+    return incoming.join(kept, reduce(and_, equal), "left_anti")
+
+
+def refuse_null_keys(rows: DataFrame, keys: Sequence[str]) -> None:
+    """Fail with their number if rows lack a part of their key; reads the key columns only."""
+    lacking = rows.where(reduce(or_, [F.col(k).isNull() for k in keys])).count()
+    if lacking:
+        raise ValueError(f"{lacking} rows without {' or '.join(keys)}")
 
 
 def append_engagement(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Add rows whose (customer, period) is not stored yet.
+    """Add rows whose (customer, period) is not stored yet; rows without one are refused.
 
     Only the stored key columns are read, and only the folders between the first
     and the last arriving period.
     """
     rows = validate_columns(rows)
+    refuse_null_keys(rows, PANEL_KEY)
     if table_exists(spark, path):
         schema = T.StructType([rows.schema[c] for c in rows.columns])
-        first = rows.agg(F.min("period").alias("first")).scalar()
-        last = rows.agg(F.max("period").alias("last")).scalar()
-        stored_keys = spark.read.schema(schema).parquet(path).where(
-            F.col("period").between(first, last)
-        )
-        rows = new_rows(rows, stored_keys, PANEL_KEY)
+        rows = new_rows(rows, _between(spark.read.schema(schema).parquet(path), rows, "period"), PANEL_KEY)
     salt = F.pmod(F.xxhash64("customer_id"), F.lit(_spread(spark)))
     rows.repartition("period", salt).write.mode("append").partitionBy("period").parquet(path)
 
 
+def _between(stored: DataFrame, arriving: DataFrame, column: str) -> DataFrame:
+    """Stored rows in the arriving range of a partition column; other folders are not read."""
+    first = arriving.agg(F.min(column).alias("first")).scalar()
+    last = arriving.agg(F.max(column).alias("last")).scalar()
+    return stored.where(F.col(column).between(first, last))
+
+
 def _spread(spark: SparkSession) -> int:
     """Tasks that share one period when writing, so one folder is not one task."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
@@ -206,11 +206,18 @@ def store_predictions(spark: SparkSession, predictions: DataFrame, path: str) ->
     )
 
 
-def append_by_id(spark: SparkSession, rows: DataFrame, path: str, key: str) -> None:
-    """Append rows whose deterministic id is not stored yet."""
+def append_log(spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str], time: str) -> None:
+    """Append the rows of a log whose key is not stored for their day yet.
+
+    Rows are told apart by what they say (``keys`` and the day of ``time``), not by their
+    ids, which can collide. The log is partitioned by ``log_day``: only the folders of the
+    arriving days are read.
+    """
+    rows = rows.withColumn("log_day", F.date_format(time, "yyyy-MM-dd"))
     if table_exists(spark, path):
-        rows = new_rows(rows, spark.read.schema(rows.schema).parquet(path), [key])
-    rows.write.mode("append").parquet(path)
+        stored = _between(spark.read.schema(rows.schema).parquet(path), rows, "log_day")
+        rows = new_rows(rows, stored, [*keys, "log_day"])
+    rows.write.mode("append").partitionBy("log_day").parquet(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

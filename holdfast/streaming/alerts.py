@@ -17,9 +17,8 @@ def alert_stream(
 ) -> StreamingQuery:
     """Append an alert and a flag for every high-risk customer of each arriving run.
 
-    Ids are a function of customer, action and run date, and rows whose id is
-    stored are left out, so neither a replayed batch nor a rewritten run alerts
-    twice.
+    Rows whose customer, action and day are logged are left out, so neither a replayed
+    batch nor a rewritten run alerts twice. Only the days at hand are read of the log.
     """
     stored = spark.read.parquet(predictions).schema
     arriving = spark.readStream.schema(stored).parquet(predictions)
@@ -29,15 +28,17 @@ def alert_stream(
             *actions.ALERT_COLUMNS, F.col("prediction_date").cast("string").alias("run")
         ).distinct()
         log = tables.load(
-            spark, interventions, schemas.INTERVENTIONS, batch.schema["customer_id"].dataType
+            spark, interventions, schemas.INTERVENTION_LOG, batch.schema["customer_id"].dataType
         )
-        contacted = log.select(
-            "customer_id", F.date_format("timestamp", "yyyy-MM-dd").alias("day")
+        high = high.withColumn("day", F.date_format(F.to_timestamp("run"), "yyyy-MM-dd"))
+        first = high.agg(F.min("day").alias("first")).scalar()
+        last = high.agg(F.max("day").alias("last")).scalar()
+        contacted = log.where(F.col("log_day").between(first, last)).select(
+            "customer_id", F.col("log_day").alias("day")
         ).distinct()
-        day = F.date_format(F.to_timestamp("run"), "yyyy-MM-dd")
-        waiting = high.withColumn("day", day).join(contacted, ["customer_id", "day"], "left_anti")
+        waiting = high.join(contacted, ["customer_id", "day"], "left_anti")
         new = actions.new_interventions(waiting, F.to_timestamp("run"))
-        tables.append_by_id(spark, new, interventions, "intervention_id")
+        tables.append_log(spark, new, interventions, actions.LOG_KEY, "timestamp")
 
     return (
         arriving.writeStream.foreachBatch(act)

@@ -19,24 +19,19 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Read every file that has not been read yet, then stop.
 
-    Each micro-batch is validated, de-duplicated in file order and appended by
-    key. A batch that is replayed after a failure finds its keys stored already.
+    The stream finds the files; each micro-batch reads its files by name as the batch job
+    does, refuses one without a required column or rows without a key, keeps the first row of
+    a key in file order and appends by key. A replayed batch finds its keys stored already.
     """
     reader = spark.readStream.schema(schemas.ENGAGEMENT).option("header", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    arriving = reader.csv(source).select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-    )
+    arriving = reader.csv(source).select(F.col("_metadata.file_path").alias("file"))
 
     def add(batch: DataFrame, _: int) -> None:
-        rows = batch.withColumn("_line", F.monotonically_increasing_id())
-        rows = tables.nan_to_null(tables.validate_columns(rows))
-        order = F.struct("_file", "_block", "_line")
-        first = tables.dedup_first(rows, tables.PANEL_KEY, order)
-        tables.append_engagement(spark, first.drop("_file", "_block", "_line"), target)
+        names = [row["file"] for row in batch.distinct().toLocalIterator()]
+        if names:
+            tables.append_engagement(spark, tables.read_new_engagement(spark, names), target)
 
     return (
         arriving.writeStream.foreachBatch(add)

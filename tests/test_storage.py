@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from conftest import panel_row, rows
 from pyspark.sql import functions as F
@@ -53,6 +55,97 @@ def test_customers_csv(spark, tmp_path):
     assert tables.read_customers(spark, str(path)).first()["monthly_revenue"] == 500.0
 
 
+def test_files_with_different_column_orders_are_matched_by_name(spark, tmp_path):
+    source = tmp_path / "mixed"
+    source.mkdir()
+    write_lines(source / "1.csv", "A,2024-01,5,100,2.5,3,4,0,61.5,0")
+    turned = HEADER.replace("active_users,api_calls", "api_calls,active_users")
+    (source / "2.csv").write_text(turned + "\nB,2024-01,100,5,2.5,3,4,0,61.5,0\n")
+    found = tables.read_engagement(spark, str(source)).collect()
+    assert {(r["active_users"], r["api_calls"]) for r in found} == {(5, 100)} and len(found) == 2
+    target, mark = str(tmp_path / "stored"), str(tmp_path / "mark")
+    ingest_stream(spark, str(source), target, mark).awaitTermination()
+    stored = spark.read.schema(schemas.ENGAGEMENT).parquet(target)
+    assert {(r["active_users"], r["api_calls"]) for r in stored.collect()} == {(5, 100)}
+
+
+def test_year_month_is_the_period(spark, tmp_path):
+    path = tmp_path / "e.csv"
+    path.write_text(HEADER.replace("period", "year_month") + "\nA,2024-01,5,100,2.5,3,4,0,61.5,0\n")
+    assert tables.read_engagement(spark, str(path)).first()["period"] == "2024-01"
+
+
+def test_the_file_without_a_column_is_named(spark, tmp_path):
+    source = tmp_path / "some"
+    source.mkdir()
+    write_lines(source / "1.csv", "A,2024-01,5,100,2.5,3,4,0,61.5,0")
+    (source / "2.csv").write_text("customer_id,period\nB,2024-01\n")
+    with pytest.raises(ValueError, match=r"churned.*2\.csv"):
+        tables.read_engagement(spark, str(source))
+    mark, target = str(tmp_path / "mark"), tmp_path / "stored"
+    with pytest.raises(Exception, match="Missing required columns"):
+        ingest_stream(spark, str(source), str(target), mark).awaitTermination()
+    assert not target.exists()
+
+
+def test_customers_of_any_column_order(spark, tmp_path):
+    names = ["customer_id", "company_name", "company_size", "subscription_tier", "industry",
+             "monthly_revenue", "contract_length_months", "onboarding_date"]
+    path = tmp_path / "c.csv"
+    path.write_text(",".join(names) + "\nA,Acme,small,Starter,SaaS,500,12,2023-05-01\n")
+    found = tables.read_customers(spark, str(path)).first()
+    assert (found["industry"], found["subscription_tier"], found["contract_length_months"]) == ("SaaS", "Starter", 12)
+
+
+def test_rows_without_a_key_are_refused(spark, tmp_path):
+    path = write_lines(tmp_path / "e.csv", "A,2024-01,5,100,2.5,3,4,0,61.5,0", ",2024-01,,,,,,,,", "B,,,,,,,,,")
+    for _ in range(2):
+        with pytest.raises(ValueError, match="2 rows without"):
+            tables.append_engagement(spark, tables.read_engagement(spark, path), str(tmp_path / "stored"))
+    assert not (tmp_path / "stored").exists()
+
+
+def test_equal_ids_of_different_rows_are_both_logged(spark, tmp_path):
+    path = str(tmp_path / "log")
+    schema = "intervention_id long, customer_id string, action_type string, timestamp timestamp"
+    day = datetime(2024, 1, 2, 8)
+    one = spark.createDataFrame([(1, "A", "email_alert", day), (1, None, "email_alert", day)], schema)
+    two = spark.createDataFrame([(1, "B", "email_alert", day), (9, "A", "email_alert", day)], schema)
+    for rows_ in (one, two, one, two):
+        tables.append_log(spark, rows_, path, actions.LOG_KEY, "timestamp")
+    assert sorted(str(r["customer_id"]) for r in spark.read.parquet(path).collect()) == ["A", "B", "None"]
+
+
+def test_a_day_given_as_text_or_as_time_is_one_day(spark):
+    row = monitoring.metric_row(spark, "custom", "rows", 3)
+    ids = {monitoring.log_metrics(row, d).first()["metric_id"]
+           for d in (F.lit("2024-01-02"), F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-02").cast("date"))}
+    assert len(ids) == 1
+
+
+def test_monitors_read_the_last_runs_only(spark, make_predictions, tmp_path):
+    path = str(tmp_path / "runs")
+    runs = [("A", f"2024-01-0{d}", 0.1 * d, "Low Risk") for d in range(1, 8)]
+    tables.store_predictions(spark, make_predictions(*runs), path)
+    stored = spark.read.parquet(path)
+    for found in (monitoring.run_history(stored), monitoring.drift(stored), monitoring.run_delta(stored)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert any("prediction_date" in p.split("]")[0] and "ubquery" in p.split("]")[0]
+                   for p in plan.split("PartitionFilters: [")[1:])
+    assert monitoring.run_history(stored, 3).count() == 3
+
+
+def test_retier_rewrites_only_runs_with_changes(spark, make_predictions, tmp_path):
+    job = RetentionJob(spark, str(tmp_path))
+    runs = [("A", "2024-01-01", 0.01, "Low Risk"), ("B", "2024-01-02", 0.99, "Low Risk")]
+    tables.store_predictions(spark, make_predictions(*runs), job.store.path("predictions"))
+    folder = tmp_path / "predictions" / "prediction_date=2024-01-01"
+    before = sorted(f.name for f in folder.iterdir())
+    job.retier()
+    assert sorted(f.name for f in folder.iterdir()) == before
+    assert job.predictions().where("customer_id = 'B'").first()["risk_tier"] == "High Risk"
+
+
 def test_first_row_wins(spark, make_panel):
     panel = make_panel(panel_row(api_calls=1), panel_row(api_calls=2), panel_row("B", api_calls=3))
     marked = panel.coalesce(1).withColumn("n", F.monotonically_increasing_id()).repartition(4)
@@ -199,7 +292,7 @@ def test_single_metric_is_logged(spark, tmp_path):
     assert logged.schema.fieldNames() == schemas.MODEL_METRICS.fieldNames()
     path = str(tmp_path / "metrics")
     for _ in range(2):
-        tables.append_by_id(spark, logged, path, "metric_id")
+        tables.append_log(spark, logged, path, monitoring.METRIC_KEY, "metric_time")
     assert spark.read.parquet(path).first()["metric_value"] == 3.0
     assert spark.read.parquet(path).count() == 1
 
