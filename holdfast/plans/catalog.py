@@ -237,9 +237,14 @@ def risk_tier_business(w: Workspace) -> DataFrame:
 
 @query
 def retier(w: Workspace) -> DataFrame:
-    """Stored rows carry model tiers; count them after the switch to business tiers."""
+    """Stored rows carry model tiers and get business tiers."""
     stored = scoring.predict(w.features, scoring.scorecard(), tiers="model")
-    return serving.value_counts(scoring.retier(stored), "risk_tier")
+    return scoring.retier(stored).select("customer_id", "prediction_date", "risk_tier")
+
+
+@query
+def retier_distribution(w: Workspace) -> DataFrame:
+    return serving.value_counts(retier(w), "risk_tier")
 
 
 @query
@@ -363,7 +368,7 @@ def risk_distribution(w: Workspace) -> DataFrame:
 
 @query
 def journey_narrative(w: Workspace) -> DataFrame:
-    return journeys.narrative(w.panel).select("customer_id", "status", "inflection_points")
+    return journeys.narrative(w.panel)
 
 
 # --- serving ---------------------------------------------------------------------------------------
@@ -806,6 +811,11 @@ for _build in (
     training.train_evaluate,
     training.feature_importance_top,
     training.score_boosted,
+    training.score_boosted_ranks,
+    training.stratified_split,
+    training.confusion_boosted,
+    training.importance_total,
+    training.contribution_gap,
     training.explain_boosted,
 ):
     query(_build)

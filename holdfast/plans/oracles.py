@@ -464,7 +464,8 @@ add("predicted_churn", "SELECT customer_id, prediction_date, predicted_churn FRO
 add("risk_tier_model", """
 SELECT customer_id, period AS prediction_date, risk_tier FROM scored""")
 add("risk_tier_business", "SELECT customer_id, prediction_date, risk_tier FROM pred")
-add("retier", "SELECT risk_tier, count(*) AS customers FROM pred GROUP BY risk_tier")
+add("retier", "SELECT customer_id, prediction_date, risk_tier FROM pred")
+add("retier_distribution", "SELECT risk_tier, count(*) AS customers FROM pred GROUP BY risk_tier")
 add("recommendation", "SELECT customer_id, prediction_date, recommendation FROM pred")
 add("revenue_at_risk", f"""
 SELECT customer_id, prediction_date, {rs('revenue_at_risk', 'annual_revenue_at_risk')}
@@ -542,16 +543,25 @@ add("journey_narrative", """
 , points AS (
   SELECT customer_id, string_agg(period || ': → ' || phase, chr(10) ORDER BY period)
            AS inflection_points
-  FROM times WHERE phase_changed = 1 GROUP BY customer_id)
-SELECT customer_id, inflection_points,
-       concat_ws(chr(10), 'CUSTOMER ' || customer_id || ' JOURNEY ANALYSIS',
-         'Phase: ' || current_phase, 'Health: ' || current_health,
-         'Risk Level: ' || current_risk,
-         'Churned: ' || CASE WHEN churned THEN 'Yes' ELSE 'No' END,
-         'Total months observed: ' || total_months_observed,
-         'First at-risk: ' || coalesce(first_at_risk_month, 'Never'),
-         'Months until churn: ' || months_until_churn) AS status
-FROM journeys JOIN points USING (customer_id)""")
+  FROM times WHERE phase_changed = 1 GROUP BY customer_id),
+detail AS (
+  SELECT customer_id, string_agg(concat_ws(' ', period, logins_per_day, features_used,
+           engagement_score, phase, risk), chr(10) ORDER BY period) AS lines
+  FROM times GROUP BY customer_id),
+told AS (
+  SELECT customer_id, inflection_points, lines,
+         concat_ws(chr(10), 'CUSTOMER ' || customer_id || ' JOURNEY ANALYSIS',
+           'Phase: ' || current_phase, 'Health: ' || current_health,
+           'Risk Level: ' || current_risk,
+           'Churned: ' || CASE WHEN churned THEN 'Yes' ELSE 'No' END,
+           'Total months observed: ' || total_months_observed,
+           'First at-risk: ' || coalesce(first_at_risk_month, 'Never'),
+           'Months until churn: ' || months_until_churn) AS status
+  FROM journeys JOIN points USING (customer_id) JOIN detail USING (customer_id))
+SELECT customer_id, inflection_points, status,
+       concat_ws(chr(10) || chr(10), status, 'Inflection Points:' || chr(10) || inflection_points,
+         'Detailed Journey:' || chr(10) || lines) AS narrative
+FROM told""")
 
 # --- serving -----------------------------------------------------------------------------------------
 
@@ -985,3 +995,22 @@ SELECT count(*) AS total_interventions, count(DISTINCT customer_id) AS unique_cu
                         ORDER BY intervention_id), '')
         FROM (SELECT * FROM today ORDER BY intervention_id LIMIT 10)) AS recent_activity
 FROM log""")
+
+# --- the trained model: what must hold whatever the trees are -----------------------------------
+
+add("stratified_split", """
+, sizes AS (SELECT churned, count(*) AS n, CAST(round(count(*) * 0.2) AS BIGINT) AS t FROM feat GROUP BY 1)
+SELECT 'test' AS part, churned, t AS records FROM sizes
+UNION ALL SELECT 'train', churned, n - t FROM sizes""")
+add("confusion_boosted", """
+, sizes AS (SELECT churned, count(*) AS n, CAST(round(count(*) * 0.2) AS BIGINT) AS t FROM feat GROUP BY 1),
+parts AS (SELECT 'test' AS part, churned, t AS k FROM sizes UNION ALL SELECT 'train', churned, n - t FROM sizes)
+SELECT part, CAST(sum(k) AS BIGINT) AS records, CAST(sum(k * churned) AS BIGINT) AS positives,
+       CAST(0 AS BIGINT) AS misread, true AS better_than_chance
+FROM parts GROUP BY part""")
+add("importance_total", "SELECT CAST(22 AS BIGINT) AS inputs, CAST(1.0 AS DOUBLE) AS total")
+add("contribution_gap", """
+SELECT count(*) AS customers, CAST(0.0 AS DOUBLE) AS gap FROM run""")
+add("score_boosted_ranks", """
+SELECT count(*) AS customers, count(*) AS ranks, count(*) AS last_rank, CAST(0 AS BIGINT) AS outside
+FROM run""")

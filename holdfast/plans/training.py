@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from uuid import uuid4
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.operators import evaluation, explain, ml, scoring
@@ -48,34 +49,98 @@ def tree_explanations(current: DataFrame, model: PipelineModel, path: str) -> Da
     return explain_trees(rows, model, f"{path}/model", ("customer_id", "churn_probability"))
 
 
-# --- catalogue entries: few trees, so that a look at the catalogue stays short ---------
+# --- catalogue entries: one fit with the job's own settings per session and data folder -----
 
-SHORT = ml.BoostingSettings(trees=10)
 
-
-def _fitted(w: Workspace) -> tuple[PipelineModel, DataFrame, str]:
+@lru_cache(maxsize=4)
+def _fitted_once(application: str, sf_dir: str) -> str:
+    w = Workspace(SparkSession.getActiveSession(), sf_dir)
     path = f"{tables.shared_folder(w.spark)}/boosting-{uuid4().hex}"
-    model, report = fit_and_store(w.features, path, SHORT)
-    return model, report, path
+    _, report = fit_and_store(w.features, path)
+    tables.replace_table(report, f"{path}/report")
+    return path
+
+
+def _fitted(w: Workspace) -> tuple[PipelineModel, str]:
+    path = _fitted_once(w.spark.sparkContext.applicationId, w.sf_dir)
+    return ml.load_model(f"{path}/model"), path
 
 
 def train_evaluate(w: Workspace) -> DataFrame:
-    return _fitted(w)[1]
+    return w.spark.read.parquet(f"{_fitted(w)[1]}/report")
+
+
+def stratified_split(w: Workspace) -> DataFrame:
+    """Rows of every label in both parts."""
+    _, path = _fitted(w)
+    parts = [
+        w.spark.read.parquet(f"{path}/{part}_rows").select(F.lit(part).alias("part"), "churned")
+        for part in ("train", "test")
+    ]
+    return parts[0].union(parts[1]).groupBy("part", "churned").agg(F.count("*").alias("records"))
+
+
+def confusion_boosted(w: Workspace) -> DataFrame:
+    """Rows of each part that the stored scores and the report's counts agree on."""
+    _, path = _fitted(w)
+    parts = [
+        w.spark.read.parquet(f"{path}/{part}_scores").select(F.lit(part).alias("part"), "*")
+        for part in ("train", "test")
+    ]
+    counts = parts[0].union(parts[1]).groupBy("part").agg(
+        F.count("*").alias("records"),
+        F.sum("churned").cast("bigint").alias("positives"),
+        F.count_if(F.col("predicted_churn") != F.when(F.col("churn_probability") >= 0.5, 1).otherwise(0))
+        .alias("misread"),
+    )
+    report = w.spark.read.parquet(f"{path}/report").select("part", "auc")
+    known = F.col("auc").between(0.5, 1.0).alias("better_than_chance")
+    return counts.join(report, "part").select("part", "records", "positives", "misread", known)
 
 
 def feature_importance_top(w: Workspace) -> DataFrame:
-    model, _, _ = _fitted(w)
+    model, _ = _fitted(w)
     return ml.feature_importance(model, w.spark).limit(15)
 
 
+def importance_total(w: Workspace) -> DataFrame:
+    """Number and sum of all importances."""
+    model, _ = _fitted(w)
+    return ml.feature_importance(model, w.spark).agg(
+        F.count("*").alias("inputs"), F.sum("importance").alias("total")
+    )
+
+
 def explain_boosted(w: Workspace) -> DataFrame:
     """Summary texts of the tree model, as the scorecard has them."""
-    model, _, path = _fitted(w)
+    model, path = _fitted(w)
     return explain.summary(tree_explanations(w.current_features, model, path))
 
 
+def contribution_gap(w: Workspace) -> DataFrame:
+    """Base value and contributions add up to the log-odds of the model's probability."""
+    model, path = _fitted(w)
+    told = tree_explanations(w.current_features, model, path)
+    p = F.col("churn_probability")
+    # Spark's boosting maps a margin m to 1 / (1 + exp(-2 m))
+    total = F.col("base_value") + F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["contribution"])
+    gap = F.round(F.max(F.abs(F.least(F.abs(total - F.log(p / (1 - p))), F.abs(2 * total - F.log(p / (1 - p)))))), 5)
+    return told.agg(F.count("*").alias("customers"), gap.alias("gap"))
+
+
 def score_boosted(w: Workspace) -> DataFrame:
-    model, _, _ = _fitted(w)
+    model, _ = _fitted(w)
     ranked = scoring.score_customers(w.current_features, scoring.trained(model))
     return ranked.select("customer_id", "prediction_date", "churn_probability", "risk_tier",
                          F.col("risk_rank"))
+
+
+def score_boosted_ranks(w: Workspace) -> DataFrame:
+    """Every customer of the last run has a probability and a rank of its own."""
+    ranked = score_boosted(w)
+    return ranked.agg(
+        F.count("*").alias("customers"),
+        F.countDistinct("risk_rank").alias("ranks"),
+        F.max("risk_rank").cast("bigint").alias("last_rank"),
+        F.count_if(~F.col("churn_probability").between(0, 1)).alias("outside"),
+    )
