@@ -117,7 +117,8 @@ def position() -> dict[str, Column]:
 
 
 def _trend(df: DataFrame, cfg: Settings, point_in_time: bool) -> DataFrame:
-    """Add ``logins_trend_3m`` to rows with a position."""
+    """Add ``logins_trend_3m`` to rows with a position. Rows that are only the end of a history
+    bring its first logins in ``_oldest``."""
     k = cfg.window_rows
     number, history, logins = F.col("_number"), F.col("_history"), F.col("logins_per_day")
     if point_in_time:
@@ -135,7 +136,8 @@ def _trend(df: DataFrame, cfg: Settings, point_in_time: bool) -> DataFrame:
         df = df.withColumns({
             "_recent": F.avg(F.when(recent, logins)).over(everything),
             "_past": F.avg(F.when(past, logins)).over(everything),
-            "_oldest": F.max(F.when(number == 1, logins)).over(everything),
+            "_oldest": F.col("_oldest") if "_oldest" in df.columns
+            else F.max(F.when(number == 1, logins)).over(everything),
         })
     base = F.when(history >= 2 * k, F.col("_past")).otherwise(F.col("_oldest"))
     trend = F.when(base > 0, (F.col("_recent") - base) / base).otherwise(0.0)
@@ -166,6 +168,15 @@ def panel_features(
     return df.withColumns(risk_flags(cfg)).withColumns(composites(corrected_health))
 
 
+def features_of_last_rows(rows: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Every derived column of rows that end their customer's history, right for the last ones.
+
+    The rows have ``_number``, ``_history`` and ``_oldest`` and reach back as far as the windows do.
+    """
+    df = _trend(rows.withColumns(rolling(cfg) | decay() | recency() | adoption(cfg)), cfg, False)
+    return df.withColumns(risk_flags(cfg)).withColumns(composites())
+
+
 def feature_matrix(
     panel: DataFrame, customers: DataFrame, cfg: Settings = DEFAULT, **options: bool
 ) -> DataFrame:

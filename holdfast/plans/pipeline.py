@@ -18,11 +18,10 @@ from holdfast.config import DEFAULT, Settings
 from holdfast.operators import (
     actions,
     explain,
-    features,
-    journeys,
     monitoring,
     scoring,
     serving,
+    state,
 )
 from holdfast.operators import prescriptions as rx
 from holdfast.sources import tables
@@ -82,10 +81,41 @@ class RetentionJob:
 
     # --- steps ---------------------------------------------------------------------
 
+    def update_state(self) -> None:
+        """Bring the customers' state up to the last stored period.
+
+        Reads the new periods only, or everything if there is no state yet or rows have
+        arrived for periods that it has passed.
+        """
+        path, panel = self.store.path("customer_state"), self.engagement()
+        latest = panel.agg(F.max("period")).first()[0]
+        if latest is None:
+            raise ValueError("no engagement has been stored")
+        known = self._state_until()
+        old = self.state() if known else None
+        if old is not None and state.covers(old, panel, known):
+            newer = panel.where(F.col("period") > known)
+            new = state.extend(old, newer, self.cfg) if latest > known else None
+        else:
+            new = state.build(panel, self.cfg)
+        if new is not None:
+            tables.replace_table(new, f"{path}/until={latest}")
+            tables.keep_only(self.spark, path, f"until={latest}")
+
+    def _state_until(self) -> str | None:
+        """Last period of the stored state: the name of its folder."""
+        names = tables.folders(self.spark, self.store.path("customer_state"))
+        return max((n.removeprefix("until=") for n in names), default=None)
+
+    def state(self) -> DataFrame:
+        return self.spark.read.parquet(self.store.path(f"customer_state/until={self._state_until()}"))
+
     def features(self) -> None:
-        """Features of the latest period; their windows look back over the whole panel."""
-        matrix = features.feature_matrix(self.engagement(), self.read("customers"), self.cfg)
-        tables.replace_table(features.latest_period(matrix), self.store.path("current_features"))
+        """Features of the latest period, from the state."""
+        current = state.latest_features(
+            self.state(), self.read("customers"), self._state_until(), self.cfg
+        )
+        tables.replace_table(current, self.store.path("current_features"))
 
     def score(self) -> None:
         current = self.read("current_features")
@@ -121,7 +151,7 @@ class RetentionJob:
 
     def journeys(self) -> None:
         tables.replace_table(
-            journeys.summary(self.engagement()), self.store.path("customer_journeys")
+            state.journey_summary(self.state()), self.store.path("customer_journeys")
         )
 
     def explain(self) -> None:
@@ -149,6 +179,7 @@ class RetentionJob:
 
     def run(self, as_of: Column) -> None:
         """All steps of the day. ``as_of`` is the date of the run, never the clock."""
+        self.update_state()
         self.features()
         self.score()
         self.prescribe()

@@ -135,6 +135,25 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(hadoop).exists(location)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path; none if there is no such path."""
+    if not table_exists(spark, path):
+        return []
+    hadoop = spark._jsparkSession.sparkContext().hadoopConfiguration()
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = location.getFileSystem(hadoop).listStatus(location)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
+def keep_only(spark: SparkSession, path: str, name: str) -> None:
+    """Delete the folders below a path that a newer one has replaced."""
+    hadoop = spark._jsparkSession.sparkContext().hadoopConfiguration()
+    for other in folders(spark, path):
+        if other != name:
+            location = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{other}")
+            location.getFileSystem(hadoop).delete(location, True)
+
+
 def load(
     spark: SparkSession, path: str, schema: T.StructType, key_type: T.DataType | None = None
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from conftest import panel_row, rows
 from pyspark.sql import functions as F
 
 from holdfast import schemas
-from holdfast.operators import actions, monitoring
+from holdfast.operators import actions, features, journeys, monitoring, state
 from holdfast.plans.pipeline import RetentionJob, load_inputs
 from holdfast.sources import tables
 from holdfast.streaming.alerts import alert_stream
@@ -270,6 +270,51 @@ def test_daily_job_can_be_repeated(stored_job, spark, workspace):
     assert counts(stored_job) == before
 
 
+def test_state_of_some_days_equals_all_history(spark, workspace, tmp_path):
+    """Three days at a time: features and journeys equal those of the whole panel."""
+    root = str(tmp_path / "days")
+    days = [r["period"] for r in workspace.panel.select("period").distinct().orderBy("period").collect()]
+    job = RetentionJob(spark, root)
+    cuts = (days[2], days[5], days[5], days[8])
+    for until in cuts:
+        load_inputs(spark, root, workspace.panel.where(F.col("period") <= until), workspace.customers)
+        job.update_state()
+        job.features()
+        job.journeys()
+        stored = job.engagement()
+        wanted = features.latest_period(features.feature_matrix(stored, workspace.customers))
+        found = job.read("current_features")
+        assert found.schema.simpleString() == wanted.schema.simpleString()
+        assert rounded(found) == rounded(wanted)
+        assert rounded(job.read("customer_journeys")) == rounded(journeys.summary(stored))
+    assert tables.folders(spark, job.store.path("customer_state")) == [f"until={days[8]}"]
+
+
+def test_late_rows_rebuild_the_state(spark, make_panel, tmp_path):
+    root = str(tmp_path / "late")
+    customers = spark.createDataFrame([("A", "x", "small", "SaaS", "Starter", 1.0, None, 12)], schemas.CUSTOMERS)
+    job = RetentionJob(spark, root)
+    for months in (("2024-01", "2024-04"), ("2024-02",), ("2024-05",)):
+        load_inputs(spark, root, make_panel(*[panel_row("A", m) for m in months]), customers)
+        job.update_state()
+    assert job.state().first()["history"] == 4
+    assert [r["period"] for r in job.state().first()["recent"]] == ["2024-01", "2024-02", "2024-04", "2024-05"]
+
+
+def test_a_new_day_reads_only_its_folder(spark, workspace, stored_job):
+    panel = stored_job.engagement()
+    new = state.extend(stored_job.state(), panel.where(F.col("period") > "2024-01-29"))
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    filters = [p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:]]
+    assert any("period" in f and "2024-01-29" in f for f in filters)
+
+
+def rounded(df):
+    return sorted(
+        [tuple(round(v, 9) if isinstance(v, float) else v for v in row) for row in df.collect()], key=str
+    )
+
+
 def test_stored_predictions_equal_the_query(stored_job, workspace):
     stored = stored_job.predictions().select("customer_id", "churn_probability", "recommendation")
     wanted = workspace.run.select("customer_id", "churn_probability", "recommendation")
