@@ -6,8 +6,10 @@ may be set in the environment. Every query writes all its rows to a no-op sink.
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import sys
 import tempfile
 import time
@@ -20,6 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from holdfast.plans.catalog import CATALOG  # noqa: E402
 from holdfast.plans.pipeline import RetentionJob, load_inputs  # noqa: E402
 from holdfast.plans.workspace import Workspace  # noqa: E402
+from holdfast.sources import tables  # noqa: E402
 
 HEADLINES = (
     "engagement_enriched", "feature_matrix", "score_customers", "score_all_periods", "risk_rank",
@@ -30,13 +33,14 @@ HEADLINES = (
 )
 
 
-def session(cpus: str) -> SparkSession:
+def session(cpus: str, shared: str) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("holdfast-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", shared)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -54,7 +58,7 @@ def timed(action) -> float:
 def daily_job(spark: SparkSession, sf_dir: str) -> float:
     """Ingest the panel, then time all steps of one day on stored tables."""
     w = Workspace(spark, sf_dir)
-    root = tempfile.mkdtemp(prefix="run-")
+    root = f"{tables.shared_folder(spark)}/retention"
     load_inputs(spark, root, w.panel, w.customers)
     last_day = w.panel.agg(F.max("period")).first()[0]
     job = RetentionJob(spark, root)
@@ -65,7 +69,9 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     runs = int(os.environ.get("BENCH_RUNS", "2"))
-    spark = session(cpus)
+    shared = tempfile.mkdtemp(prefix="bench-")
+    atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    spark = session(cpus, shared)
     CATALOG["feature_matrix"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times = {}

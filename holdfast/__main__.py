@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.operators import eda, features, ml, monitoring, scoring
 from holdfast.operators.tree_contributions import explain_trees
 from holdfast.plans.pipeline import RetentionJob, load_inputs
 from holdfast.plans.training import fit_and_store
+from holdfast.session import job_session
 from holdfast.sources import tables
 
 
@@ -51,7 +52,7 @@ def model_choice(folder: str) -> dict:
 
 def main() -> None:
     args = arguments()
-    spark = SparkSession.builder.appName(f"holdfast-{args.job}").getOrCreate()
+    spark = job_session(f"holdfast-{args.job}")
     job = RetentionJob(spark, args.root)
     if args.job == "ingest":
         arrived = tables.read_new_engagement(spark, args.engagement, args.format)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from holdfast import schemas
 from holdfast.operators import actions, features, journeys, monitoring, state
 from holdfast.plans.pipeline import RetentionJob, load_inputs
+from holdfast.session import job_session
 from holdfast.sources import tables
 from holdfast.streaming.alerts import alert_stream
 from holdfast.streaming.ingest import ingest_stream
@@ -331,6 +332,16 @@ def test_retier_rewrites_every_stored_run(spark, make_predictions, tmp_path):
     assert job.predictions().count() == 3
 
 
+def test_jobs_refuse_another_time_zone(spark):
+    assert job_session("x").conf.get("spark.sql.session.timeZone") == "UTC"
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        with pytest.raises(ValueError, match="Asia/Tokyo"):
+            job_session("x")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_single_metric_is_logged(spark, tmp_path):
     row = monitoring.metric_row(spark, "custom", "rows", 3)
     logged = monitoring.log_metrics(row, F.lit("2024-01-02"))
