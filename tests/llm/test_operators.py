@@ -136,6 +136,18 @@ def test_lines_equal_and_near_equal_keep_the_first(spark):
     assert found[5].text == ""  # shares a block of its fingerprint and nearly all characters
 
 
+def test_edit_distance_by_the_matrix():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = (rng.choices("abcd", k=rng.randrange(12)) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        assert lines.edit_distance(a, b) == row[-1]
+
+
 def test_dissimilar_lines_with_equal_blocks_stay(spark):
     rows = [(i, " ".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=12))) for i in range(200)]
     found = lines.removed(spark.createDataFrame(rows, "doc_id long, text string"), Store(spark))
