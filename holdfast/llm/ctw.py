@@ -36,7 +36,7 @@ DEPTH = 5
 #: Depth from which contexts stay together in one part.
 DEALT = 3
 #: Bytes of text in a block and rows in a part, about.
-BLOCK_BYTES, PART_ROWS = 24 << 20, 400_000
+BLOCK_BYTES, PART_ROWS = 24 << 20, 250_000
 #: Positions that are scored at a time.
 STEP = 1 << 20
 MEMO = 1 << 18
@@ -165,17 +165,16 @@ def grams_of(documents: list[list[bytes]], depth: int) -> np.ndarray:
     return out[np.cumsum(inside[:-1]) > 0]
 
 
-def _steps(documents: list[list[bytes]]) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about ``STEP`` bytes."""
+def _steps(texts: pd.Series) -> Iterator[tuple[int, int, list[list[bytes]]]]:
+    """Ranges of texts of about ``STEP`` characters, with their words."""
     start, held = 0, 0
-    for at, words in enumerate(documents):
-        size = sum(map(len, words)) + len(words) + 1
+    for at, size in enumerate(texts.str.len()):
         if held and held + size > STEP:
-            yield start, at
+            yield start, at, [normal(t) for t in texts.iloc[start:at]]
             start, held = at, 0
         held += size
-    if start < len(documents):
-        yield start, len(documents)
+    if start < len(texts):
+        yield start, len(texts), [normal(t) for t in texts.iloc[start:]]
 
 
 class _Hashes(dict):
@@ -209,11 +208,11 @@ def _counts(docs: DataFrame, depth: int) -> DataFrame:
     """``block``, ``kind``, ``key``, ``n``: distinct tokens and grams of a block, with their training counts."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        documents, train = [normal(t) for t in frame["text"]], frame["train"].to_numpy(dtype=bool)
+        train = frame["train"].to_numpy(dtype=bool)
         memo, found = _Hashes(), {WORDS: [], GRAMS: []}
-        for a, b in _steps(documents):
+        for a, b, documents in _steps(frame["text"]):
             for learned in (True, False):
-                some = [d for d, t in zip(documents[a:b], train[a:b]) if t == learned]
+                some = [d for d, t in zip(documents, train[a:b]) if t == learned]
                 if some:
                     for kind, keys in ((WORDS, token_hashes(some, memo)), (GRAMS, grams_of(some, depth))):
                         keys, n = np.unique(keys, return_counts=True)
@@ -311,9 +310,8 @@ def score(docs: DataFrame, trainable: Column, store: Store, depth: int = DEPTH)
         for kind in (WORDS, GRAMS):
             of = values[values["kind"] == kind].sort_values("key")
             tables[kind] = of["key"].to_numpy(), of["value"].to_numpy()
-        documents, memo, out = [normal(t) for t in frame["text"]], _Hashes(), []
-        for a, b in _steps(documents):
-            some = documents[a:b]
+        memo, out = _Hashes(), []
+        for _, _, some in _steps(frame["text"]):
             sizes = np.array([len(d) + 1 for d in some])
             spread = np.array([sum(map(len, d)) + len(d) + (not d) for d in some])
             keys, value = tables[WORDS]
