@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,64 @@ def panel_union(w: Workspace) -> DataFrame:
     return earlier.unionByName(w.panel.where(F.col("period") == latest))
 
 
+# --- storage: every write is made twice and read back ------------------------------------
+
+
+def _folder(w: Workspace, name: str) -> str:
+    return f"{tables.shared_folder(w.spark)}/{name}-{uuid4().hex}"
+
+
+@query
+def append_engagement(w: Workspace) -> DataFrame:
+    """The panel appended twice, the second time after its last period is already there."""
+    path = _folder(w, "append")
+    latest = tables.latest_value(w.panel, "period")
+    tables.append_engagement(w.spark, w.panel.where(F.col("period") == latest), path)
+    for _ in range(2):
+        tables.append_engagement(w.spark, w.panel, path)
+    return w.spark.read.schema(w.panel.schema).parquet(path)
+
+
+@query
+def store_predictions(w: Workspace) -> DataFrame:
+    """All runs stored, then the last one again."""
+    path = _folder(w, "store")
+    tables.store_predictions(w.spark, w.predictions, path)
+    tables.store_predictions(w.spark, w.run, path)
+    return w.spark.read.schema(w.predictions.schema).parquet(path).select(
+        "customer_id", "prediction_date", "churn_probability", "risk_tier"
+    )
+
+
+@query
+def read_customers(w: Workspace) -> DataFrame:
+    """Customers exported twice as CSV with reversed columns and read back by name."""
+    path = _folder(w, "customers")
+    for _ in range(2):
+        tables.export_csv(w.customers.select(*reversed(w.customers.columns)), path)
+    found = tables.read_customers(w.spark, path)
+    return found.withColumn("customer_id", F.col("customer_id").cast("bigint"))
+
+
+@query
+def read_engagement(w: Workspace) -> DataFrame:
+    """The panel from two CSV folders of different column orders and names, duplicates dropped."""
+    path = _folder(w, "engagement")
+    arrived = w.panel.withColumnRenamed("period", "year_month").withColumn("note", F.lit("a, b"))
+    tables.export_csv(arrived, f"{path}/1")
+    tables.export_csv(w.panel.select(*reversed(w.panel.columns)), f"{path}/2")
+    found = tables.read_new_engagement(w.spark, [f"{path}/1", f"{path}/2"])
+    return found.select(*[F.col(f.name).cast(f.dataType) for f in w.panel.schema])
+
+
+@query
+def replace_table(w: Workspace) -> DataFrame:
+    path = _folder(w, "replace")
+    for part in (w.run, w.prescriptions, w.prescriptions):
+        tables.replace_table(part.select("customer_id"), path)
+    return w.spark.read.parquet(path)
+
+
 @query
 def period_max_users(w: Workspace) -> DataFrame:
     return scores.with_period_max(w.panel).select(*KEY, "active_users", "peak_users")

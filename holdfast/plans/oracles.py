@@ -1014,3 +1014,14 @@ SELECT count(*) AS customers, CAST(0.0 AS DOUBLE) AS gap FROM run""")
 add("score_boosted_ranks", """
 SELECT count(*) AS customers, count(*) AS ranks, count(*) AS last_rank, CAST(0 AS BIGINT) AS outside
 FROM run""")
+
+# --- storage -------------------------------------------------------------------------------------
+
+add("append_engagement", f"SELECT {PANEL_COLUMNS} FROM panel")
+add("read_engagement", f"SELECT {PANEL_COLUMNS} FROM panel")
+add("store_predictions", f"""
+SELECT customer_id, prediction_date, {r('churn_probability')}, risk_tier FROM pred""")
+add("replace_table", "SELECT customer_id FROM rx")
+add("read_customers", """
+SELECT customer_id, company_name, company_size, industry, subscription_tier, monthly_revenue,
+       strftime(onboarding_date, '%Y-%m-%d') AS onboarding_date, contract_length_months FROM cust""")
