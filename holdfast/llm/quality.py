@@ -114,13 +114,13 @@ def fences(rows: DataFrame, store: Store) -> DataFrame:
     own = store.put(own, "sketches")
     merge = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in names]]
     language = _fenced(own.groupBy("lang").agg(*merge)).withColumnsRenamed({"n": "n_lang", "fence": "fence_lang"})
-    whole = _fenced(own.agg(*merge).where("n > 0")).select(F.col("fence").alias("fence_all"))
+    whole = _fenced(own.agg(*merge).where("n > 0")).select("fence").scalar()
     group = _fenced(own)
     language = language.withColumnRenamed("lang", "lang_of")
-    both = group.join(language, group.lang.eqNullSafe(language.lang_of)).join(F.broadcast(whole))
+    both = group.join(language, group.lang.eqNullSafe(language.lang_of))
     chosen = F.when(F.col("n") >= MIN_GROUP, F.col("fence")).when(
         F.col("n_lang") >= MIN_GROUP, F.col("fence_lang")
-    ).otherwise(F.col("fence_all"))
+    ).otherwise(whole)
     return store.put(both.select("lang", "source", chosen.alias("fence")), "fences")
 
 
