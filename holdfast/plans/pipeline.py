@@ -58,6 +58,11 @@ class RetentionJob:
         self.explainer = explainer or self._explain_scorecard
 
     def read(self, name: str) -> DataFrame:
+        """A stored table; a derived one under its declared schema, with the customers' key type."""
+        if name in schemas.DERIVED:
+            return tables.load(
+                self.spark, self.store.path(name), schemas.DERIVED[name], self._customer_type()
+            )
         return self.spark.read.parquet(self.store.path(name))
 
     def predictions(self) -> DataFrame:

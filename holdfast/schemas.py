@@ -72,6 +72,55 @@ MODEL_METRICS = T.StructType([
     T.StructField("notes", T.StringType()),
 ])
 
+
+
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "double": T.DoubleType(), "boolean": T.BooleanType(),
+}
+
+
+def _of(text: str) -> T.StructType:
+    """Columns as "name type", separated by commas; needs no session."""
+    named = (column.split() for column in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in named])
+
+
+CURRENT_FEATURES = _of("""
+    customer_id string, period string, churned int, logins_per_day double, api_calls bigint,
+    features_used_count int, days_inactive int, support_tickets int, engagement_score double,
+    logins_3m_avg double, api_calls_3m_avg double, features_3m_avg double, logins_trend_3m double,
+    engagement_decay double, recency_score double, feature_adoption_rate double,
+    is_high_adoption int, is_low_adoption int, flag_no_login_30days int, flag_no_login_60days int,
+    flag_low_feature_adoption int, flag_high_support_tickets int, flag_declining_engagement int,
+    risk_flag_count int, health_score double, company_size string, subscription_tier string,
+    industry string, monthly_revenue double
+""")
+
+PRESCRIPTIONS = _of("""
+    customer_id string, churn_probability double, current_recommendation string,
+    prescribed_action string, action_type string, discount_percent int, action_cost double,
+    expected_retention_value double, expected_impact double, roi double, confidence double,
+    timing string, rationale string, success_probability double
+""")
+
+CUSTOMER_JOURNEYS = _of("""
+    customer_id string, current_phase string, current_risk string, current_health string,
+    churned boolean, first_at_risk_month string, months_until_churn int, total_months_observed int
+""")
+
+EXPLANATIONS = _of("""
+    customer_id string, predicted_churn double, top_3_features string, top_3_shap_values string
+""")
+
+#: Tables that the daily job derives, by name.
+DERIVED = {
+    "current_features": CURRENT_FEATURES,
+    "prescriptions": PRESCRIPTIONS,
+    "customer_journeys": CUSTOMER_JOURNEYS,
+    "explanations": EXPLANATIONS,
+}
+
 # Columns whose absence must stop an ingestion.
 REQUIRED_ENGAGEMENT = tuple(ENGAGEMENT.fieldNames())
 

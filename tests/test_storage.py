@@ -264,6 +264,14 @@ def test_daily_job_fills_every_table(stored_job, workspace):
     assert found["model_metrics"] == 4
 
 
+def test_derived_tables_have_their_declared_schema(stored_job, spark):
+    for name, declared in schemas.DERIVED.items():
+        written = spark.read.parquet(stored_job.store.path(name)).schema
+        assert [(f.name, f.dataType) for f in written if f.name != "customer_id"] == [
+            (f.name, f.dataType) for f in declared if f.name != "customer_id"]
+        assert stored_job.read(name).columns == declared.fieldNames()
+
+
 def test_daily_job_can_be_repeated(stored_job, spark, workspace):
     before = counts(stored_job)
     load_inputs(spark, stored_job.store.root, workspace.panel, workspace.customers)
