@@ -81,10 +81,12 @@ def clusters(
     sized = keyed(marked).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
     main = F.max(F.struct("n", "label")).over(bucket)["label"]
     few = sized.withColumn("main", main).where("label <> main").select(
-        "key", F.col("id").alias("a"), other.alias("p"), F.col("label").alias("l")
+        "key", F.col("id").alias("a"), other.alias("p"), F.col("label").alias("l"), "main"
     )
     every = keyed(marked).select("key", F.col("id").alias("b"), other.alias("q"), F.col("label").alias("m"))
-    met = few.join(every, (few.key == every.key) & (few.l != every.m) & screen(few.p, every.q))
+    # a pair outside the main label is compared from its lesser label only
+    apart = (few.l < every.m) | (every.m == few.main)
+    met = few.join(every, (few.key == every.key) & apart & screen(few.p, every.q))
     rest = _checked(_pairs(met, F.col("a"), F.col("b")), verify, store)
     if not rest.measured["rows"]:
         return labels
