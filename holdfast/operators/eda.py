@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,8 +161,8 @@ def complete_records(df: DataFrame) -> DataFrame:
 # --- distributions and relations ------------------------------------------------------------
 
 
-def describe_features(features: DataFrame) -> DataFrame:
-    return stats.describe(features, numeric_columns(features))
+def describe_features(features: DataFrame, keep: Callable = stats.as_is) -> DataFrame:
+    return stats.describe(features, numeric_columns(features), keep)
 
 
 def label_correlation(features: DataFrame) -> DataFrame:
@@ -188,7 +190,7 @@ def features_by(features: DataFrame, segment: str) -> DataFrame:
     )
 
 
-def boxplot_stats(features: DataFrame) -> DataFrame:
+def boxplot_stats(features: DataFrame, keep: Callable = stats.as_is) -> DataFrame:
     """The four box plots of the exploration, as one long table."""
     plots = (
         ("health_score", "company_size"),
@@ -209,16 +211,16 @@ def boxplot_stats(features: DataFrame) -> DataFrame:
     long = features.select(F.inline(F.array(*parts)))
     # as in the exploration, rows without a group are in no plot
     known = long.where(F.col("group").isNotNull()).withColumn("cell", F.struct("plot", "group"))
-    return stats.boxplot(known, "value", "cell").select(
+    return stats.boxplot(known, "value", "cell", keep).select(
         "group_value.plot", "group_value.group",
         "q1", "median", "q3", "iqr", "whisker_low", "whisker_high", "outliers",
     )
 
 
-def feature_center(features: DataFrame) -> DataFrame:
-    cells = stats.to_long(features, KEY_FEATURES)
-    means = cells.groupBy("metric").agg(F.avg("value").alias("mean"))
-    medians = stats.exact_quantiles(cells, "value", {"median": 0.5}, ["metric"])
+def feature_center(features: DataFrame, keep: Callable = stats.as_is) -> DataFrame:
+    counts = keep(stats.counted(stats.to_long(features, KEY_FEATURES), "value", ["metric"]))
+    means = counts.groupBy("metric").agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
+    medians = stats.quantiles_of_counts(counts, "value", {"median": 0.5}, ["metric"])
     return means.join(medians, "metric")
 
 

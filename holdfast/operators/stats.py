@@ -7,7 +7,7 @@ read the wanted positions off running totals, so no task holds a whole column.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,14 +26,26 @@ def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) ->
 def exact_quantiles(
     df: DataFrame, value: str, probabilities: dict[str, float], within: Sequence[str] = ()
 ) -> DataFrame:
-    """Linear-interpolated quantiles per group, one column per probability.
+    """Linear-interpolated quantiles per group, one column per probability."""
+    return quantiles_of_counts(counted(df, value, within), value, probabilities, within)
+
+
+def as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def counted(df: DataFrame, value: str, within: Sequence[str] = ()) -> DataFrame:
+    """Every known value of a group once, with its number ``n``."""
+    return df.where(F.col(value).isNotNull()).groupBy(*within, value).agg(F.count("*").alias("n"))
+
+
+def quantiles_of_counts(
+    counts: DataFrame, value: str, probabilities: dict[str, float], within: Sequence[str] = ()
+) -> DataFrame:
+    """The quantiles of values that are counted already.
 
     ``within`` may have any number of groups: their totals join without a forced broadcast.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*within, value).agg(F.count("*").alias("n"))
-    )
     placed = running_totals(counts, [F.col(value)], ["n"], within)
     totals = counts.groupBy(*within).agg(F.sum("n").alias("total"))
     if within:
@@ -73,38 +85,49 @@ def shares(df: DataFrame, column: str, name: str) -> DataFrame:
     return counts.withColumn("share", F.col(name) / total)
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, sample std, min, quartiles and max of each column, one row a column."""
-    cells = to_long(df, columns)
-    value = F.col("value")
-    moments = cells.groupBy("metric").agg(
-        F.count("value").alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
+def describe(df: DataFrame, columns: Sequence[str], keep: Callable = as_is) -> DataFrame:
+    """count, mean, sample std, min, quartiles and max of each column, one row a column.
+
+    The rows are read once, into counts of values; ``keep`` may store those, since moments and
+    quartiles both read them.
+    """
+    counts = keep(counted(to_long(df, columns), "value", ["metric"]))
+    n, value = F.col("n"), F.col("value")
+    means = counts.groupBy("metric").agg((F.sum(n * value) / F.sum(n)).alias("mean"))
+    around = counts.join(F.broadcast(means), "metric")  # one row per column
+    squares = F.sum(n * (value - F.col("mean")) ** 2)
+    moments = around.groupBy("metric").agg(
+        F.sum(n).alias("count"),
+        F.max("mean").alias("mean"),
+        F.when(F.sum(n) > 1, F.sqrt(squares / (F.sum(n) - 1))).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    quartiles = exact_quantiles(
-        cells, "value", {"p25": 0.25, "p50": 0.50, "p75": 0.75}, ["metric"]
+    quartiles = quantiles_of_counts(
+        counts, "value", {"p25": 0.25, "p50": 0.50, "p75": 0.75}, ["metric"]
     )
-    return moments.join(quartiles, "metric", "left").select(
-        "metric", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
+    found = moments.join(quartiles, "metric")
+    spark = df.sparkSession
+    names = spark.createDataFrame([(c,) for c in columns], "metric string")
+    return names.join(F.broadcast(found), "metric", "left").select(
+        "metric", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
 
-def boxplot(df: DataFrame, column: str, group: str) -> DataFrame:
-    """Quartiles, IQR and the outermost values inside 1.5 IQR, per group."""
+def boxplot(df: DataFrame, column: str, group: str, keep: Callable = as_is) -> DataFrame:
+    """Quartiles, IQR and the outermost values inside 1.5 IQR, per group; ``keep`` as in ``describe``."""
     values = df.select(F.col(group).alias("group_value"), F.col(column).cast("double").alias("value"))
-    box = exact_quantiles(values, "value", {"q1": 0.25, "median": 0.50, "q3": 0.75}, ["group_value"])
+    counts = keep(counted(values, "value", ["group_value"]))
+    box = quantiles_of_counts(counts, "value", {"q1": 0.25, "median": 0.50, "q3": 0.75}, ["group_value"])
     box = box.withColumn("iqr", F.col("q3") - F.col("q1"))
     low = F.col("q1") - F.col("iqr") * 1.5
     high = F.col("q3") + F.col("iqr") * 1.5
     inside = (F.col("value") >= low) & (F.col("value") <= high)
-    fenced = values.join(box, "group_value")
+    fenced = counts.join(box, "group_value")
     return fenced.groupBy("group_value", "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
     )
 
 

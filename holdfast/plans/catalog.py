@@ -629,9 +629,13 @@ def complete_records(w: Workspace) -> DataFrame:
     return eda.complete_records(w.features)
 
 
+def _stored_counts(counts: DataFrame) -> DataFrame:
+    return tables.stored(counts, "value-counts")
+
+
 @query
 def describe_features(w: Workspace) -> DataFrame:
-    return eda.describe_features(w.stored_features)
+    return eda.describe_features(w.features, _stored_counts)
 
 
 @query
@@ -656,7 +660,7 @@ def features_by_tier(w: Workspace) -> DataFrame:
 
 @query
 def boxplot_stats(w: Workspace) -> DataFrame:
-    return eda.boxplot_stats(w.stored_features)
+    return eda.boxplot_stats(w.features, _stored_counts)
 
 
 @query
@@ -678,7 +682,7 @@ def health_by_segment(w: Workspace) -> DataFrame:
 
 @query
 def feature_center(w: Workspace) -> DataFrame:
-    return eda.feature_center(w.stored_features)
+    return eda.feature_center(w.features, _stored_counts)
 
 
 @query
