@@ -59,8 +59,8 @@ def clusters(
 ) -> DataFrame:
     """``id`` and ``label`` of the ids that link to another; exact for any bucket size.
 
-    ``nodes`` (stored; ``id``, ``payload``) go through ``keyed`` with a column ``label`` added,
-    which returns them once per ``key``. Two ids link if they share a key, pass ``screen`` on
+    ``nodes`` (stored; ``id``, ``payload``, short ones) go through ``keyed``, the second time with
+    a column ``label``, which returns their columns once per ``key``. Two ids link if they share a key, pass ``screen`` on
     their payloads and survive ``verify``, a function from pairs (``a``, ``b``) to the pairs that hold.
 
     First every bucket's rows are compared with one hub, as many comparisons as rows, and the
@@ -70,20 +70,21 @@ def clusters(
     """
     bucket = Window.partitionBy("key")
     other = F.col("id") if payload == "id" else F.col(payload)
-    lone = keyed(nodes.withColumn("label", F.col("id")))
-    hub = lone.withColumn("hub", F.min(F.struct("id", other.alias("p"))).over(bucket))
+    hub = keyed(nodes).withColumn("hub", F.min(F.struct("id", other.alias("p"))).over(bucket))
     stars = hub.where((F.col("id") != F.col("hub.id")) & screen(other, F.col("hub.p")))
     links = _checked(_pairs(stars, F.col("id"), F.col("hub.id")), verify, store)
     labels = store.put(components(links, store), "labels")
 
     marked = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     marked = store.put(marked, "marked")
-    sized = keyed(marked).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
+    # dealt by key once: both windows and both sides of the join stand on this shuffle
+    dealt = keyed(marked).repartition("key")
+    sized = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
     main = F.max(F.struct("n", "label")).over(bucket)["label"]
     few = sized.withColumn("main", main).where("label <> main").select(
         "key", F.col("id").alias("a"), other.alias("p"), F.col("label").alias("l"), "main"
     )
-    every = keyed(marked).select("key", F.col("id").alias("b"), other.alias("q"), F.col("label").alias("m"))
+    every = dealt.select("key", F.col("id").alias("b"), other.alias("q"), F.col("label").alias("m"))
     # a pair outside the main label is compared from its lesser label only
     apart = (few.l < every.m) | (every.m == few.main)
     met = few.join(every, (few.key == every.key) & apart & screen(few.p, every.q))

@@ -112,13 +112,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def golay_keys(prints: DataFrame) -> DataFrame:
-    """``key``, ``id``, ``label``: each fingerprint (``id``) under every pair of its segments' keys."""
+    """Each fingerprint (``id``, and ``label`` if given) under every pair of its segments' keys (``key``)."""
+    columns = [c for c in ("id", "label") if c in prints.columns]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 1 << 12):
-                ids = frame["id"].to_numpy()[at : at + (1 << 12)]
-                labels = frame["label"].to_numpy()[at : at + (1 << 12)]
+                some = {c: frame[c].to_numpy()[at : at + (1 << 12)] for c in columns}
+                ids = some["id"]
                 bits = ids.view(np.uint64)
                 segments = [
                     segment_keys(((bits >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64))
@@ -130,11 +131,11 @@ def golay_keys(prints: DataFrame) -> DataFrame:
                     fresh = np.ones(keys.shape, dtype=bool)
                     fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
                     owner = np.repeat(np.arange(len(ids)), keys.shape[1]).reshape(keys.shape)[fresh]
-                    yield pd.DataFrame(
-                        {"key": keys[fresh] | (kind << 24), "id": ids[owner], "label": labels[owner]}
-                    )
+                    named = {c: values[owner] for c, values in some.items()}
+                    yield pd.DataFrame({"key": keys[fresh] | (kind << 24), **named})
 
-    return prints.select("id", "label").mapInPandas(run, "key long, id long, label long")
+    schema = ", ".join(["key int", *(f"{c} long" for c in columns)])
+    return prints.select(*columns).mapInPandas(run, schema)
 
 
 def near(max_bits: int):
