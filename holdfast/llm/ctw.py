@@ -307,9 +307,12 @@ def score(docs: DataFrame, trainable: Column, store: Store, depth: int = DEPTH)
         if not len(frame):
             return pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "base_score", "score", "bytes"])
         tables = {}
+        kinds, keys, value = (values[c].to_numpy() for c in ("kind", "key", "value"))
         for kind in (WORDS, GRAMS):
-            of = values[values["kind"] == kind].sort_values("key")
-            tables[kind] = of["key"].to_numpy(), of["value"].to_numpy()
+            here = np.flatnonzero(kinds == kind)
+            here = here[np.argsort(keys[here])]
+            tables[kind] = keys[here], value[here]
+        del values, kinds, keys, value, here
         memo, out = _Hashes(), []
         for _, _, some in _steps(frame["text"]):
             sizes = np.array([len(d) + 1 for d in some])
