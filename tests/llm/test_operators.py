@@ -154,6 +154,28 @@ def test_dissimilar_lines_with_equal_blocks_stay(spark):
     assert found.agg(F.sum("n_removed")).first()[0] == 0
 
 
+def test_lines_link_as_brute_force_edit_similarity(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 3) for i in range(3000)]
+    texts = []
+    for n in (5, 6, 7, 9, 10, 14, 15, 20, 33, 50, 75, 100) * 4:
+        base = rng.choices(words, weights, k=n)
+        texts.append(base)
+        for _ in range(3):
+            other = list(base)
+            for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+                other[at : at + 1] = rng.choice([[], ["x"], ["x", other[at]]])[: 1 + (len(other) <= n)]
+            texts.append(other)
+    texts = sorted({" ".join(t) for t in texts if len(t) >= 5})
+    links = [(i, j) for i, s in enumerate(texts) for j in range(i) if lines.similar(s, texts[j], 0.8)]
+    root = union_find(links)
+    expected = {i for i in root if root[i] != i}
+    assert len(links) > 100
+    found = lines.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Store(spark))
+    assert {r.doc_id for r in found.collect() if r.n_removed} == expected
+
+
 # --- toxicity
 
 def test_segments_equal_the_recursive_definition():
