@@ -176,6 +176,13 @@ def test_lines_link_as_brute_force_edit_similarity(spark):
     assert {r.doc_id for r in found.collect() if r.n_removed} == expected
 
 
+def test_equal_lines_of_few_words_go_but_not_the_shortest(spark):
+    one, two = "今天天气很好我们一起去公园散步吧", "Table of contents"
+    rows = [(i, f"{one}\n{two}\nyes\n今天") for i in range(3)]
+    found = lines.removed(spark.createDataFrame(rows, "doc_id long, text string"), Store(spark)).collect()
+    assert {r.doc_id: r.text for r in found} == {0: rows[0][1], 1: "yes\n今天", 2: "yes\n今天"}
+
+
 # --- toxicity
 
 def test_segments_equal_the_recursive_definition():
