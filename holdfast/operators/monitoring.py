@@ -209,9 +209,9 @@ def metric_row(
 
 
 def log_metrics(checks: DataFrame, as_of: Column) -> DataFrame:
-    """Metric rows in the stored layout; ids repeat when the same pass is run again."""
-    moment = F.date_format(as_of.cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
-    key = F.concat_ws("|", "metric_type", "metric_name", moment)
+    """Metric rows in the stored layout; ids repeat when a pass is run again on the same day."""
+    day = F.date_format(as_of.cast("timestamp"), "yyyy-MM-dd")
+    key = F.concat_ws("|", "metric_type", "metric_name", day)
     return checks.select(
         stable_id(key).alias("metric_id"),
         as_of.cast("date").alias("metric_date"),
