@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from holdfast.llm.collocations import LIMIT, LONGEST, MIN_COUNT
 from holdfast.llm.licenses import COVERAGE, TEMPLATES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -42,6 +43,44 @@ FROM d LEFT JOIN s USING (doc_id)
 """
 
 
+def _collocation_sql() -> str:
+    """All phrases counted, cut everywhere and looked up in all longer ones by one word."""
+    grams = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(w[p : p + {k - 1}], ' ') AS phrase, {k} AS k, count(*) AS a "
+        f"FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS p FROM pieces WHERE len(w) >= {k}) GROUP BY 1, 2"
+        for k in range(1, LONGEST + 1)
+    )
+    return f"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+), size AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), f AS MATERIALIZED (
+  SELECT * FROM ({grams}) WHERE a >= {MIN_COUNT}
+), c AS (
+  SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), longer AS (
+  SELECT lang, part, max(a) AS most FROM (
+    SELECT lang, a, unnest([array_to_string(w[:-2], ' '), array_to_string(w[2:], ' ')]) AS part FROM c
+  ) GROUP BY lang, part
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.w, unnest(range(1, c.k)) AS cut
+  FROM c LEFT JOIN longer ON c.lang = longer.lang AND c.phrase = longer.part WHERE coalesce(100 * most < 100 * c.a, true)
+), scored AS (
+  SELECT u.lang, u.phrase, u.a, x.a AS l, y.a AS r, n, cut,
+         CAST(1000::HUGEINT * u.a * n // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cuts u JOIN size USING (lang)
+  JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(w[:cut], ' ')
+  JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')
+), least AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least QUALIFY rank <= {LIMIT}
+"""
+
+
 SQL: dict[str, str] = {
     "op6_license_index": _license_sql(),
     "op7_winnowing": f"""
@@ -73,4 +112,5 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
        coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """,
+    "op12_collocation_stripes": _collocation_sql(),
 }

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, ctw, decontamination, licenses, lines, quality, sharding, simhash, substrings, toxicity
+from holdfast.llm import (
+    bpe, collocations, ctw, decontamination, licenses, lines, quality, sharding, simhash, substrings, toxicity,
+)
 from holdfast.llm.common import Store, table
 
 SHARDS = 40
@@ -69,6 +71,10 @@ def op10_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.filtered(table(spark, sf_dir, "documents"), Store(spark)).drop("failed")
 
 
+def op12_collocation_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), Store(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_shards,
         op9_simhash_golay,
         op10_adaptive_quality,
+        op12_collocation_stripes,
     )
 }

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from holdfast.llm import bpe, ctw, decontamination, licenses, lines, quality, sharding, simhash, substrings, toxicity
+from holdfast.llm import (
+    bpe, collocations, ctw, decontamination, licenses, lines, quality, sharding, simhash, substrings, toxicity,
+)
 from holdfast.llm.common import Store
 from holdfast.llm.queries import RANKS
 
@@ -32,6 +34,7 @@ def operators(spark):
         "simhash": lambda d: simhash.near_duplicates(d, Store(spark)),
         "representatives": lambda d: simhash.representatives(d, Store(spark)),
         "quality": lambda d: quality.filtered(d, Store(spark)),
+        "collocations": lambda d: collocations.collocations(d, Store(spark), min_count=2),
     }
 
 
@@ -55,7 +58,7 @@ def odd(spark):
     return frame
 
 
-@pytest.mark.parametrize("name", ("repeats", "representatives", *ROWWISE))
+@pytest.mark.parametrize("name", ("repeats", "representatives", "collocations", *ROWWISE))
 def test_odd_rows_and_empty_table(spark, odd, name):
     run = operators(spark)[name]
     found = run(odd).collect()
