@@ -4,12 +4,12 @@ A stripe is one row: a language, a prefix of zero to four words, the words that
 often. Stripes of one prefix merge elementwise. From the merged stripes come
 
 * extensions: an entry is a phrase and its count;
-* prefix totals: a stripe sums to the count of its prefix, since what follows a prefix
-  and is no entry (rare words, a piece's end) is counted under an empty word;
+* prefix totals: an entry is also the total of the stripe whose prefix it completes, and the
+  stripe of the empty prefix sums to the words of the language;
 * subsumption maxima: the greatest entry of a phrase's own stripe, and of the stripes where
   the phrase ends a longer one.
 
-Only phrases that can be frequent enter stripes. Counts of 64-bit phrase hashes, level by level,
+Only phrases that can be frequent enter stripes. Counts of 32-bit phrase hashes, level by level,
 mark frequent hashes in a bit map of fixed size (``FILTER_BITS``); a phrase is counted exactly if all
 its parts are marked. A shared bit costs work, never a count, so results are exact at every size.
 
@@ -19,6 +19,7 @@ Ties keep the smallest cut, and phrases in byte order. Rows that repeat count ag
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,8 +37,8 @@ LIMIT = 2000
 FILTER_BITS = 27
 #: Bytes of text that are taken apart at a time.
 STEP_BYTES = 4 << 20
-#: Phrases that a worker counts before it passes them on.
-HELD = 400_000
+#: Hashes and phrases that a worker counts before it passes them on.
+HELD_HASHES, HELD = 2 << 20, 400_000
 
 #: Ends a piece; this byte never stands in UTF-8.
 _END = 0xFF
@@ -141,112 +142,183 @@ def _levels(words: Words, longest: int, bits: np.ndarray | None, marked: int) ->
         yield n, whole, there
 
 
-def _hash_counts(levels: tuple[int, ...], sent):
-    """Frames of hashes and their counts, for phrases of the given lengths."""
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte plane by byte plane: high planes of small numbers are runs of zeros."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, each with the sum of its counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _hash_counts(levels: tuple[int, ...], blocks: int, sent):
+    """Rows of one block of the hash space each: hashes (32 bits, as steps) and counts of phrases."""
+
+    def packed(held: list) -> pd.DataFrame:
+        keys, counts = _summed(*(np.concatenate(x) for x in zip(*held)))
+        at = np.searchsorted(keys, (np.arange(blocks + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(blocks))
+        rows = [
+            (b, _planes(np.diff(keys[i:j], prepend=0)), _planes(counts[i:j]))
+            for b, (i, j) in enumerate(zip(at[:-1], at[1:])) if j > i
+        ]
+        return pd.DataFrame(rows, columns=["block", "keys", "counts"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = None if sent is None else np.frombuffer(sent.value, np.uint64)
+        held, size = [], 0
         for words in _buffers(frames):
             for n, whole, there in _levels(words, levels[-1], bits, levels[0] - 1):
                 if n in levels:
-                    keys, counts = np.unique(whole[there], return_counts=True)
-                    for at in range(0, len(keys), HELD):
-                        part = slice(at, at + HELD)
-                        yield pd.DataFrame({"key": keys[part].view(np.int64), "n": counts[part].astype(np.int64)})
+                    keys, counts = np.unique(whole[there] >> np.uint64(32), return_counts=True)
+                    held.append((keys, counts))
+                    size += len(keys)
+            if size > HELD_HASHES:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
 
     return run
 
 
-def _stripes(sent):
-    """Frames of stripes: the entries of each prefix that a worker has counted."""
+def _marks(min_count: int):
+    """Words of the bit map that have frequent hashes, from sorted blocks, one block at a time."""
+
+    def marks(held: list) -> pd.DataFrame:
+        keys, counts = _summed(*(np.concatenate(x) for x in zip(*held)))
+        place = keys[counts >= min_count].astype(np.uint64) >> np.uint64(32 - FILTER_BITS)
+        at, first = np.unique(place >> np.uint64(6), return_index=True)
+        mark = np.uint64(1) << (place & np.uint64(63))
+        mark = np.bitwise_or.reduceat(mark, first) if len(first) else mark
+        return pd.DataFrame({"at": at.astype(np.int64), "mark": mark.view(np.int64)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held = None, []
+        for frame in frames:
+            for b, keys, counts in frame.itertuples(index=False):
+                if b != block and held:
+                    yield marks(held)
+                    held = []
+                block = b
+                held.append((np.cumsum(_numbers(keys), dtype=np.uint64), _numbers(counts).astype(np.int64)))
+        if held:
+            yield marks(held)
+
+    return run
+
+
+def _blocks(docs: DataFrame) -> int:
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _filter(docs: DataFrame, min_count: int):
+    """A broadcast bit map that marks the hashes of all phrases with ``min_count`` occurrences.
+
+    Words first, then pairs of marked words, then longer phrases of marked pairs.
+    """
+    blocks = _blocks(docs)
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    sent = None
+    for levels in ((1,), (2,), tuple(range(3, LONGEST + 1))):
+        counted = docs.mapInPandas(_hash_counts(levels, blocks, sent), "block int, keys binary, counts binary")
+        dealt = counted.repartition(blocks, "block").sortWithinPartitions("block")
+        found = dealt.mapInPandas(_marks(min_count), "at long, mark long").toArrow()  # at most the map's size
+        np.bitwise_or.at(bits, found["at"].to_numpy(), found["mark"].to_numpy().view(np.uint64))
+        sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return sent
+
+
+def _stripes(blocks: int, sent):
+    """Rows of packed stripes: entries of many prefixes, dealt by a hash of the entry."""
+
+    def packed(held: dict) -> pd.DataFrame:
+        rows: list = [([], [], [], []) for _ in range(blocks)]
+        for (lang, prefix), entries in held.items():
+            of, salt = prefix.decode(), zlib.crc32(prefix)
+            for word, n in entries.items():
+                row = rows[zlib.crc32(word, salt) % blocks]
+                for column, value in zip(row, (lang, of, word.decode(), n)):
+                    column.append(value)
+        return pd.DataFrame([(b, *row) for b, row in enumerate(rows) if row[0]],
+                            columns=["block", "lang", "prefix", "word", "n"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.frombuffer(sent.value, np.uint64)
         held: dict[tuple[str, bytes], dict[bytes, int]] = defaultdict(dict)
         size = 0
-
-        def add(lang: str, prefix: bytes, word: bytes, n: int) -> int:
-            entries = held[lang, prefix]
-            new = word not in entries
-            entries[word] = entries.get(word, 0) + n
-            return new
-
         for words in _buffers(frames):
             number, first = words.numbered(words.hashes())
-            text = {}  # bytes of the words that stand in a marked phrase
+            text: dict[int, bytes] = {}  # words that stand in a marked phrase
             prefixes, before = [b""], np.zeros(len(words), np.int64)  # phrases one shorter, and by place
-            totals = np.array([len(words)])
-            for n, whole, there in _levels(words, LONGEST, bits, LONGEST):
+            for n, _, there in _levels(words, LONGEST, bits, LONGEST):
                 at = np.flatnonzero(there)
-                pair = before[at] * len(first) + number[at + n - 1]
-                kinds, model, kind, counts = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-                of = before[at[model]]
-                rest = totals - np.bincount(of, weights=counts, minlength=len(prefixes)).astype(np.int64)
+                pair = before[at] * max(len(first), 1) + number[at + n - 1]
+                kinds, model, kind, counts = np.unique(
+                    pair, return_index=True, return_inverse=True, return_counts=True
+                )
+                of, last = before[at[model]].tolist(), (kinds % max(len(first), 1)).tolist()
                 longer = []
-                for p, w, c in zip(of.tolist(), (kinds % len(first)).tolist() if len(first) else [], counts.tolist()):
+                for p, w, c in zip(of, last, counts.tolist()):
                     if w not in text:
                         text[w] = words.word(first[w])
-                    size += add(words.lang, prefixes[p], text[w], c)
-                    longer.append(prefixes[p] + b" " + text[w] if prefixes[p] else text[w])
-                for p in np.flatnonzero(rest).tolist():
-                    size += add(words.lang, prefixes[p], b"", int(rest[p]))
+                    entries = held[words.lang, prefixes[p]]
+                    size += text[w] not in entries
+                    entries[text[w]] = entries.get(text[w], 0) + c
+                    longer.append(prefixes[p] + b" " + text[w] if p or prefixes[p] else text[w])
+                if n == 1 and len(words) > len(at):  # what is no entry of the empty prefix counts as well
+                    entries = held[words.lang, b""]
+                    entries[b""] = entries.get(b"", 0) + len(words) - len(at)
                 before = np.full(len(words), -1, np.int64)
                 before[at] = kind
-                prefixes, totals = longer, counts
+                prefixes = longer
             if size > HELD:
-                yield _frame(held)
+                yield packed(held)
                 held.clear()
                 size = 0
         if held:
-            yield _frame(held)
+            yield packed(held)
 
     return run
 
 
-def _frame(held: dict) -> pd.DataFrame:
-    return pd.DataFrame({
-        "lang": [lang for lang, _ in held],
-        "prefix": [prefix.decode() for _, prefix in held],
-        "words": [[w.decode() for w in entries] for entries in held.values()],
-        "counts": [list(entries.values()) for entries in held.values()],
-    })
+def _merged(min_count: int):
+    """Entries of equal prefix and word added up over all packed rows of a partition."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[str, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for frame in frames:
+            for _, *row in frame.itertuples(index=False):
+                for lang, prefix, word, n in zip(*row):
+                    held[lang, prefix][word] += n
+        rows = [(*of, w, n) for of, stripe in held.items() for w, n in stripe.items() if n >= min_count or not w]
+        for start in range(0, len(rows), HELD):
+            yield pd.DataFrame(rows[start : start + HELD], columns=["lang", "prefix", "word", "n"])
 
-def _filter(docs: DataFrame, min_count: int):
-    """A broadcast bit map that marks the hashes of all phrases with ``min_count`` occurrences.
-
-    Words first, then pairs of marked words, then longer phrases of marked pairs.
-    """
-    spark = docs.sparkSession
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    sent = None
-    for levels in ((1,), (2,), tuple(range(3, LONGEST + 1))):
-        counted = docs.mapInPandas(_hash_counts(levels, sent), "key long, n long")
-        frequent = counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-        place = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-        marks = frequent.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("mark")
-        )
-        found = marks.toPandas()  # at most one row for each of the map's words
-        bits[found["at"].to_numpy(np.int64)] |= found["mark"].to_numpy(np.int64).view(np.uint64)
-        sent = spark.sparkContext.broadcast(bits.tobytes())
-    return sent
+    return run
 
 
 def stripes(docs: DataFrame, store: Store, min_count: int = MIN_COUNT) -> DataFrame:
-    """Merged entries, stored: ``lang``, ``prefix``, ``word``, ``n``.
+    """Merged entries with ``min_count``, stored: ``lang``, ``prefix``, ``word``, ``n``.
 
-    Entries of an empty ``word`` count what follows a prefix and is not listed. Entries are the unit of
-    the shuffle, so that the stripe of a very common prefix is spread over all tasks.
+    The stripe of the empty prefix has all words; rare ones are one entry, under an empty word. Entries
+    are dealt by a hash of prefix and word, so that the stripe of a very common prefix is spread over all
+    tasks; a task holds the distinct frequent entries of its share.
     """
     texts = docs.select(
         F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
     )
-    sent = _filter(texts, min_count)
-    parts = texts.mapInPandas(_stripes(sent), "lang string, prefix string, words array<string>, counts array<long>")
-    entries = parts.select("lang", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e"))
-    merged = entries.groupBy("lang", "prefix", F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("n"))
-    return store.put(merged, "stripes")
+    sent, blocks = _filter(texts, min_count), _blocks(docs)
+    packed = "block int, lang array<string>, prefix array<string>, word array<string>, n array<long>"
+    parts = texts.mapInPandas(_stripes(blocks, sent), packed).repartition(blocks, "block")
+    return store.put(parts.mapInPandas(_merged(min_count), "lang string, prefix string, word string, n long"), "stripes")
 
 
 def collocations(
@@ -259,9 +331,8 @@ def collocations(
     candidate as often as anywhere is left out.
     """
     entries = stripes(docs, store, min_count)
-    totals = entries.groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
     phrase = F.when(F.col("prefix") == "", F.col("word")).otherwise(F.concat_ws(" ", "prefix", "word"))
-    listed = entries.where((F.col("word") != "") & (F.col("n") >= min_count)).select("lang", phrase.alias("phrase"), "prefix", "n")
+    listed = entries.where((F.col("word") != "")).select("lang", phrase.alias("phrase"), "prefix", "n")
     counts = store.put(listed, "phrases")
     candidates = counts.where("prefix <> ''")
 
@@ -280,7 +351,7 @@ def collocations(
                        part(F.col("k") + 1, F.size("w")).alias("right"))
     left = counts.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l"))
     right = counts.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r"))
-    size = totals.where("prefix = ''").select("lang", "n")
+    size = entries.where("prefix = ''").groupBy("lang").agg(F.sum("n").alias("n"))
     scored = cuts.join(left, ["lang", "left"]).join(right, ["lang", "right"]).join(size, "lang")
     wide = lambda c: F.col(c).cast("decimal(18,0)")
     score = F.expr("(cast(1000 as decimal(4,0)) * a18 * n18) div (l18 * r18)")

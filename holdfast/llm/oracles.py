@@ -8,6 +8,12 @@ from holdfast.llm.licenses import COVERAGE, TEMPLATES
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+#: Reflected CRC-32 of the decimal digits of ``conv_id``, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
 
 def _license_sql() -> str:
     """Every template tried at every word: phrase in place, coverage at least a half."""
@@ -111,6 +117,36 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
        coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
        coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op11_zfast_prefix_trie": f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i,
+         {{'k': md5(coalesce(role, '')) || md5(coalesce(text, '')),
+           'w': len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))}} AS turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(turn ORDER BY i) AS ts, {_CRC32} % 4 AS h FROM t GROUP BY conv_id
+), seq AS (
+  SELECT o.conv_id, list_concat(coalesce(b.ts[1 : o.h], []), o.ts[o.h + 1 :]) AS s
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+), node AS (
+  SELECT s[1 : d] AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(s) = d) AS ends
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seq) GROUP BY 1, 2
+), child AS (
+  SELECT p[1 : d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1
+), sub AS (
+  SELECT p[1 : k] AS p, CAST(sum(saved) AS BIGINT) AS saved, count(*) FILTER (WHERE leaf) AS leaves
+  FROM (
+    SELECT node.p, (n_convs - 1) * CASE WHEN d > 0 THEN node.p[d].w ELSE 0 END AS saved, child.n IS NULL AS leaf,
+           unnest(range(0, d + 1)) AS k
+    FROM node LEFT JOIN child ON child.p = node.p
+  ) GROUP BY 1
+)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(child.n, 0) AS n_children,
+       sub.leaves AS n_leaves, sub.saved AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN sub ON sub.p = node.p LEFT JOIN child ON child.p = node.p
+LEFT JOIN node up ON up.d = node.d - 1 AND up.p = node.p[1 : node.d - 1]
 """,
     "op12_collocation_stripes": _collocation_sql(),
 }

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import (
-    bpe, collocations, ctw, decontamination, licenses, lines, quality, sharding, simhash, substrings, toxicity,
+    bpe, collocations, ctw, decontamination, licenses, lines, prefix_trie, quality, sharding, simhash, substrings,
+    toxicity, url_templates,
 )
 from holdfast.llm.common import Store, table
 
@@ -71,10 +72,27 @@ def op10_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.filtered(table(spark, sf_dir, "documents"), Store(spark)).drop("failed")
 
 
+def op11_zfast_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"), Store(spark))
+
+
 def op12_collocation_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), Store(spark))
 
 
+URL_RULES = (
+    url_templates.Rule("org", "/", "allow"),
+    url_templates.Rule("example.org", "/es/", "block"),
+    url_templates.Rule("example.org", "/en/1", "block"),
+    url_templates.Rule("com", "/fr/", "allow"),
+    url_templates.Rule("com", "/de/", "block"),
+)
+
+
+def op13_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES, Store(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_shards,
         op9_simhash_golay,
         op10_adaptive_quality,
+        op11_zfast_prefix_trie,
         op12_collocation_stripes,
+        op13_path_templates,
     )
 }

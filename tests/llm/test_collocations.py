@@ -59,17 +59,23 @@ def test_equals_direct_counts(spark):
         assert sorted(tuple(r) for r in found.collect()) == counted_directly(rows, 6, limit)
 
 
-def test_stripes_sum_to_their_prefixes(spark):
-    rows = [("en", "a b c. a b d. a b c, x")] * 4
+def test_stripes_hold_frequent_entries_and_all_words(spark):
+    rows = [("en", "a b c. a b d. a b c, x")] * 4 + [("en", "rare words")]
     docs = spark.createDataFrame(rows, "lang string, text string")
     held = collocations.stripes(docs, Store(spark), min_count=4).collect()
     stripe = defaultdict(dict)
     for r in held:
         stripe[r.prefix][r.word] = r.n
-    assert stripe[""] == {"a": 12, "b": 12, "c": 8, "d": 4, "x": 4}
-    assert stripe["a"] == {"b": 12}
-    assert stripe["a b"] == {"c": 8, "d": 4}
-    assert stripe["a b c"] == {"": 8}
+    assert stripe == {"": {"a": 12, "b": 12, "c": 8, "d": 4, "x": 4, "": 2}, "a": {"b": 12}, "b": {"c": 8, "d": 4},
+                      "a b": {"c": 8, "d": 4}}
+
+
+def test_packed_numbers_and_sums():
+    numbers = np.array([0, 1, 255, 256, 2**32 - 1], np.uint64)
+    assert collocations._numbers(collocations._planes(numbers)).tolist() == numbers.tolist()
+    keys, counts = collocations._summed(np.array([5, 2, 5, 9]), np.array([1, 2, 3, 4]))
+    assert keys.tolist() == [2, 5, 9] and counts.tolist() == [2, 4, 4]
+    assert [x.tolist() for x in collocations._summed(np.zeros(0, int), np.zeros(0, int))] == [[], []]
 
 
 @pytest.mark.parametrize("step", (64, 4096))
