@@ -177,18 +177,18 @@ class Trie:
         return self.store.put(out, "compacted")
 
     def handles(self) -> DataFrame:
-        """Stored ``f, k1, k2`` (a handle) with the node's depth ``hi`` and its own hash ``e1, e2``."""
+        """Stored ``f, k1, k2`` (a handle) with the edge ``(lo, hi]`` and the node's hash ``e1, e2``."""
         edges = self.compacted()
-        edges = edges.select("owner", "hi", F.col("k1").alias("e1"), F.col("k2").alias("e2"),
+        edges = edges.select("owner", "lo", "hi", F.col("k1").alias("e1"), F.col("k2").alias("e2"),
                              two_fattest(F.col("lo"), F.col("hi")).alias("f"))
         at = self.nodes().select("owner", F.col("d").alias("f"), "k1", "k2")
-        return self.store.put(edges.join(at, ["owner", "f"]).select("f", "k1", "k2", "hi", "e1", "e2"), "handles")
+        return self.store.put(edges.join(at, ["owner", "f"]).select("f", "k1", "k2", "lo", "hi", "e1", "e2"), "handles")
 
     def exits(self, batch: DataFrame, ends: DataFrame) -> DataFrame:
         """``cls`` and ``low``, the depth of the deepest node on its way: fat binary search of all together.
 
-        A probe that finds a handle goes on below that node, or stops if the conversation leaves the
-        node's edge; one that finds none goes on above the probed depth.
+        A probe that finds a handle goes on below that node, or stops above the node's edge if the
+        conversation leaves it; one that finds none goes on above the probed depth.
         """
         store = self.store
         handles = if_small(self.handles())
@@ -202,8 +202,8 @@ class Trie:
             met = asked.join(probed, ["cls", "f"]).join(handles, ["f", "k1", "k2"], "left")
             met = met.join(reached, ["cls", "hi"], "left")
             inside = F.coalesce((F.col("r1") == F.col("e1")) & (F.col("r2") == F.col("e2")), F.lit(False))
-            low = F.when(inside, F.col("hi")).otherwise(F.col("low"))
-            high = F.when(F.col("hi").isNull(), F.col("f") - 1).when(inside, F.col("high")).otherwise(F.col("low"))
+            low = F.when(inside, F.col("hi")).otherwise(F.coalesce("lo", "low"))
+            high = F.when(F.col("hi").isNull(), F.col("f") - 1).when(inside, F.col("high")).otherwise(F.col("lo"))
             state = store.put(
                 met.select("cls", low.alias("low"), high.alias("high")), "search",
                 left=F.count_if(F.col("low") < F.col("high")),
