@@ -68,7 +68,7 @@ def main() -> None:
         scored = RetentionJob(spark, args.root, tiers=args.tiers, **choice)
         scored.run(F.lit(args.as_of).cast("timestamp"))
     elif args.job == "status":
-        monitoring.run_status(job.predictions()).show(truncate=False)
+        monitoring.status_of(monitoring.history_of(job.ledger())).show(truncate=False)
     elif args.job == "retier":
         job.retier().show(truncate=False)
     elif args.job == "export":

@@ -43,6 +43,12 @@ def per_run(predictions: DataFrame) -> DataFrame:
     )
 
 
+def ledger_rows(predictions: DataFrame) -> DataFrame:
+    """What a run's ledger row holds: all that monitors say of a run without its predictions."""
+    more = predictions.groupBy("prediction_date").agg(F.sum("revenue_at_risk").alias("quarter_revenue_at_risk"))
+    return per_run(predictions).join(more, "prediction_date")
+
+
 def run_statistics(predictions: DataFrame) -> DataFrame:
     """Statistics of the last run."""
     return per_run(latest_run(predictions))
@@ -50,18 +56,28 @@ def run_statistics(predictions: DataFrame) -> DataFrame:
 
 def run_history(predictions: DataFrame, runs: int = 5) -> DataFrame:
     """The last runs, newest first."""
-    return last_runs(predictions, runs).groupBy("prediction_date").agg(
-        F.count("*").alias("customer_count"),
-        F.count_if(F.col("risk_tier") == HIGH).alias("high_risk_count"),
-        F.round(F.avg("churn_probability"), 4).alias("avg_churn_prob"),
-        F.round(F.sum("revenue_at_risk"), 0).alias("total_revenue_at_risk"),
-    ).orderBy(F.desc("prediction_date")).limit(runs)
+    return history_of(ledger_rows(last_runs(predictions, runs)), runs)
+
+
+def history_of(ledger: DataFrame, runs: int = 5) -> DataFrame:
+    """The last runs, newest first, from ledger rows."""
+    return ledger.orderBy(F.desc("prediction_date")).limit(runs).select(
+        "prediction_date",
+        F.col("total_predictions").alias("customer_count"),
+        "high_risk_count",
+        F.round("avg_churn", 4).alias("avg_churn_prob"),
+        F.round("quarter_revenue_at_risk", 0).alias("total_revenue_at_risk"),
+    ).orderBy(F.desc("prediction_date"))
 
 
 def run_status(predictions: DataFrame, runs: int = 5) -> DataFrame:
     """Run history as report text, with the share of high-risk customers."""
+    return status_of(run_history(predictions, runs))
+
+
+def status_of(history: DataFrame) -> DataFrame:
     share = ratio(F.col("high_risk_count"), F.col("customer_count"))
-    return run_history(predictions, runs).select(
+    return history.select(
         "prediction_date",
         "customer_count",
         "high_risk_count",
@@ -72,13 +88,13 @@ def run_status(predictions: DataFrame, runs: int = 5) -> DataFrame:
 
 
 def run_delta(predictions: DataFrame) -> DataFrame:
-    """Mean probability of the last run next to the one before it.
+    """Mean probability of the last run next to the one before it."""
+    return delta_of(per_run(last_runs(predictions, 2)))
 
-    The unpartitioned window sees two rows: the runs are aggregated and limited first.
-    """
-    means = last_runs(predictions, 2).groupBy("prediction_date").agg(
-        F.avg("churn_probability").alias("avg_churn")
-    ).orderBy(F.desc("prediction_date")).limit(2)
+
+def delta_of(runs: DataFrame) -> DataFrame:
+    """The unpartitioned window sees two rows: the runs are aggregated and limited first."""
+    means = runs.select("prediction_date", "avg_churn").orderBy(F.desc("prediction_date")).limit(2)
     by_run = Window.partitionBy(F.lit(0)).orderBy("prediction_date")
     return means.select(
         F.col("prediction_date").alias("latest_run"),
@@ -92,9 +108,11 @@ def run_delta(predictions: DataFrame) -> DataFrame:
 
 def drift(predictions: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Relative change of the mean probability; always one row, also without runs."""
-    means = last_runs(predictions, 2).groupBy("prediction_date").agg(
-        F.avg("churn_probability").alias("avg_churn")
-    ).orderBy(F.desc("prediction_date")).limit(2)
+    return drift_of(per_run(last_runs(predictions, 2)), cfg)
+
+
+def drift_of(runs: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    means = runs.select("prediction_date", "avg_churn").orderBy(F.desc("prediction_date")).limit(2)
     two = means.agg(
         F.sort_array(F.collect_list(F.struct("prediction_date", "avg_churn")), asc=False)
         .alias("runs")
@@ -117,11 +135,16 @@ def drift(predictions: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 def risk_anomaly(predictions: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Shares of high and medium risk in the last run against their limits."""
-    tier = F.col("risk_tier")
-    total = F.count("*")
-    shares = latest_run(predictions).agg(
-        F.coalesce(ratio(F.count_if(tier == HIGH), total), F.lit(0.0)).alias("high_pct"),
-        F.coalesce(ratio(F.count_if(tier == MEDIUM), total), F.lit(0.0)).alias("medium_pct"),
+    return anomaly_of(per_run(latest_run(predictions)), cfg)
+
+
+def anomaly_of(runs: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Of the last of some runs; one row also without runs."""
+    last = lambda name: F.max_by(name, "prediction_date")
+    total = last("total_predictions")
+    shares = runs.agg(
+        F.coalesce(ratio(last("high_risk_count"), total), F.lit(0.0)).alias("high_pct"),
+        F.coalesce(ratio(last("medium_risk_count"), total), F.lit(0.0)).alias("medium_pct"),
     )
 
     def warning(name: str, share: Column, limit: float) -> Column:
@@ -160,12 +183,17 @@ def _metric(
 
 def monitoring_checks(predictions: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """The metric rows of one monitoring pass; the statistics rows need a run to exist."""
-    moved = drift(predictions, cfg)
+    return checks_of(per_run(last_runs(predictions, 2)), cfg)
+
+
+def checks_of(runs: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """The metric rows from the rows of the last runs, two at least."""
+    moved = drift_of(runs, cfg)
     drift_row = moved.select(
         _metric("prediction_drift", "daily_drift_detection", F.col("pct_change"),
                 F.col("message"), F.col("is_drift")).alias("m")
     )
-    shares = risk_anomaly(predictions, cfg)
+    shares = anomaly_of(runs, cfg)
     share_notes = F.concat(
         F.lit("High: "), percent(F.col("high_pct")),
         F.lit(", Medium: "), percent(F.col("medium_pct")),
@@ -182,7 +210,8 @@ def monitoring_checks(predictions: DataFrame, cfg: Settings = DEFAULT) -> DataFr
         F.lit("High Risk: "), F.col("high_risk_count").cast("string"),
         F.lit(", Medium: "), F.col("medium_risk_count").cast("string"),
     )
-    stat_rows = run_statistics(predictions).select(
+    newest = runs.orderBy(F.desc("prediction_date")).limit(1)
+    stat_rows = newest.select(
         F.explode(F.array(
             _metric("prediction_stats", "average_churn_probability", F.col("avg_churn"), range_notes),
             _metric("prediction_stats", "total_revenue_at_risk", F.col("total_revenue_at_risk"),

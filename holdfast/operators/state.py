@@ -3,7 +3,8 @@
 Features of the latest period look back over a few rows, the number of rows and the first
 one; a journey needs the first period at risk besides. One row per customer holds that, so a
 day costs one new period and one join, whatever the length of the history. A late row, of a
-period that the state has passed, makes it wrong: ``covers`` tells, and the state is built anew.
+period that the state has passed, makes the state of its customer wrong, and of no other: that
+customer's state is built anew.
 """
 
 from __future__ import annotations
@@ -57,13 +58,32 @@ def extend(state: DataFrame, newer: DataFrame, cfg: Settings = DEFAULT) -> DataF
     )
 
 
-def covers(state: DataFrame, panel: DataFrame, until: str) -> bool:
-    """Whether the state has seen all rows up to ``until``: a late row changes their number.
+def continued(state: DataFrame, newer: DataFrame, cfg: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """As ``extend``, in two frames: customers of the state, and those who are new.
 
-    The panel's side counts rows of folders, which reads no column.
+    Customers without an id are refused at ingestion, so the joins are plain. They keep the layout of the
+    state: when both sides are bucketed by customer there is no shuffle.
     """
-    seen = state.agg(F.sum("history")).first()[0] or 0
-    return seen == panel.where(F.col("period") <= until).count()
+    arrived = build(newer, cfg)
+    renamed = arrived.select(*[F.col(c).alias(f"new_{c}") for c in arrived.columns])
+    both = state.join(renamed, state["customer_id"] == F.col("new_customer_id"), "left")
+    nothing = F.array().cast(state.schema["recent"].dataType)
+    known = both.select(
+        "customer_id",
+        _last(F.concat("recent", F.coalesce("new_recent", nothing)), 2 * cfg.window_rows).alias("recent"),
+        (F.col("history") + F.coalesce("new_history", F.lit(0))).alias("history"),
+        "oldest_logins",
+        F.coalesce("first_risk_row", F.col("history") + F.col("new_first_risk_row")).alias("first_risk_row"),
+        F.coalesce("first_risk_period", "new_first_risk_period").alias("first_risk_period"),
+    )
+    return known, arrived.join(state.select("customer_id"), "customer_id", "left_anti")
+
+
+def repaired(state: DataFrame, late: DataFrame, history: DataFrame, cfg: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """State of the customers without late rows, as it is, and of those with some, from their history."""
+    touched = late.select("customer_id").distinct()
+    again = build(history.join(touched, "customer_id", "left_semi"), cfg)
+    return state.join(touched, "customer_id", "left_anti"), again
 
 
 def latest_features(

@@ -1,7 +1,7 @@
 """The daily job: stored engagement in, every decision table out.
 
-Each step reads stored tables and writes one stored table, so a step that is
-lost or repeated does not repeat the others and adds no rows.
+Each step reads published tables and publishes one, whole or not at all, so a step that is stopped
+leaves the tables as they were, and repeating it adds no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +25,17 @@ from holdfast.operators import (
 )
 from holdfast.operators import prescriptions as rx
 from holdfast.sources import tables
+from holdfast.sources.versions import VersionedTable
+
+#: Tables with one layout by customer, and their partition columns.
+BY_CUSTOMER = {
+    "customers": None,
+    "engagement": "period",
+    "customer_state": None,
+    "predictions": "prediction_date",
+    "interventions": "log_day",
+    **dict.fromkeys(schemas.DERIVED),
+}
 
 
 @dataclass(frozen=True)
@@ -37,7 +48,61 @@ class Store:
         return f"{self.root.rstrip('/')}/{name}"
 
 
-class RetentionJob:
+class JobTables:
+    """The published tables below one folder. All have as many buckets, so that they join without a shuffle."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        self.spark, self.store, self.buckets = spark, Store(root), buckets
+
+    def table(self, name: str) -> VersionedTable:
+        path = self.store.path(name)
+        if name in BY_CUSTOMER:
+            return VersionedTable(self.spark, path, BY_CUSTOMER[name], "customer_id", self.buckets)
+        return VersionedTable(self.spark, path)
+
+    def read(self, name: str) -> DataFrame:
+        """A published table; one that is declared is empty before it is written, with the customers' key type."""
+        if name == "model_metrics":
+            return tables.load(self.spark, self.store.path(name), schemas.MODEL_METRICS)
+        table, declared = self.table(name), self._declared(name)
+        if declared is not None and not table.exists():
+            return schemas.empty(self.spark, declared)
+        return table.read(schema=declared)
+
+    def _declared(self, name: str) -> T.StructType | None:
+        declared = {**schemas.DERIVED, "interventions": schemas.INTERVENTION_LOG}.get(name)
+        if declared is None:
+            return None
+        kind = self.table("customers").schema()["customer_id"].dataType
+        return T.StructType([
+            T.StructField("customer_id", kind, f.nullable) if f.name == "customer_id" else f for f in declared
+        ])
+
+    def one(self, name: str, customer_id, parts: list[str] | None = None) -> DataFrame:
+        """Rows of one customer: of each piece one file, there the row groups that can hold the customer."""
+        return self.table(name).lookup(customer_id, parts, self._declared(name))
+
+    # --- arriving rows -----------------------------------------------------------------------
+
+    def load_customers(self, customers: DataFrame) -> None:
+        self.table("customers").replace(customers)
+
+    def add_engagement(self, rows: DataFrame) -> None:
+        """Add rows whose (customer, period) is not stored yet; rows without one are refused.
+
+        The arriving plan runs once. Of the stored table the keys of the arriving periods are read.
+        """
+        table = self.table("engagement")
+        arrived = tables.stored(tables.validate_columns(rows), "arriving")
+        tables.refuse_null_keys(arrived, tables.PANEL_KEY)
+        periods = [r["period"] for r in arrived.select("period").distinct().collect()]  # bounded by the calendar
+        if table.pieces(periods):
+            known = table.read(periods, T.StructType([arrived.schema[c] for c in tables.PANEL_KEY]))
+            arrived = tables.new_rows(arrived, known, tables.PANEL_KEY)
+        table.append(arrived)
+
+
+class RetentionJob(JobTables):
     """The steps of one day.
 
     ``strategy`` scores features, ``explainer`` adds contributions to scored
@@ -52,136 +117,175 @@ class RetentionJob:
         tiers: str = "business",
         cfg: Settings = DEFAULT,
         explainer: Callable[[DataFrame], DataFrame] | None = None,
+        buckets: int | None = None,
     ):
-        self.spark, self.store, self.cfg, self.tiers = spark, Store(root), cfg, tiers
+        super().__init__(spark, root, buckets)
+        self.cfg, self.tiers = cfg, tiers
         self.strategy = strategy or scoring.scorecard(cfg)
         self.explainer = explainer or self._explain_scorecard
 
-    def read(self, name: str) -> DataFrame:
-        """A stored table; a derived one under its declared schema, with the customers' key type."""
-        if name in schemas.DERIVED:
-            return tables.load(
-                self.spark, self.store.path(name), schemas.DERIVED[name], self._customer_type()
-            )
-        return self.spark.read.parquet(self.store.path(name))
-
-    def predictions(self) -> DataFrame:
-        """Stored runs. The run date stays text: it is a folder name, not a date."""
-        path = self.store.path("predictions")
-        found = self.spark.read.parquet(path).schema
-        fields = [
-            T.StructField(f.name, T.StringType()) if f.name == "prediction_date" else f
-            for f in found
-        ]
-        return self.spark.read.schema(T.StructType(fields)).parquet(path)
+    def predictions(self, last: int | None = None) -> DataFrame:
+        """Stored runs, all or the last ones; the dates come from the manifest."""
+        runs = self.table("predictions")
+        return runs.read(runs.parts()[-last:] if last else None)
 
     def engagement(self) -> DataFrame:
-        path = self.store.path("engagement")
-        found = self.spark.read.parquet(path).schema
-        fields = [T.StructField(f.name, T.StringType()) if f.name == "period" else f for f in found]
-        return self.spark.read.schema(T.StructType(fields)).parquet(path)
+        return self.table("engagement").read()
 
-    def _customer_type(self) -> T.DataType:
-        return self.read("customers").schema["customer_id"].dataType
+    def state(self) -> DataFrame:
+        return self.table("customer_state").read()
+
+    def ledger(self) -> DataFrame:
+        """One row per stored run, without opening a run."""
+        return self.table("run_ledger").read()
 
     # --- steps ---------------------------------------------------------------------
 
     def update_state(self) -> None:
         """Bring the customers' state up to the last stored period.
 
-        Reads the new periods only, or everything if there is no state yet or rows have
-        arrived for periods that it has passed.
+        The state notes which pieces of engagement it has seen. New pieces of later periods continue
+        it; customers with rows in new pieces of earlier periods are built anew from their history.
         """
-        path, panel = self.store.path("customer_state"), self.engagement()
-        latest = panel.agg(F.max("period")).first()[0]
-        if latest is None:
+        table, stored = self.table("customer_state"), self.table("engagement")
+        pieces = stored.pieces()
+        if not pieces:
             raise ValueError("no engagement has been stored")
-        known = self._state_until()
-        old = self.state() if known else None
-        if old is not None and state.covers(old, panel, known):
-            newer = panel.where(F.col("period") > known)
-            new = state.extend(old, newer, self.cfg) if latest > known else None
-        else:
-            new = state.build(panel, self.cfg)
-        if new is not None:
-            tables.replace_table(new, f"{path}/until={latest}")
-            tables.keep_only(self.spark, path, f"until={latest}")
-
-    def _state_until(self) -> str | None:
-        """Last period of the stored state: the name of its folder."""
-        names = tables.folders(self.spark, self.store.path("customer_state"))
-        return max((n.removeprefix("until=") for n in names), default=None)
+        note = {"until": max(p.part for p in pieces), "seen": [p.folder for p in pieces]}
+        before = table.note() if table.exists() else {"seen": []}
+        seen = set(before["seen"])
+        if not seen or not seen <= set(note["seen"]):
+            table.replace(state.build(self.engagement(), self.cfg), note=note)
+            return
+        fresh = [p for p in pieces if p.folder not in seen]
+        late = [p for p in fresh if p.part <= before["until"]]
+        newer = [p for p in fresh if p.part > before["until"]]
+        if late:
+            known = [p for p in pieces if p.part <= before["until"]]
+            kept, again = state.repaired(
+                self._state_by_key(), stored.read(pieces=late), stored.read(pieces=known), self.cfg
+            )
+            middle = {"until": before["until"], "seen": [*before["seen"], *(p.folder for p in late)]}
+            table.replace(kept, again, note=middle)
+        if newer:
+            rows = stored.by_key(newer[0]) if len(newer) == 1 else stored.read(pieces=newer)
+            table.replace(*state.continued(self._state_by_key(), rows, self.cfg), note=note)
 
-    def state(self) -> DataFrame:
-        return self.spark.read.parquet(self.store.path(f"customer_state/until={self._state_until()}"))
+    def _state_by_key(self) -> DataFrame:
+        table = self.table("customer_state")
+        return table.by_key(table.pieces()[0])
 
     def features(self) -> None:
         """Features of the latest period, from the state."""
-        current = state.latest_features(
-            self.state(), self.read("customers"), self._state_until(), self.cfg
-        )
-        tables.replace_table(current, self.store.path("current_features"))
+        until = self.table("customer_state").note()["until"]
+        current = state.latest_features(self.state(), self.read("customers"), until, self.cfg)
+        self.table("current_features").replace(current)
 
     def score(self) -> None:
         current = self.read("current_features")
         predicted = scoring.predict(current, self.strategy, self.tiers, self.cfg)
-        ranked = scoring.with_risk_rank(predicted)
+        self.store_runs(scoring.with_risk_rank(predicted))
+
+    def store_runs(self, ranked: DataFrame) -> None:
+        """Publish whole runs; a run of the same date is replaced, and so is its ledger row."""
         key = F.concat_ws("|", F.col("customer_id").cast("string"), "prediction_date")
-        stored = ranked.select(
-            monitoring.stable_id(key).alias("prediction_id"),
-            *[c for c in schemas.PREDICTIONS.fieldNames() if c in ranked.columns],
-            F.to_timestamp("prediction_date").alias("predicted_at"),
+        stored = ranked.withColumns({
+            "prediction_id": monitoring.stable_id(key), "predicted_at": F.to_timestamp("prediction_date"),
+        })
+        self.table("predictions").replace_parts(
+            stored.select(*[c for c in schemas.PREDICTIONS.fieldNames() if c in stored.columns])
         )
-        tables.store_predictions(self.spark, stored, self.store.path("predictions"))
+        self.update_ledger()
+
+    def update_ledger(self) -> None:
+        """Ledger rows of runs that were published since the last update; other rows are kept.
+
+        The ledger notes the folders that its rows come from, so a stop between a run and its row
+        is mended by the next update.
+        """
+        ledger, runs = self.table("run_ledger"), self.table("predictions")
+        now = {part: sorted(p.folder for p in runs.pieces([part])) for part in runs.parts()}
+        before = ledger.note() if ledger.exists() else {}
+        changed = [part for part, folders in now.items() if before.get(part) != folders]
+        if not changed and set(before) <= set(now):
+            return
+        rows = monitoring.ledger_rows(runs.read(changed))
+        if ledger.exists():
+            kept = [part for part in now if part not in changed]
+            rows = ledger.read().where(F.col("prediction_date").isin(kept)).unionByName(rows)
+        ledger.replace(rows.coalesce(1), note=now)  # one row per run
 
     def retier(self) -> DataFrame:
         """Give all stored runs business tiers; returns the customers per tier.
 
-        Only runs in which a tier changes are rewritten. Their new rows are staged first,
-        since the table cannot be read while its folders are replaced.
+        One scan of three columns finds the runs in which a tier changes; only those are rewritten.
         """
-        stored = self.predictions()
-        new = scoring.retier(stored, self.cfg)
-        old_tier = stored.select("customer_id", "prediction_date", F.col("risk_tier").alias("old_tier"))
-        changed = new.join(old_tier, ["customer_id", "prediction_date"]).where(
-            ~F.col("risk_tier").eqNullSafe(F.col("old_tier"))
-        ).select("prediction_date").distinct()
-        staged = tables.stored(new.join(changed, "prediction_date", "left_semi"), "retiered")
-        tables.store_predictions(self.spark, staged, self.store.path("predictions"))
+        runs = self.table("predictions")
+        now = scoring.retier(runs.read().withColumn("old_tier", F.col("risk_tier")), self.cfg)
+        moved = now.where(~F.col("risk_tier").eqNullSafe(F.col("old_tier")))
+        changed = [r["prediction_date"] for r in moved.select("prediction_date").distinct().collect()]
+        if changed:
+            runs.replace_parts(scoring.retier(runs.read(changed), self.cfg))
+            self.update_ledger()
         return serving.value_counts(self.predictions(), "risk_tier")
 
     def prescribe(self) -> None:
-        run = monitoring.latest_run(self.predictions())
-        tables.replace_table(rx.prescribe(run), self.store.path("prescriptions"))
+        self.table("prescriptions").replace(rx.prescribe(self.predictions(last=1)))
 
     def journeys(self) -> None:
-        tables.replace_table(
-            state.journey_summary(self.state()), self.store.path("customer_journeys")
-        )
+        self.table("customer_journeys").replace(state.journey_summary(self.state()))
 
     def explain(self) -> None:
-        run = monitoring.latest_run(self.predictions())
-        rows = explain.features_with_predictions(self.read("current_features"), run)
-        tables.replace_table(explain.summary(self.explainer(rows)), self.store.path("explanations"))
+        rows = explain.features_with_predictions(self.read("current_features"), self.predictions(last=1))
+        self.table("explanations").replace(explain.summary(self.explainer(rows)))
 
     def _explain_scorecard(self, rows: DataFrame) -> DataFrame:
         return explain.explain_linear(rows, self.cfg, ("customer_id", "churn_probability"))
 
     def act(self, as_of: Column) -> None:
-        path = self.store.path("interventions")
-        log = actions.day_of_log(
-            tables.load(self.spark, path, schemas.INTERVENTION_LOG, self._customer_type()), as_of
+        """Log the day's actions that are not logged yet; of the log only the day is read."""
+        log = self.table("interventions")
+        day = F.date_format(as_of.cast("timestamp"), "yyyy-MM-dd")
+        today = self.spark.range(1).select(day).first()[0]
+        done = log.read([today], self._declared("interventions")).where(F.col("log_day") == today)
+        new = actions.trigger(self.predictions(last=1), done, as_of).withColumn(
+            "log_day", F.date_format("timestamp", "yyyy-MM-dd")
         )
-        new = actions.trigger(self.predictions(), log, as_of)
-        tables.append_log(self.spark, new, path, actions.LOG_KEY, "timestamp")
+        log.append(tables.new_rows(new, done, [*actions.LOG_KEY, "log_day"]))
 
     def monitor(self, as_of: Column) -> None:
-        checks = monitoring.monitoring_checks(self.predictions(), self.cfg)
+        """The checks of the last runs, from their ledger rows."""
+        checks = monitoring.checks_of(self.ledger(), self.cfg)
         logged = monitoring.log_metrics(checks, as_of)
         tables.append_log(
             self.spark, logged, self.store.path("model_metrics"), monitoring.METRIC_KEY, "metric_time"
         )
 
+    # --- look-ups of one customer --------------------------------------------------------------
+
+    def customer(self, customer_id) -> DataFrame:
+        """The last prediction of a customer; no row when the customer is unknown."""
+        last = self.table("predictions").parts()[-1:]
+        return serving.customer_lookup(self.one("predictions", customer_id, last), customer_id)
+
+    def customer_view(self, customer_id) -> DataFrame:
+        """Prediction, prescription and explanation of one customer, side by side."""
+        last = self.table("predictions").parts()[-1:]
+        return serving.customer_360(
+            self.one("predictions", customer_id, last),
+            self.one("prescriptions", customer_id),
+            self.one("explanations", customer_id),
+        )
+
+    def prescription(self, customer_id) -> DataFrame:
+        return serving.prescription_lookup(self.one("prescriptions", customer_id), customer_id)
+
+    def explanation(self, customer_id) -> DataFrame:
+        return serving.explanation_lookup(self.one("explanations", customer_id), customer_id)
+
+    def interventions_of(self, customer_id) -> DataFrame:
+        return actions.intervention_history(self.one("interventions", customer_id), customer_id)
+
     def run(self, as_of: Column) -> None:
         """All steps of the day. ``as_of`` is the date of the run, never the clock."""
         self.update_state()
@@ -195,9 +299,9 @@ class RetentionJob:
 
 
 def load_inputs(
-    spark: SparkSession, root: str, engagement: DataFrame, customers: DataFrame
+    spark: SparkSession, root: str, engagement: DataFrame, customers: DataFrame, buckets: int | None = None
 ) -> None:
     """Store customers whole and add the engagement rows that are new."""
-    store = Store(root)
-    tables.replace_table(customers, store.path("customers"))
-    tables.append_engagement(spark, engagement, store.path("engagement"))
+    stored = JobTables(spark, root, buckets)
+    stored.load_customers(customers)
+    stored.add_engagement(engagement)

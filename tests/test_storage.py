@@ -139,11 +139,13 @@ def test_monitors_read_the_last_runs_only(spark, make_predictions, tmp_path):
 def test_retier_rewrites_only_runs_with_changes(spark, make_predictions, tmp_path):
     job = RetentionJob(spark, str(tmp_path))
     runs = [("A", "2024-01-01", 0.01, "Low Risk"), ("B", "2024-01-02", 0.99, "Low Risk")]
-    tables.store_predictions(spark, make_predictions(*runs), job.store.path("predictions"))
-    folder = tmp_path / "predictions" / "prediction_date=2024-01-01"
-    before = sorted(f.name for f in folder.iterdir())
+    stored = job.table("predictions")
+    stored.replace_parts(make_predictions(*runs))
+    before = stored.pieces()
     job.retier()
-    assert sorted(f.name for f in folder.iterdir()) == before
+    after = stored.pieces()
+    assert [p for p in after if p.part == "2024-01-01"] == [p for p in before if p.part == "2024-01-01"]
+    assert [p for p in after if p.part == "2024-01-02"] != [p for p in before if p.part == "2024-01-02"]
     assert job.predictions().where("customer_id = 'B'").first()["risk_tier"] == "High Risk"
 
 
@@ -266,7 +268,7 @@ def test_daily_job_fills_every_table(stored_job, workspace):
 
 def test_derived_tables_have_their_declared_schema(stored_job, spark):
     for name, declared in schemas.DERIVED.items():
-        written = spark.read.parquet(stored_job.store.path(name)).schema
+        written = stored_job.table(name).schema()
         assert [(f.name, f.dataType) for f in written if f.name != "customer_id"] == [
             (f.name, f.dataType) for f in declared if f.name != "customer_id"]
         assert stored_job.read(name).columns == declared.fieldNames()
@@ -296,7 +298,7 @@ def test_state_of_some_days_equals_all_history(spark, workspace, tmp_path):
         assert found.schema.simpleString() == wanted.schema.simpleString()
         assert rounded(found) == rounded(wanted)
         assert rounded(job.read("customer_journeys")) == rounded(journeys.summary(stored))
-    assert tables.folders(spark, job.store.path("customer_state")) == [f"until={days[8]}"]
+    assert job.table("customer_state").note()["until"] == days[8]
 
 
 def test_late_rows_rebuild_the_state(spark, make_panel, tmp_path):
@@ -334,7 +336,7 @@ def test_retier_rewrites_every_stored_run(spark, make_predictions, tmp_path):
     job = RetentionJob(spark, str(tmp_path))
     runs = [("A", "2024-01-01", 0.25, "Low Risk"), ("B", "2024-01-02", 0.5, "Medium Risk"),
             ("C", "2024-01-02", 0.1, "Low Risk")]
-    tables.store_predictions(spark, make_predictions(*runs), job.store.path("predictions"))
+    job.table("predictions").replace_parts(make_predictions(*runs))
     found = {r["risk_tier"]: r["customers"] for r in job.retier().collect()}
     assert found == {"Low Risk": 1, "Medium Risk": 1, "High Risk": 1}
     assert job.predictions().count() == 3
