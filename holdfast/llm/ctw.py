@@ -10,11 +10,14 @@ estimate and of what came from below, weighted by how well each explained the tr
 The probability of a byte depends on it and the ``depth`` bytes before: a gram. So a block of
 documents needs its distinct grams only, each with a probability, and those of all blocks meet
 once: grams are dealt by the three bytes nearest to the predicted one, which keeps whole
-subtrees together. Within such a part the trees are built in arrays; the contexts of up to two
-bytes, at most 65,536 times 255 decisions whatever the input, are summed over the parts.
-Words and their counts, for the word-frequency score, take the same way.
-
-Every step holds one block or one part, whose number grows with the input.
+subtrees together. A part first adds up the counts of equal grams of all blocks, then builds the trees of
+a few contexts at a time; the contexts of up to two bytes, at most 65,536 times 255 decisions
+whatever the input, are summed over the parts. Words and their counts, for the word-frequency score,
+take the same way.
+
+Blocks and parts travel packed: the sorted grams of one block for one part are one row. Texts and packed
+rows are read as streams in the order of their block, so a worker holds the distinct grams of one
+block, or of one part, and a few megabytes of text. Their number grows with the input.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import Store, texts
@@ -35,8 +38,8 @@ from holdfast.llm.common import Store, texts
 DEPTH = 5
 #: Depth from which contexts stay together in one part.
 DEALT = 3
-#: Bytes of text in a block and rows in a part, about.
-BLOCK_BYTES, PART_ROWS = 24 << 20, 250_000
+#: Bytes of text in a block, and grams of which trees are built at a time, about.
+BLOCK_BYTES, TREE_GRAMS = 24 << 20, 100_000
 #: Positions that are scored at a time.
 STEP = 1 << 20
 MEMO = 1 << 18
@@ -61,6 +64,15 @@ def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     )
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, so that the zeros of small ones are runs."""
+    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 @dataclass(frozen=True)
 class Level:
     """All decisions of one depth, sorted by ``context << 8 | decision``."""
@@ -200,69 +212,175 @@ def token_hashes(documents: list[list[bytes]], memo: _Hashes) -> np.ndarray:
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
-
-
-def _counts(docs: DataFrame, depth: int) -> DataFrame:
-    """``block``, ``kind``, ``key``, ``n``: distinct tokens and grams of a block, with their training counts."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        train = frame["train"].to_numpy(dtype=bool)
-        memo, found = _Hashes(), {WORDS: [], GRAMS: []}
-        for a, b, documents in _steps(frame["text"]):
-            for learned in (True, False):
-                some = [d for d, t in zip(documents, train[a:b]) if t == learned]
-                if some:
-                    for kind, keys in ((WORDS, token_hashes(some, memo)), (GRAMS, grams_of(some, depth))):
-                        keys, n = np.unique(keys, return_counts=True)
-                        found[kind].append((keys, n * learned))
-            found = {k: [_merged(v)] for k, v in found.items()}
-        out = []
-        for kind, ((keys, n),) in found.items():
-            out.append(pd.DataFrame({"kind": kind, "key": keys, "n": n}))
-        return pd.concat(out).assign(block=frame["block"].iloc[0])
+    """Distinct keys in order with their counts."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+class _Pile:
+    """Distinct keys with counts. What comes is added when it is as much as what is there."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        if sum(len(k) for k, _ in self.parts[1:]) >= len(self.parts[0][0]):
+            self.parts = [_merged(self.parts)]
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        return _merged(self.parts)
+
 
-    return docs.groupBy("block").applyInPandas(run, "kind int, key long, n long, block long")
+def part_of(kind: int, keys: np.ndarray, parts: int, depth: int) -> np.ndarray:
+    """Where a key is counted: grams by the bytes next to the predicted one, words by their hash."""
+    near = keys >> (8 * (depth + 1 - DEALT)) if kind == GRAMS else keys
+    mixed = near.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(parts)).astype(np.int64)
 
 
-def _trained(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = _merged([(frame["key"].to_numpy(), frame["n"].to_numpy())])
-    return keys[n > 0], n[n > 0]
+PACKED = "block long, kind int, part int, keys binary, n binary, tokens long"
 
 
-def _crown(grams: DataFrame, depth: int) -> list[Level]:
+def _counts(docs: DataFrame, parts: int, depth: int) -> DataFrame:
+    """Packed distinct tokens and grams of each block, with their training counts, one row per part.
+
+    ``docs`` come sorted by ``block`` in their partitions.
+    """
+
+    def rows(block: int, found: dict[int, _Pile]) -> pd.DataFrame:
+        out = []
+        for kind, pile in found.items():
+            keys, n = pile.whole()
+            part = part_of(kind, keys, parts, depth)
+            order = np.argsort(part, kind="stable")
+            keys, n, part = keys[order], n[order], part[order]
+            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+            for i, j in zip(at, np.r_[at[1:], len(part)]):
+                tokens = int(n[i:j].sum()) if kind == WORDS else 0
+                out.append((block, kind, part[i], packed(np.diff(keys[i:j], prepend=0)), packed(n[i:j]), tokens))
+        return pd.DataFrame(out, columns=["block", "kind", "part", "keys", "n", "tokens"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, found, memo = None, {}, _Hashes()
+        for frame in frames:
+            for here, some in frame.groupby("block", sort=False):
+                if here != block:
+                    if found:
+                        yield rows(block, found)
+                    block, found = here, {WORDS: _Pile(), GRAMS: _Pile()}
+                train = some["train"].to_numpy(dtype=bool)
+                for a, b, documents in _steps(some["text"]):
+                    for learned in (True, False):
+                        chosen = [d for d, t in zip(documents, train[a:b]) if t == learned]
+                        if chosen:
+                            for kind, keys in ((WORDS, token_hashes(chosen, memo)), (GRAMS, grams_of(chosen, depth))):
+                                keys, n = np.unique(keys, return_counts=True)
+                                found[kind].add(keys, n * learned)
+        if found:
+            yield rows(block, found)
+
+    return docs.mapInPandas(run, PACKED)
+
+
+def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Of rows sorted by ``part``, the blocks' keys and counts of one part after the other."""
+    part, held = None, []
+    for frame in frames:
+        for block, here, keys, n in frame[["block", "part", "keys", "n"]].itertuples(index=False):
+            if here != part and held:
+                yield held
+                held = []
+            part = here
+            held.append((block, np.cumsum(unpacked(keys)), unpacked(n)))
+    if held:
+        yield held
+
+
+def _contexts(keys: np.ndarray, depth: int) -> Iterator[slice]:
+    """Ranges of about ``TREE_GRAMS`` sorted grams that end with the last of a context."""
+    near = keys >> (8 * (depth + 1 - DEALT))
+    starts = np.flatnonzero(np.r_[True, near[1:] != near[:-1]][: len(near)])
+    begin = 0
+    for end in [*starts[1:].tolist(), len(keys)]:
+        if end - begin >= TREE_GRAMS or end == len(keys):
+            if end > begin:
+                yield slice(begin, end)
+            begin = end
+
+
+def _by_part(counts: DataFrame, kind: int) -> DataFrame:
+    return counts.where(F.col("kind") == kind).repartition("part").sortWithinPartitions("part", "block")
+
+
+def _words(counts: DataFrame) -> DataFrame:
+    """Packed rows with the counts over all blocks instead of the block's own, and ``distinct`` on the
+    first row of a part: how many of its words were in the training rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in _parts(frames):
+            keys, n = _merged([(k, c) for _, k, c in held])
+            distinct = int((n > 0).sum())
+            for block, some, _ in held:
+                yield pd.DataFrame([(block, WORDS, packed(np.diff(some, prepend=0)),
+                                     packed(n[np.searchsorted(keys, some)]), distinct)], columns=RATED_COLUMNS)
+                distinct = 0
+
+    return _by_part(counts, WORDS).mapInPandas(run, RATED)
+
+
+RATED = "block long, kind int, keys binary, n binary, distinct long"
+RATED_COLUMNS = ["block", "kind", "keys", "n", "distinct"]
+
+
+def _crown(counts: DataFrame, depth: int) -> list[Level]:
     """The shallow levels of all parts' trees: bounded by the alphabet, so they fit the driver."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, n = _trained(frame)
-        if not len(keys):
-            return pd.DataFrame({"key": [], "n": [], "ones": [], "below": []})
-        return pd.DataFrame(dict(zip(("key", "n", "ones", "below"), tree(keys, n, depth)[-1].parents())))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in _parts(frames):
+            keys, n = _merged([(k, c) for _, k, c in held])
+            keys, n = keys[n > 0], n[n > 0]
+            for some in _contexts(keys, depth):
+                top = tree(keys[some], n[some], depth)[-1].parents()
+                yield pd.DataFrame(dict(zip(("key", "n", "ones", "below"), top)))
 
-    sums = grams.groupBy("part").applyInPandas(run, "key long, n double, ones double, below double")
+    sums = _by_part(counts, GRAMS).mapInPandas(run, "key long, n double, ones double, below double")
     sums = sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "ones", "below")]).toPandas()
     sums = sums.sort_values("key")
     return crown(*(sums[c].to_numpy() for c in ("key", "n", "ones", "below")))
 
 
-def _rated(grams: DataFrame, top: list[Level], depth: int) -> DataFrame:
-    """``block``, ``key``, ``value``: the logarithm of every gram's probability, for the blocks that have it."""
-    given = grams.sparkSession.sparkContext.broadcast(top)
+def _rated(counts: DataFrame, top: list[Level], depth: int) -> DataFrame:
+    """Packed rows whose ``n`` are the logarithms of the grams' probabilities, as the bits of doubles."""
+    given = counts.sparkSession.sparkContext.broadcast(top)
+
+    def values(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.empty(len(keys))
+        for some in _contexts(keys, depth):
+            asked, count = keys[some], n[some]
+            if count.any():
+                levels = [*tree(asked[count > 0], count[count > 0], depth), *given.value]
+            else:  # nothing of these contexts was seen: only the shallow levels speak
+                empty = Level(*(np.empty(0, dtype=t) for t in (np.int64, float, float, float, float)))
+                levels = [empty] * (depth - DEALT + 1) + given.value
+            out[some] = log_probability(levels, asked, depth)
+        return out
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, n = _trained(frame)
-        levels = [*(tree(keys, n, depth) if len(keys) else []), *given.value]
-        asked, at = np.unique(frame["key"].to_numpy(), return_inverse=True)
-        if not len(keys):  # nothing of this part was seen: only the shallow levels speak
-            empty = Level(*(np.empty(0, dtype=t) for t in (np.int64, float, float, float, float)))
-            levels = [empty] * (depth - DEALT + 1) + given.value
-        value = np.concatenate(
-            [log_probability(levels, asked[i : i + STEP], depth) for i in range(0, len(asked), STEP)]
-        )
-        return pd.DataFrame({"block": frame["block"], "key": frame["key"], "value": value[at]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in _parts(frames):
+            keys, n = _merged([(k, c) for _, k, c in held])
+            value = values(keys, n)
+            for block, some, _ in held:
+                bits = value[np.searchsorted(keys, some)].view(np.int64)
+                yield pd.DataFrame([(block, GRAMS, packed(np.diff(some, prepend=0)), packed(bits), 0)],
+                                   columns=RATED_COLUMNS)
 
-    return grams.groupBy("part").applyInPandas(run, "block long, key long, value double")
+    return _by_part(counts, GRAMS).mapInPandas(run, RATED)
 
 
 def score(docs: DataFrame, trainable: Column, store: Store, depth: int = DEPTH) -> DataFrame:
@@ -279,70 +397,66 @@ def score(docs: DataFrame, trainable: Column, store: Store, depth: int = DEPTH)
     volume = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(volume / BLOCK_BYTES))
     given = given.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    words, gram = F.col("kind") == WORDS, F.col("kind") == GRAMS
-    seen = store.put(
-        _counts(given, depth), "counts", tokens=F.sum(F.when(words, F.col("n"))), grams=F.count_if(gram)
-    )
-    n_train = seen.measured["tokens"] or 0
-    each = Window.partitionBy("key")
-    first = F.row_number().over(each.orderBy("block")) == 1
-    known = seen.where(words).select(
-        "block", "key", F.sum("n").over(each).cast("double").alias("value"), first.alias("first")
-    )
-    known = store.put(known, "words", distinct=F.count_if(F.col("first") & (F.col("value") > 0)))
-    n_distinct = known.measured["distinct"]
-
-    parts = max(1, math.ceil((seen.measured["grams"] or 0) / PART_ROWS))
-    near = F.shiftright("key", 8 * (depth + 1 - DEALT))
-    grams = seen.where(gram).select(
-        "block", "key", "n", F.pmod(F.xxhash64(near), F.lit(parts)).alias("part")
-    )
-    rated = _rated(grams, _crown(grams, depth), depth)
-    values = known.select("block", F.lit(WORDS).alias("kind"), "key", "value").union(
-        rated.select("block", F.lit(GRAMS).alias("kind"), "key", "value")
-    )
+    dealt = given.repartition("block").sortWithinPartitions("block")
+    counts = store.put(_counts(dealt, parts, depth), "counts", tokens=F.sum("tokens"))
+    words = store.put(_words(counts), "words", distinct=F.sum("distinct"))
+    grams = store.put(_rated(counts, _crown(counts, depth), depth), "grams")
+    store.drop(counts)
+    n_train, n_distinct = counts.measured["tokens"] or 0, words.measured["distinct"] or 0
 
-    def run(values: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame):
-            return pd.DataFrame(columns=["doc_id", "n_tokens", "n_known", "base_score", "score", "bytes"])
-        tables = {}
-        kinds, keys, value = (values[c].to_numpy() for c in ("kind", "key", "value"))
-        for kind in (WORDS, GRAMS):
-            here = np.flatnonzero(kinds == kind)
-            here = here[np.argsort(keys[here])]
-            tables[kind] = keys[here], value[here]
-        del values, kinds, keys, value, here
-        memo, out = _Hashes(), []
-        for _, _, some in _steps(frame["text"]):
-            sizes = np.array([len(d) + 1 for d in some])
-            spread = np.array([sum(map(len, d)) + len(d) + (not d) for d in some])
-            keys, value = tables[WORDS]
-            c = value[np.searchsorted(keys, token_hashes(some, memo))]
+    def rated(some: pd.DataFrame, tables: dict, memo: _Hashes) -> pd.DataFrame:
+        """Scores of texts of one block by its tables, a few megabytes at a time."""
+        out = []
+        for _, _, documents in _steps(some["text"]):
+            sizes = np.array([len(d) + 1 for d in documents])
+            spread = np.array([sum(map(len, d)) + len(d) + (not d) for d in documents])
+            keys, n = tables[WORDS]
+            c = n[np.searchsorted(keys, token_hashes(documents, memo))]
             ends = np.cumsum(sizes) - sizes
             base = np.log10((c + 0.1) / (n_train + 0.1 * (n_distinct + 1)))
-            keys, value = tables[GRAMS]
-            p = value[np.searchsorted(keys, grams_of(some, depth))]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "n_tokens": sizes, "n_known": np.add.reduceat((c > 0).astype(np.int64), ends),
-                        "base_score": np.add.reduceat(base, ends),
-                        "score": np.add.reduceat(p, np.cumsum(spread) - spread) / math.log(10),
-                        "bytes": spread,
-                    }
-                )
-            )
-        return pd.concat(out, ignore_index=True).assign(doc_id=frame["doc_id"].reset_index(drop=True))[
+            keys, bits = tables[GRAMS]
+            p = bits.view(np.float64)[np.searchsorted(keys, grams_of(documents, depth))]
+            out.append(pd.DataFrame({
+                "n_tokens": sizes, "n_known": np.add.reduceat((c > 0).astype(np.int64), ends),
+                "base_score": np.add.reduceat(base, ends),
+                "score": np.add.reduceat(p, np.cumsum(spread) - spread) / math.log(10), "bytes": spread,
+            }))
+        found = pd.concat(out, ignore_index=True)
+        return found.assign(doc_id=some["doc_id"].reset_index(drop=True))[
             ["doc_id", "n_tokens", "n_known", "base_score", "score", "bytes"]
         ]
 
-    both = values.groupBy("block").cogroup(given.select("block", "doc_id", "text").groupBy("block"))
-    scored = both.applyInPandas(
-        run, "doc_id long, n_tokens long, n_known long, base_score double, score double, bytes long"
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each block its packed tables first, then its texts."""
+        block, held, tables, memo = None, {}, {}, _Hashes()
+        for frame in frames:
+            for here, some in frame.groupby("block", sort=False):
+                if here != block:
+                    block, held, tables = here, {WORDS: [], GRAMS: []}, {}
+                is_text = some["kind"].isna().to_numpy()
+                for kind, keys, n in some.loc[~is_text, ["kind", "keys", "n"]].itertuples(index=False):
+                    held[int(kind)].append((np.cumsum(unpacked(keys)), unpacked(n)))
+                if is_text.any():
+                    for kind in list(held):
+                        keys, n = (np.concatenate(x) for x in zip(*held.pop(kind)))
+                        order = np.argsort(keys)
+                        tables[kind] = keys[order], n[order]
+                    yield rated(some[is_text], tables, memo)
+
+    nothing = lambda kind: F.lit(None).cast(kind)
+    tables = words.union(grams).select("block", "kind", "keys", "n", nothing("string").alias("doc_id"), nothing("string").alias("text"))
+    asked = given.select(
+        "block", nothing("int").alias("kind"), nothing("binary").alias("keys"), nothing("binary").alias("n"),
+        F.col("doc_id").cast("string").alias("doc_id"), "text",
+    )
+    both = tables.union(asked).repartition("block").sortWithinPartitions("block", F.col("kind").asc_nulls_last())
+    scored = both.mapInPandas(
+        run, "doc_id string, n_tokens long, n_known long, base_score double, score double, bytes long"
     )
     return scored.select(
-        "doc_id", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score",
+        F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score",
         (-F.col("score") * math.log2(10) / F.col("bytes")).alias("bits_per_byte"),
     )
 
