@@ -17,8 +17,8 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Separators of licence and benchmark words, after lower-casing.
 NO_LETTER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of one Arrow batch: bounds the texts that a Python worker holds at a time.
-BATCH_BYTES = 8 << 20
+#: Bytes of text that a Python worker takes on at a time, and of an Arrow batch that it is sent.
+BATCH_BYTES, ARROW_BYTES = 8 << 20, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,22 +72,30 @@ def pieces(frames: Iterator[pd.DataFrame], column: str = "text") -> Iterator[pd.
             yield frame.iloc[start:]
 
 
+ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 class Store:
     """Tables in the cluster's shared folder that cut a lineage and serve several scans.
 
     A lost executor then costs the running stage only. ``drop`` deletes what is no
     longer read; the rest goes when the driver's program ends.
+
+    A session that does not bound the bytes of its Arrow batches gets ``ARROW_BYTES``: ten thousand
+    long texts in one batch would not fit a worker.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        if spark.conf.get(ARROW_LIMIT, None) is None:
+            spark.conf.set(ARROW_LIMIT, ARROW_BYTES)
         self.root = f"{shared_folder(spark)}/holdfast-llm-{uuid4().hex}"
         self.written: list[str] = []
         _STORES.append(self)
 
     def put(self, df: DataFrame, name: str, **measures: Column) -> DataFrame:
         """Write ``df`` and return it as read back, its row count and other aggregates in ``measured``."""
-        path = f"{self.root}/{name}-{len(self.written)}"
+        path = f"{self.root}/{name}-{uuid4().hex[:8]}"
         seen = Observation()
         counted = [m.alias(k) for k, m in measures.items()]
         df.observe(seen, F.count(F.lit(1)).alias("rows"), *counted).write.parquet(path)
@@ -102,6 +110,13 @@ class Store:
         for path in (t.stored_at for t in tables if hasattr(t, "stored_at")):
             self._delete(path)
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but the given ones."""
+        kept = {t.stored_at for t in tables}
+        for path in [p for p in self.written if p not in kept]:
+            self._delete(path)
+            self.written.remove(path)
+
     def _folder(self, path: str):
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         conf = self.spark._jsparkSession.sparkContext().hadoopConfiguration()
