@@ -39,7 +39,7 @@ DEPTH = 5
 #: Depth from which contexts stay together in one part.
 DEALT = 3
 #: Bytes of text in a block, and grams of which trees are built at a time, about.
-BLOCK_BYTES, TREE_GRAMS = 24 << 20, 100_000
+BLOCK_BYTES, TREE_GRAMS = 12 << 20, 100_000
 #: Positions that are scored at a time.
 STEP = 1 << 20
 MEMO = 1 << 18
