@@ -116,8 +116,12 @@ def segment_summary(enriched: DataFrame, customers: DataFrame) -> DataFrame:
 # --- quality --------------------------------------------------------------------------------
 
 
+#: Label values that a report lists: a label has two, but a broken column may have any number.
+LABELS = 100
+
+
 def quality_report(df: DataFrame) -> DataFrame:
-    """Nulls, duplicate rows, infinities, ranges and label values, one row."""
+    """Nulls, duplicate rows, infinities, ranges and label values (the first ``LABELS``), one row."""
     doubles = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     nulls = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
     infinities = sum(
@@ -129,13 +133,14 @@ def quality_report(df: DataFrame) -> DataFrame:
     copies = df.groupBy(*df.columns).agg(F.count("*").alias("n")).agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates")
     )
+    known = df.select(F.col("churned").cast("string").alias("label")).where("label is not null").distinct()
+    labels = known.orderBy("label").limit(LABELS).agg(F.sort_array(F.collect_list("label")).alias("labels"))
     return df.agg(
         F.count("*").alias("records"),
         nulls.cast("long").alias("total_nulls"),
         infinities.cast("long").alias("infinite_values"),
         *ranges,
-        F.concat_ws(",", F.sort_array(F.collect_set(F.col("churned").cast("string"))))
-        .alias("label_values"),
+        F.concat_ws(",", labels.scalar()).alias("label_values"),
         F.sum("churned").alias("churn_events"),
         F.avg("churned").alias("churn_rate"),
     ).withColumn("duplicate_rows", copies.scalar())

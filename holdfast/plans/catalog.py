@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ from holdfast.operators import (
 )
 from holdfast.operators import prescriptions as rx
 from holdfast.plans import training
+from holdfast.plans.pipeline import RetentionJob
 from holdfast.plans.workspace import Workspace
 from holdfast.sources import tables
 
@@ -79,17 +79,20 @@ def duplicate_count(w: Workspace) -> DataFrame:
 
 @query
 def panel_union(w: Workspace) -> DataFrame:
-    """The last period appended to the earlier ones."""
-    latest = tables.latest_value(w.panel, "period")
-    earlier = w.panel.where(F.col("period") < latest)
-    return earlier.unionByName(w.panel.where(F.col("period") == latest))
+    """The last period, exported as CSV and read back by name, appended to the stored earlier ones."""
+    latest, path = tables.latest_value(w.panel, "period"), _folder(w, "union")
+    tables.export_csv(w.panel.where(F.col("period") == latest), f"{path}/arrived")
+    tables.replace_table(w.panel.where(F.col("period") < latest), f"{path}/stored")
+    arrived = tables.read_engagement(w.spark, f"{path}/arrived")
+    stored = w.spark.read.schema(w.panel.schema).parquet(f"{path}/stored")
+    return stored.unionByName(arrived.withColumn("customer_id", F.col("customer_id").cast("bigint")))
 
 
 # --- storage: every write is made twice and read back ------------------------------------
 
 
 def _folder(w: Workspace, name: str) -> str:
-    return f"{tables.shared_folder(w.spark)}/{name}-{uuid4().hex}"
+    return tables.temporary_folder(w.spark, name)
 
 
 @query
@@ -103,6 +106,21 @@ def append_engagement(w: Workspace) -> DataFrame:
     return w.spark.read.schema(w.panel.schema).parquet(path)
 
 
+@query
+def repaired_state(w: Workspace) -> DataFrame:
+    """Journeys from the daily state, after a third of the customers' rows of one period arrived late."""
+    job = RetentionJob(w.spark, _folder(w, "repaired"))
+    job.load_customers(w.customers)
+    days = [r["period"] for r in w.panel.select("period").distinct().orderBy("period").collect()]
+    late = (F.col("period") == days[len(days) // 2]) & (F.col("customer_id") % 3 == 0)
+    job.add_engagement(w.panel.where(~late & (F.col("period") < days[-1])))
+    job.update_state()
+    job.add_engagement(w.panel)
+    job.update_state()
+    job.journeys()
+    return job.read("customer_journeys")
+
+
 @query
 def store_predictions(w: Workspace) -> DataFrame:
     """All runs stored, then the last one again."""
@@ -449,12 +467,26 @@ def customer_lookup(w: Workspace) -> DataFrame:
 @query
 def customer_360(w: Workspace) -> DataFrame:
     plans = rx.prescribe(w.current_run)
-    nested = serving.customer_360(w.current_run, plans, w.explanations)
-    return nested.select(
-        "customer_id", "prediction.churn_probability", "prediction.risk_tier",
-        "prediction.annual_revenue_at_risk", "recommendation.prescribed_action",
-        "recommendation.roi", "explanation.top_3_features", "explanation.top_3_shap_values",
-    )
+    return _flat(serving.customer_360(w.current_run, plans, w.explanations))
+
+
+def _flat(view: DataFrame) -> DataFrame:
+    """All thirteen fields of the customers' view, side by side."""
+    parts = ("prediction", "recommendation", "explanation")
+    fields = [f"{p}.{f.name}" for p in parts for f in view.schema[p].dataType if f.name != "customer_id"]
+    return view.select("customer_id", *fields)
+
+
+@query
+def customer_view(w: Workspace) -> DataFrame:
+    """The view of the customer most likely to churn, looked up by key in the job's tables."""
+    job = RetentionJob(w.spark, _folder(w, "view"))
+    job.load_customers(w.customers)
+    job.store_runs(w.current_run)
+    job.table("prescriptions").replace(rx.prescribe(job.predictions(last=1)))
+    job.table("explanations").replace(w.explanations)
+    worst = w.spark.range(1).select(serving.top_customer(job.predictions(last=1))).first()[0]
+    return _flat(job.customer_view(worst))
 
 
 @query
@@ -798,6 +830,25 @@ def run_status(w: Workspace) -> DataFrame:
     return monitoring.run_status(w.predictions)
 
 
+@query
+def run_ledger(w: Workspace) -> DataFrame:
+    """The ledger of all runs, stored with model tiers, then given business tiers, the last run again."""
+    job = RetentionJob(w.spark, _folder(w, "ledger"))
+    job.store_runs(scoring.predict(w.features, scoring.scorecard(), tiers="model"))
+    job.retier()
+    job.store_runs(w.run)
+    cents = {c: F.round(c, 2) for c in ("total_revenue_at_risk", "quarter_revenue_at_risk")}
+    return job.ledger().withColumns(cents)
+
+
+@query
+def checks_from_ledger(w: Workspace) -> DataFrame:
+    """The monitoring pass of the daily job: it opens no predictions."""
+    job = RetentionJob(w.spark, _folder(w, "checks"))
+    job.store_runs(w.predictions)
+    return monitoring.checks_of(job.ledger())
+
+
 @query
 def run_delta(w: Workspace) -> DataFrame:
     return monitoring.run_delta(w.predictions)

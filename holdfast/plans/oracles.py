@@ -529,6 +529,7 @@ SELECT customer_id, period, {r('logins_per_day')}, features_used, {r('engagement
 add("journey_inflections", """
 SELECT customer_id, period, phase, risk FROM times WHERE phase_changed = 1""")
 add("journey_summary", "SELECT * FROM journeys")
+add("repaired_state", "SELECT * FROM journeys")
 add("journey_statistics", f"""
 SELECT count(*) AS total_customers, count(*) FILTER (WHERE churned) AS churned_customers,
        {r('count(*) FILTER (WHERE churned) / count(*)', 'churned_share')},
@@ -571,12 +572,14 @@ FROM run""")
 add("customer_lookup", f"""
 SELECT customer_id, {rs('churn_probability', 'monthly_revenue', 'annual_revenue_at_risk',
        'health_score')}, risk_tier, recommendation FROM run JOIN worst USING (customer_id)""")
-add("customer_360", f"""
+VIEW = f"""
 SELECT q.customer_id, {r('q.churn_probability', 'churn_probability')}, risk_tier,
-       {r('annual_revenue_at_risk')}, prescribed_action, {r('roi')}, top_3_features,
-       top_3_shap_values
+       {rs('monthly_revenue', 'annual_revenue_at_risk', 'health_score')}, recommendation, prescribed_action,
+       discount_percent, {rs('roi', 'success_probability')}, top_3_features, top_3_shap_values
 FROM run q LEFT JOIN rx ON rx.customer_id = q.customer_id
-LEFT JOIN reasons ON reasons.customer_id = q.customer_id""")
+LEFT JOIN reasons ON reasons.customer_id = q.customer_id"""
+add("customer_360", VIEW)
+add("customer_view", VIEW + " JOIN worst ON worst.customer_id = q.customer_id")
 add("customer_options", "SELECT DISTINCT customer_id FROM panel")
 TOP_50 = "(SELECT * FROM run ORDER BY annual_revenue_at_risk DESC, customer_id LIMIT 50)"
 add("priority_customers", f"""
@@ -919,6 +922,13 @@ SELECT prediction_date, customer_count, high_risk_count,
        '$' || format('{:,.0f}', total_revenue_at_risk) AS revenue_text,
        format('{:.1f}', high_risk_count / customer_count * 100) || '%' AS high_risk_text
 FROM history""")
+add("run_ledger", f"""
+SELECT prediction_date, total_predictions, {rs('avg_churn', 'min_churn', 'max_churn')},
+       high_risk_count, medium_risk_count, low_risk_count,
+       round(total_revenue_at_risk, 2) AS total_revenue_at_risk,
+       round(quarter_revenue_at_risk, 2) AS quarter_revenue_at_risk
+FROM by_run JOIN (SELECT prediction_date, sum(revenue_at_risk) AS quarter_revenue_at_risk
+                  FROM pred GROUP BY prediction_date) USING (prediction_date)""")
 add("run_delta", f"SELECT latest_run, previous_run, {rs('latest_avg', 'previous_avg')} FROM moved")
 add("drift", f"""
 SELECT change > 0.15 AS is_drift, {r('change', 'pct_change')},
@@ -935,6 +945,7 @@ SELECT high > 0.05 OR medium > 0.15 AS is_anomaly, {r('high', 'high_pct')},
 CHECKED = f"""metric_type, metric_name, {r('metric_value')},
        CASE WHEN alert_flag THEN 'alert' ELSE 'normal' END AS status, alert_flag, notes"""
 add("monitoring_checks", f"SELECT {CHECKED} FROM checks")
+add("checks_from_ledger", f"SELECT {CHECKED} FROM checks")
 add("metric_log", f"""
 SELECT CAST('0x' || substr(md5(metric_type || '|' || metric_name || '|' || d), 1, 15) AS BIGINT)
          AS metric_id, d AS metric_date, d || ' 00:00:00' AS metric_time, {CHECKED}

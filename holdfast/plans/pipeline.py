@@ -6,7 +6,7 @@ leaves the tables as they were, and repeating it adds no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +21,11 @@ from holdfast.operators import (
     monitoring,
     scoring,
     serving,
+    sketches,
     state,
 )
 from holdfast.operators import prescriptions as rx
-from holdfast.sources import tables
+from holdfast.sources import rejects, tables
 from holdfast.sources.versions import VersionedTable
 
 #: Tables with one layout by customer, and their partition columns.
@@ -102,6 +103,19 @@ class JobTables:
         table.append(arrived)
 
 
+    def ingest(self, path: str | Sequence[str], fmt: str = "csv") -> dict[str, int]:
+        """Store arriving engagement files: good rows once, the first of a key in file order, the others apart.
+
+        Returns the number of rows by reason of rejection, good ones under ``good``. The files are parsed once.
+        """
+        rows = rejects.checked(self.spark, path, schemas.ENGAGEMENT, tables.PANEL_KEY, fmt)
+        arrived = tables.stored(rows, "checked")
+        rejects.store(arrived, self.table("rejected"))
+        kept = tables.dedup_first(rejects.good(arrived), tables.PANEL_KEY, F.col("_order")).drop("_order")
+        self.add_engagement(kept)
+        return rejects.counts(arrived)
+
+
 class RetentionJob(JobTables):
     """The steps of one day.
 
@@ -171,6 +185,24 @@ class RetentionJob(JobTables):
             rows = stored.by_key(newer[0]) if len(newer) == 1 else stored.read(pieces=newer)
             table.replace(*state.continued(self._state_by_key(), rows, self.cfg), note=note)
 
+    def update_sketches(self) -> None:
+        """Sketches of the customers of each period, for periods with new pieces; other rows are kept."""
+        table, stored = self.table("customer_sketches"), self.table("engagement")
+        now = {part: sorted(p.folder for p in stored.pieces([part])) for part in stored.parts()}
+        before = table.note() if table.exists() else {}
+        changed = [part for part, folders in now.items() if before.get(part) != folders]
+        if not changed:
+            return
+        rows = sketches.per_group(stored.read(changed), "customer_id", "period")
+        if table.exists():
+            rows = table.read().where(~F.col("period").isin(changed)).unionByName(rows)
+        table.replace(rows.coalesce(1), note=now)  # one row per period
+
+    def distinct_customers(self, first: str, last: str) -> DataFrame:
+        """About how many customers have rows from one period to another; reads a row per period."""
+        spanned = self.read("customer_sketches").where(F.col("period").between(first, last))
+        return sketches.distinct(spanned)
+
     def _state_by_key(self) -> DataFrame:
         table = self.table("customer_state")
         return table.by_key(table.pieces()[0])

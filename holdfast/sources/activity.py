@@ -36,10 +36,11 @@ def daily_activity(events: DataFrame) -> DataFrame:
 
     Distinct features are counted with a bit mask: ``k % 10`` takes at most 19
     values, so OR-ing one bit per value replaces a second, distinct aggregation.
-    Values are summed as decimals, exact whatever the row order; NaN counts as no value.
+    Values are summed as decimals, exact whatever the row order; NaN counts as no value, and a value
+    that a decimal of sixteen digits before the point cannot hold stops the job.
     """
     bit = F.call_function("shiftleft", F.lit(1), feature_number() % FEATURE_KINDS + FEATURE_KINDS - 1)
-    total = F.coalesce(F.sum(F.col("value").try_cast("decimal(28,12)")), F.lit(0))
+    total = F.coalesce(F.sum(F.when(~F.isnan("value"), F.col("value")).cast("decimal(28,12)")), F.lit(0))
     known = events.where(F.col("user_id").isNotNull() & F.col("ts").isNotNull())
     return known.groupBy(
         F.col("user_id").alias("customer_id"), F.to_date("ts").alias("day")

@@ -11,12 +11,18 @@ from __future__ import annotations
 import csv
 from collections import defaultdict
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Names under which a column may arrive.
 ALIASES = {"year_month": "period"}
+#: Headers that are read at a time.
+OPEN_FILES = 32
+#: Why a line of a file does not fit its columns.
+RAGGED, UNREADABLE = "ragged row", "unreadable cell"
 
 
 def canonical(name: str) -> str:
@@ -54,14 +60,31 @@ def check_header(path: str, names: Sequence[str], required: Sequence[str]) -> No
         raise ValueError(f"Columns given twice: {twice} in {path}")
 
 
+def headers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, ...]]:
+    """The headers of many files, ``OPEN_FILES`` opened at a time."""
+    with ThreadPoolExecutor(OPEN_FILES) as pool:
+        return list(pool.map(lambda path: header(spark, path), paths))
+
+
+def ragged(raw: Column, cells: int) -> Column:
+    """Whether a CSV line has another number of cells than its header, quotes respected."""
+    names = ", ".join(f"c{i} string" for i in range(cells)) + ", _bad string"
+    parsed = F.from_csv(raw, names, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    return parsed["_bad"].isNotNull()
+
+
 def read_csv(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, *more
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, *more, keep_raw: bool = False
 ) -> DataFrame:
-    """The schema's columns of all files, matched by name; ``more`` are further columns to select."""
+    """The schema's columns of all files, matched by name; ``more`` are further columns to select.
+
+    ``keep_raw`` adds ``_raw`` and ``_reason`` of lines that do not fit (else null), for which all
+    columns are parsed. Without it such cells and lines are read as far as they go.
+    """
     required = schema.fieldNames()
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in listed(spark, paths):
-        names = header(spark, path)
+    found = listed(spark, paths)
+    for path, names in zip(found, headers(spark, found)):
         check_header(path, names, required)
         by_header[names].append(path)
     out = None
@@ -71,7 +94,15 @@ def read_csv(
             T.StructField(n, schema[n].dataType) if n in required else T.StructField(f"_other{i}", T.StringType())
             for i, n in enumerate(map(canonical, names))
         ])
-        rows = spark.read.schema(arriving).csv(files, header=True).select(*required, *more)
+        reader = spark.read.option("header", True)
+        raw = []
+        if keep_raw:
+            arriving = arriving.add("_raw", T.StringType())
+            reader = reader.option("columnNameOfCorruptRecord", "_raw").option("columnPruning", False)
+            bad = ragged(F.col("_raw"), len(names))
+            reason = F.when(bad, RAGGED).otherwise(UNREADABLE)
+            raw = ["_raw", F.when(F.col("_raw").isNotNull(), reason).alias("_reason")]
+        rows = reader.schema(arriving).csv(files).select(*required, *more, *raw)
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise ValueError(f"No files in {paths}")

@@ -118,13 +118,34 @@ def _own_folder(application: str) -> str:
     return folder
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's program ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    _TEMPORARY.append((spark, path))
+    return path
+
+
+_TEMPORARY: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear_temporary() -> None:
+    for spark, path in _TEMPORARY:
+        try:
+            location = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop = spark._jsparkSession.sparkContext().hadoopConfiguration()
+            location.getFileSystem(hadoop).delete(location, True)
+        except Exception:  # noqa: BLE001  the session has already ended
+            return
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and read it back.
 
     For a result that the next steps scan several times: it is computed once, its
     scans read single columns, and a lost executor costs no recomputation.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    path = temporary_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -185,10 +206,10 @@ def refuse_null_keys(rows: DataFrame, keys: Sequence[str]) -> None:
 def append_engagement(spark: SparkSession, rows: DataFrame, path: str) -> None:
     """Add rows whose (customer, period) is not stored yet; rows without one are refused.
 
-    Only the stored key columns are read, and only the folders between the first
-    and the last arriving period.
+    The arriving plan runs once. Only the stored key columns are read, and only the folders
+    between the first and the last arriving period.
     """
-    rows = validate_columns(rows)
+    rows = stored(validate_columns(rows), "arriving")
     refuse_null_keys(rows, PANEL_KEY)
     if table_exists(spark, path):
         schema = T.StructType([rows.schema[c] for c in rows.columns])

@@ -185,10 +185,13 @@ class VersionedTable:
         return sorted(gone)
 
     def append(self, frame: DataFrame, note: dict | None = None) -> None:
-        """The frame's rows are added; without rows there is no new version."""
+        """The frame's rows are added; without rows and a new note there is no new version.
+
+        A note that is not given stays as it was.
+        """
         new = [p for p in self._write([frame]) if p.rows]
-        if new:
-            self._publish(self.pieces() + new, frame.schema, note)
+        if new or note is not None:
+            self._publish(self.pieces() + new, frame.schema, self.note() if note is None else note)
 
     # --- reading -------------------------------------------------------------------------
 
