@@ -39,10 +39,12 @@ DEPTH = 5
 #: Depth from which contexts stay together in one part.
 DEALT = 3
 #: Bytes of text in a block, and grams of which trees are built at a time, about.
-BLOCK_BYTES, TREE_GRAMS = 12 << 20, 100_000
+BLOCK_BYTES, TREE_GRAMS = 16 << 20, 50_000
 #: Positions that are scored at a time.
-STEP = 1 << 20
-MEMO = 1 << 18
+STEP = 1 << 18
+MEMO = 1 << 16
+#: Bits of a logarithm that travel: sign, exponent and 36 of the mantissa, two parts in 10^11.
+KEPT_BITS = -1 << 16
 END = b"\n"
 WORDS, GRAMS = 0, 1
 
@@ -376,7 +378,7 @@ def _rated(counts: DataFrame, top: list[Level], depth: int) -> DataFrame:
             keys, n = _merged([(k, c) for _, k, c in held])
             value = values(keys, n)
             for block, some, _ in held:
-                bits = value[np.searchsorted(keys, some)].view(np.int64)
+                bits = value[np.searchsorted(keys, some)].view(np.int64) & KEPT_BITS
                 yield pd.DataFrame([(block, GRAMS, packed(np.diff(some, prepend=0)), packed(bits), 0)],
                                    columns=RATED_COLUMNS)
 
