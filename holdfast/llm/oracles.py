@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from holdfast.llm.collocations import LIMIT, LONGEST, MIN_COUNT
-from holdfast.llm.licenses import COVERAGE, TEMPLATES
+from holdfast.llm.licenses import TEMPLATES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LETTERS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -16,7 +16,7 @@ _CRC32 = """xor(4294967295, list_reduce(
 
 
 def _license_sql() -> str:
-    """Every template tried at every word: phrase in place, coverage at least a half."""
+    """Every template tried at every word: phrase in place, with the share of the notice around it."""
     parts = []
     for t in TEMPLATES:
         key, start = "[" + ", ".join(f"'{x}'" for x in t.key) + "]", t.start
@@ -35,7 +35,7 @@ WITH d AS (
 ), p AS (
   SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d
 ), m AS (
-  SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE cover >= {COVERAGE}
+  SELECT * FROM ({" UNION ALL ".join(parts)})
 ), s AS (
   SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word,
          max(first) FILTER (WHERE base) AS last_word,

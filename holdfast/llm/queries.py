@@ -43,7 +43,7 @@ def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents"), Store(spark)))
 
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
