@@ -13,8 +13,8 @@ the law's equation on the clean word scores. Segments with a small ``E`` are sig
 they add up to is mapped to a probability by a logistic curve, fitted on documents whose own
 words were left out of their scores (two folds).
 
-Words are hashed to a fixed number of buckets, so counts that reach the driver and weights
-that are broadcast have the same bound at every input size.
+Words and stems are counted exactly, by an aggregate. Those whose log-odds are not nothing reach the driver and
+are broadcast; their number is bounded by the labelled rows, of which there are ``MAX_LABELLED`` at most.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -30,10 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import pieces, texts
+from holdfast.llm.common import Store, pieces, texts
 
-#: Buckets of words and stems.
-BUCKETS = 1 << 18
 #: Lengths of the stems that speak for words too rare to have log-odds of their own.
 STEMS = (7, 5)
 #: Labelled rows to fit on, at most (in expectation); more are thinned by a hash of their id.
@@ -42,7 +40,7 @@ MAX_LABELLED = 200_000
 CLEAR = 3.0
 #: What each word costs a segment.
 DRIFT = 0.25
-#: Expected chance segments per text (with K = 1) below which a segment is significant.
+#: Expected chance segments per text below which a segment is significant.
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
 FLOOR, CEILING, STEP = -20.0, 60.0, 0.25
@@ -67,11 +65,10 @@ class Memo(dict):
         return found
 
 
-def units(raw: str) -> tuple[int, ...]:
-    """Buckets of a word and of its stems, longest first; none if it has no letter or digit."""
+def units(raw: str) -> tuple[str, ...]:
+    """A word and its stems, longest first; none if it has no letter or digit."""
     form = _NO_WORD.sub("", raw.lower())
-    parts = [form, *(f"{form[:n]}-" for n in STEMS if len(form) > n)] if form else []
-    return tuple(xxhash.xxh64_intdigest(p.encode(), 42) % BUCKETS for p in parts)
+    return (form, *(f"{form[:n]}-" for n in STEMS if len(form) > n)) if form else ()
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -102,9 +99,9 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass(frozen=True)
 class Model:
-    """Word scores by bucket and the laws that turn segments into a probability."""
+    """Log-odds of words and the laws that turn segments into a probability."""
 
-    odds: np.ndarray
+    odds: dict[str, float]
     rate: float  # lambda
     chance: float  # K
     slope: float
@@ -112,7 +109,7 @@ class Model:
 
     def word(self, raw: str) -> float:
         """Score of a word: its own log-odds, or if they are nothing those of its longest stem."""
-        return next((o for u in units(raw) if (o := float(self.odds[u]))), 0.0) - DRIFT
+        return next((o for u in units(raw) if (o := self.odds.get(u, 0.0))), 0.0) - DRIFT
 
     def evidence(self, scores: np.ndarray) -> tuple[float, float]:
         """Best segment's score, and the evidence: significant segments summed, else the best."""
@@ -121,7 +118,7 @@ class Model:
         found = [s for _, _, s in segments(scores)]
         if not found:
             return 0.0, FLOOR
-        size = math.log(len(scores))
+        size = math.log(self.chance * len(scores))
         units = [self.rate * s - size for s in found]
         clear = [u for u in units if u >= -math.log(SIGNIFICANT)]
         return max(found), min(max(sum(clear) if clear else max(units), FLOOR), CEILING)
@@ -136,24 +133,28 @@ def scored(text: str, words: Memo) -> np.ndarray:
     return np.fromiter(map(words.__getitem__, split), dtype=np.float64, count=len(split))
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Shrunk log-odds per bucket; the prior weighs as much as the smaller class."""
-    both = toxic + clean
-    n_toxic, n_clean = toxic.sum(), clean.sum()
-    if not n_toxic or not n_clean:
-        return np.zeros(len(both))
-    weight = min(n_toxic, n_clean)
-    prior = weight * (both + 0.01) / (both + 0.01).sum()
+def log_odds(counts: DataFrame, toxic: Column, clean: Column, name: str) -> Column:
+    """Shrunk log-odds of each counted unit; the prior weighs as much as the smaller class.
+
+    The sums over all units are scalars of the stored counts.
+    """
+    sums = counts.agg(F.struct(
+        F.sum(toxic).cast("double").alias("toxic"), F.sum(clean).cast("double").alias("clean"), F.count(F.lit(1)).alias("units")
+    ).alias(name)).scalar()
+    n_toxic, n_clean = sums["toxic"], sums["clean"]
+    weight = F.least(n_toxic, n_clean)
+    prior = weight * (toxic + clean + 0.01) / (n_toxic + n_clean + 0.01 * sums["units"])
     a, b = toxic + prior, clean + prior
-    odds = np.log(a / (n_toxic + weight - a)) - np.log(b / (n_clean + weight - b))
+    odds = F.log(a / (n_toxic + weight - a)) - F.log(b / (n_clean + weight - b))
     clear = odds**2 / (1 / a + 1 / b)
-    return np.where(both > 0, odds * np.maximum(0, 1 - CLEAR**2 / np.maximum(clear, 1e-9)), 0.0)
+    shrunk = odds * F.greatest(F.lit(0.0), 1 - CLEAR**2 / F.greatest(clear, F.lit(1e-9)))
+    return F.when((weight > 0) & (toxic + clean > 0), shrunk + 0.0).otherwise(0.0)  # no negative zero
 
 
 def decay(scores: np.ndarray, clean: np.ndarray) -> float:
     """``lambda``: the positive root of E[exp(lambda s)] = 1 over the clean words."""
-    share = (clean + 1e-3) / (clean + 1e-3).sum()
-    if not (scores > 0).any():
+    share = clean / max(clean.sum(), 1e-9)
+    if not (scores > 0).any() or not share.any():
         return 1.0
     low, high = 0.0, 1.0
     value = lambda x: float(share @ np.exp(np.minimum(x * scores, 600)))
@@ -185,46 +186,64 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, max_labelled: int
 
     Inputs are texts only. Without both labels every text gets the smoothed base rate.
     """
+    store = Store(docs.sparkSession)
     known = _with_labels(texts(docs), labels, trainable, max_labelled)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen = Memo(units), np.zeros((4, BUCKETS), dtype=np.int64)
+        words = Memo(units)
         for frame in pieces(frames):
+            seen: dict[str, list[int]] = {}
             for text, toxic in zip(frame["text"], frame["toxic"]):
-                here = {u for w in set(text.split()) for u in words[w]}
-                seen[2 * _fold(text) + toxic, list(here)] += 1
-        at = np.flatnonzero(seen.any(axis=0))
-        yield pd.DataFrame({"bucket": at, **{f"n{i}": seen[i, at] for i in range(4)}})
-
-    counts = known.mapInPandas(count, "bucket long, n0 long, n1 long, n2 long, n3 long")
-    totals = counts.groupBy("bucket").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]).toPandas()
-    n = np.zeros((4, BUCKETS))
-    for i in range(4):
-        n[i, totals["bucket"]] = totals[f"n{i}"]
-    whole = _scorer(n[1] + n[3], n[0] + n[2])
-    # the words of a document of one fold are scored by the counts of the other
-    folds = [_scorer(n[3], n[2]), _scorer(n[1], n[0])]
+                cell = 2 * _fold(text) + toxic
+                for u in {u for w in set(text.split()) for u in words[w]}:
+                    seen.setdefault(u, [0, 0, 0, 0])[cell] += 1
+            if seen:
+                out = pd.DataFrame(list(seen.values()), columns=["n0", "n1", "n2", "n3"])
+                yield out.assign(unit=list(seen))
+
+    counts = known.mapInPandas(count, "n0 long, n1 long, n2 long, n3 long, unit string")
+    counts = store.put(counts.groupBy("unit").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]), "units")
+    n = [F.col(f"n{i}") for i in range(4)]
+    # all words; then the words of a document of one fold are scored by the counts of the other
+    parts = [("whole", n[1] + n[3], n[0] + n[2]), ("fold0", n[3], n[2]), ("fold1", n[1], n[0])]
+    rated = counts.select(
+        "unit", *[log_odds(counts, t, c, name).alias(name) for name, t, c in parts],
+        *[c.alias(f"{name}_clean") for name, _, c in parts],
+    )
+    rated = store.put(rated, "odds")
+    whole, *folds = [_scorer(rated, name) for name, _, _ in parts]
     given = docs.sparkSession.sparkContext.broadcast(folds)
 
-    def assess(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = [Memo(model.word) for model in given.value]
         for frame in pieces(frames):
             rows = []
-            for text, toxic in zip(frame["text"], frame["toxic"]):
+            for text in frame["text"]:
                 model, scores = given.value[_fold(text)], scored(text, words[_fold(text)])
-                best, evidence = model.evidence(scores)
-                step = math.floor(evidence / STEP)
-                rows.append((step, bool(toxic), len(scores) * math.exp(-model.rate * best)))
-            yield pd.DataFrame(rows, columns=["step", "toxic", "chance"])
-
-    assessed = known.mapInPandas(assess, "step int, toxic boolean, chance double")
-    steps = assessed.groupBy("step", "toxic").agg(F.count("*").alias("n"), F.sum("chance").alias("chance")).toPandas()
-    clean = steps[~steps["toxic"]]
-    chance = clean["n"].sum() / max(clean["chance"].sum(), 1e-9) if len(clean) else 1.0
+                rows.append(len(scores) * math.exp(-model.rate * model.evidence(scores)[0]))
+            yield pd.DataFrame({"n": [len(rows)], "chance": [sum(rows)]})
+
+    clean = known.where("not toxic").mapInPandas(chances, "n long, chance double")
+    clean = clean.agg(F.sum("n").alias("n"), F.sum("chance").alias("chance")).first()
+    chance = clean.n / max(clean.chance, 1e-9) if clean.n else 1.0
+
+    def assess(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = [replace(model, chance=chance) for model in given.value]
+        words = [Memo(model.word) for model in models]
+        for frame in pieces(frames):
+            rows = []
+            for text, toxic in zip(frame["text"], frame["toxic"]):
+                evidence = models[_fold(text)].evidence(scored(text, words[_fold(text)]))[1]
+                rows.append((math.floor(evidence / STEP), bool(toxic)))
+            yield pd.DataFrame(rows, columns=["step", "toxic"])
+
+    assessed = known.mapInPandas(assess, "step int, toxic boolean")
+    steps = assessed.groupBy("step", "toxic").agg(F.count("*").alias("n")).toPandas()
     slope, intercept = _logistic(
         np.maximum(steps["step"].to_numpy() * STEP, FLOOR), steps["toxic"].to_numpy(float), steps["n"].to_numpy(float)
     )
-    return Model(whole.odds, whole.rate, float(chance), slope, intercept)
+    store.drop(counts, rated)
+    return replace(whole, chance=float(chance), slope=slope, intercept=intercept)
 
 
 def _fold(text: str) -> int:
@@ -232,9 +251,14 @@ def _fold(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode(), 7) & 1
 
 
-def _scorer(toxic: np.ndarray, clean: np.ndarray) -> Model:
-    odds = log_odds(toxic, clean).astype(np.float32)
-    return Model(odds, decay(odds - DRIFT, clean), 1.0, 1.0, 0.0)
+def _scorer(rated: DataFrame, name: str) -> Model:
+    """The units whose log-odds are not nothing, and the law of their scores among clean words."""
+    told = rated.where(F.col(name) != 0).select("unit", F.col(name).alias("odds"), F.col(f"{name}_clean").alias("n"))
+    found = told.toPandas().sort_values("unit")
+    rest = rated.where(F.col(name) == 0).agg(F.sum(f"{name}_clean").alias("n")).first().n or 0
+    odds = found["odds"].to_numpy(float)
+    rate = decay(np.r_[odds, 0.0] - DRIFT, np.r_[found["n"].to_numpy(float), float(rest)])
+    return Model(dict(zip(found["unit"], odds.tolist())), rate, 1.0, 1.0, 0.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
