@@ -52,11 +52,25 @@ def best_fit_decreasing(
     return placed
 
 
+def best_fit(items: Iterable[tuple[str, int]], shards: int) -> dict[str, int]:
+    """Shard of each item. One that is larger than a fair share of what is left has a shard alone;
+    the capacity of the others is a fair share of the rest."""
+    sizes = sorted(items, key=lambda x: (-x[1], x[0]))
+    rest, alone = sum(size for _, size in sizes), 0
+    while alone < min(shards - 1, len(sizes)) and sizes[alone][1] * (shards - alone) > rest:
+        rest -= sizes[alone][1]
+        alone += 1
+    placed = {name: shard for shard, (name, _) in enumerate(sizes[:alone])}
+    left = shards - alone
+    others = best_fit_decreasing(sizes[alone:], max(1, ceil(rest / left)), left)
+    return placed | {name: alone + shard for name, shard in others.items()}
+
+
 def assign(docs: DataFrame, shards: int, store: Store) -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``shard``, ``slot`` of every row.
 
-    Shards hold nearly equal bytes: each lies within the weight of an item of the mean. Null
-    texts have no bytes; equal texts share a shard unless they alone exceed one, and then are
+    Shards hold nearly equal bytes: each lies within the weight of an item of the mean, but for a row
+    that is larger than that, which has a shard alone. Null texts have no bytes; equal texts share a shard unless they alone exceed one, and then are
     dealt by row hash. Slots are gapless from 0. An empty table gives no rows.
     """
     text = F.col("text")
@@ -85,7 +99,7 @@ def assign(docs: DataFrame, shards: int, store: Store) -> DataFrame:
     )
     sizes = named.groupBy("item").agg(F.sum("size").alias("bytes"))
     # at most BUNDLES bundles and twice as many larger items or parts per shard
-    placed = best_fit_decreasing([(r.item, r.bytes) for r in sizes.toLocalIterator()], capacity, shards)
+    placed = best_fit([(r.item, r.bytes) for r in sizes.toLocalIterator()], shards)
     schema = "item string, shard int"
     where = docs.sparkSession.createDataFrame(list(placed.items()), schema)
     where = if_small(store.put(where, "placed"))
