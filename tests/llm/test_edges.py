@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 from holdfast.llm import (
     bpe, collocations, ctw, decontamination, licenses, lines, quality, sharding, simhash, substrings, toxicity,
@@ -28,7 +31,7 @@ def operators(spark):
         "lines": lambda d: lines.removed(d, Store(spark)),
         "line texts": lambda d: lines.deduplicate(d, Store(spark)),
         "toxicity": lambda d: toxicity.score(d, labels),
-        "licenses": lambda d: licenses.summary(licenses.scan(d)),
+        "licenses": lambda d: licenses.summary(licenses.scan(d, Store(spark))),
         "decontaminate": lambda d: decontamination.decontaminate(d, items, Store(spark)),
         "shards": lambda d: sharding.assign(d, 3, Store(spark)),
         "simhash": lambda d: simhash.near_duplicates(d, Store(spark)),
@@ -74,3 +77,25 @@ def test_odd_rows_and_empty_table(spark, odd, name):
 def test_pass_through_operators_keep_all_columns(spark, odd):
     for run in (lines.deduplicate, simhash.representatives):
         assert run(odd, Store(spark)).columns == odd.columns
+
+
+def test_the_pipeline_and_its_stages_take_odd_rows(spark, odd, tmp_path):
+    """Every stage keeps the columns; the whole run digests each kept row, and none of an empty table."""
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    big = odd.where("doc_id = 7").withColumn("text", F.expr("repeat('a long line of words without end ', 100000)"))
+    odd.union(big).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert 0 < len(found) <= docs.count() and {"doc_id", "n_tokens", "ids_sha256"} <= set(found[0].asDict())
+
+
+def test_shards_of_ties(spark):
+    """Many rows of one size: all shards nearly equal, slots without gaps."""
+    docs = spark.createDataFrame([(i, f"{i:04d}") for i in range(401)], "doc_id long, text string")
+    found = sharding.assign(docs, 10, Store(spark)).collect()
+    sizes = [sorted(r.slot for r in found if r.shard == s) for s in range(10)]
+    assert all(s == list(range(len(s))) for s in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 3
