@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.operators import eda, features, ml, monitoring, scoring
 from holdfast.operators.tree_contributions import explain_trees
-from holdfast.plans.pipeline import RetentionJob, load_inputs
+from holdfast.plans.pipeline import RetentionJob
 from holdfast.plans.training import fit_and_store
 from holdfast.session import job_session
 from holdfast.sources import tables
@@ -55,9 +55,8 @@ def main() -> None:
     spark = job_session(f"holdfast-{args.job}")
     job = RetentionJob(spark, args.root)
     if args.job == "ingest":
-        arrived = tables.read_new_engagement(spark, args.engagement, args.format)
-        customers = tables.read_customers(spark, args.customers, args.format)
-        load_inputs(spark, args.root, arrived, customers)
+        print("customers:", job.ingest_customers(args.customers, args.format))
+        print("engagement:", job.ingest(args.engagement, args.format))
     elif args.job == "train":
         matrix = features.feature_matrix(job.engagement(), job.read("customers"))
         model, report = fit_and_store(matrix, args.model)

@@ -77,9 +77,12 @@ def as_inputs(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in model_columns(df)})
 
 
-def train(df: DataFrame, settings: BoostingSettings = BoostingSettings()) -> PipelineModel:
-    """Fit the model; with a cluster checkpoint folder set, long boosting lineage is cut there."""
-    return build_pipeline(model_columns(df), settings).fit(as_inputs(df))
+def train(
+    df: DataFrame, settings: BoostingSettings = BoostingSettings(), columns: list[str] | None = None
+) -> PipelineModel:
+    """Fit the model, on all model columns or some; with a cluster checkpoint folder set, long
+    boosting lineage is cut there."""
+    return build_pipeline(columns or model_columns(df), settings).fit(as_inputs(df))
 
 
 def feature_importance(model: PipelineModel, spark: SparkSession) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.operators.rank import running_totals
+from holdfast.sources import tables
 
 
 def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -77,6 +78,90 @@ def quantiles_of_counts(
     )
 
 
+#: Size of a quantile sketch, its rank error with room to spare (99 % stay below a third of it), and
+#: the steps of rank at which it is read.
+SKETCH, RANK_ERROR, STEPS = 2000, 0.008, 500
+#: Distinct values of a bracket that one task sorts at the end.
+BRACKET = 200_000
+
+
+def bracketed_quantiles(
+    df: DataFrame, value: str, probabilities: dict[str, float], within: Sequence[str] = (), largest: int = BRACKET
+) -> DataFrame:
+    """As ``exact_quantiles``, without sorting or shuffling all values.
+
+    A mergeable sketch per group brackets each wanted rank between two values. The next scan counts what is below
+    and keeps the values inside, each once with its number. While a bracket has more than ``largest``
+    distinct values a sketch of what is inside brackets it again; then the rank is read off its running count.
+    A rank that a sketch has put outside its bracket is told by the exact counts, and then all ranks are read
+    off the whole counts. ``df`` is scanned twice for each bracketing: pass a stored table.
+    """
+    by = [*within, "_all"]
+    keys = [*by, "quantile"]
+    rows = df.where(F.col(value).isNotNull()).select(*within, F.lit(0).alias("_all"), F.col(value).cast("double").alias("value"))
+    names = F.array(*[F.struct(F.lit(n).alias("quantile"), F.lit(p).alias("p")) for n, p in probabilities.items()])
+    sizes = _sketched(rows, by).select("*", F.explode(names).alias("q")).select("*", "q.*").drop("q")
+    position = (F.col("rows") - 1) * F.col("p")
+    wanted = sizes.withColumns({
+        "offset": F.lit(0), "low_rank": F.floor(position), "high_rank": F.ceil(position),
+        "part": position - F.floor(position),
+    })
+    brackets, inside, most = _bracket(rows, wanted, by, keys)
+    while most > largest:
+        near = rows.join(brackets, by).where(F.col("value").between(F.col("lo"), F.col("hi")))
+        wanted = _sketched(near, keys).join(brackets.drop("lo", "hi"), keys)
+        before = most
+        brackets, inside, most = _bracket(rows, wanted, by, keys)
+        if most >= before:  # the sketch can tell no more
+            break
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("value")) + F.col("offset")
+    placed = inside.join(brackets, keys).withColumn("upto", upto)
+    here = lambda rank: (F.col("upto") - F.col("n") <= F.col(rank)) & (F.col(rank) < F.col("upto"))
+    low, high = (F.max(F.when(here(r), F.col("value"))).alias(a) for r, a in (("low_rank", "low"), ("high_rank", "high")))
+    told = brackets.select(*keys, "part").join(placed.groupBy(*keys).agg(low, high), keys, "left")
+    read = tables.stored(told, "quantiles")
+    if read.where("low is null or high is null").limit(1).count():
+        return exact_quantiles(df, value, probabilities, within)
+    found = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    one = lambda n: F.max(F.when(F.col("quantile") == n, found)).alias(n)
+    return read.groupBy(*within).agg(*map(one, probabilities))
+
+
+def _sketched(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``sketch``, number of ``rows``, ``least`` and ``most`` value of each group; partial sketches meet in the shuffle."""
+    return rows.groupBy(*by).agg(
+        F.kll_sketch_agg_double("value", F.lit(SKETCH)).alias("sketch"), F.count(F.lit(1)).alias("rows"),
+        F.min("value").alias("least"), F.max("value").alias("most"),
+    )
+
+
+def _bracket(
+    rows: DataFrame, wanted: DataFrame, by: Sequence[str], keys: Sequence[str]
+) -> tuple[DataFrame, DataFrame, int]:
+    """Brackets with the number of rows below (``offset``), the values inside with their number ``n``,
+    and how many distinct values the largest bracket has. Both tables are stored."""
+
+    def step(rank: str, side: int) -> Column:
+        return ((F.col(rank) - F.col("offset")) / F.col("rows") + F.lit(side * RANK_ERROR)) * STEPS
+
+    grid = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)]))
+    low, high = F.floor(step("low_rank", -1)).cast("int"), F.ceil(step("high_rank", 1)).cast("int")
+    ends = tables.stored(wanted.withColumn("grid", grid).withColumns({
+        "lo": F.when(low <= 0, F.col("least")).otherwise(F.get("grid", low)),
+        "hi": F.when(high >= STEPS, F.col("most")).otherwise(F.get("grid", high)),
+    }).select(*keys, "lo", "hi", "low_rank", "high_rank", "part"), "ends")
+    kept = F.when(F.col("value") >= F.col("lo"), F.col("value"))  # one null for all that is below
+    counted = rows.join(ends, list(by)).where(F.col("value") <= F.col("hi")).groupBy(*keys, kept.alias("value"))
+    counted = tables.stored(counted.agg(F.count(F.lit(1)).alias("n")), "bracketed")
+    sums = counted.groupBy(*keys).agg(
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("offset"), F.count("value").alias("distinct")
+    )
+    brackets = ends.join(sums, list(keys), "left").fillna(0, ["offset", "distinct"])
+    brackets = tables.stored(brackets, "brackets")
+    most = brackets.agg(F.max("distinct")).first()[0] or 0
+    return brackets.drop("distinct"), counted.where("value is not null"), most
+
+
 def shares(df: DataFrame, column: str, name: str) -> DataFrame:
     """Rows and share of each value. The total is summed over the few grouped rows,
     so the input is read once."""

@@ -561,7 +561,7 @@ def probability_buckets(w: Workspace) -> DataFrame:
 def probability_stats(w: Workspace) -> DataFrame:
     p = F.col("churn_probability")
     runs = w.stored_predictions
-    median = stats.exact_quantiles(runs, "churn_probability", {"median": 0.5}).scalar()
+    median = stats.bracketed_quantiles(runs, "churn_probability", {"median": 0.5}).scalar()
     return runs.agg(
         F.count("*").alias("total"), F.min(p).alias("min_churn"), F.max(p).alias("max_churn"),
         F.avg(p).alias("avg_churn"),
@@ -928,6 +928,7 @@ for _build in (
     training.score_boosted_ranks,
     training.stratified_split,
     training.confusion_boosted,
+    training.boosted_step,
     training.importance_total,
     training.contribution_gap,
     training.explain_boosted,

@@ -1019,6 +1019,47 @@ parts AS (SELECT 'test' AS part, churned, t AS k FROM sizes UNION ALL SELECT 'tr
 SELECT part, CAST(sum(k) AS BIGINT) AS records, CAST(sum(k * churned) AS BIGINT) AS positives,
        CAST(0 AS BIGINT) AS misread, true AS better_than_chance
 FROM parts GROUP BY part""")
+STEP = ("features_used_count", "risk_flag_count", "is_high_adoption", "is_low_adoption", "flag_no_login_30days",
+        "flag_no_login_60days", "flag_low_feature_adoption", "flag_high_support_tickets", "flag_declining_engagement")
+CELLS = " UNION ALL ".join(
+    f"SELECT {i} AS number, '{c}' AS feature, CAST({c} AS DOUBLE) AS v, 2 * churned - 1 AS y FROM learned"
+    for i, c in enumerate(STEP)
+)
+SIDES = " ".join(f"WHEN '{c}' THEN {c}" for c in STEP)
+add("boosted_step", f"""
+, days AS (SELECT DISTINCT period FROM feat),
+cutoff AS (SELECT period AS until FROM days ORDER BY period LIMIT 1 OFFSET (SELECT count(*) * 4 // 5 FROM days)),
+learned AS (SELECT feat.* FROM feat CROSS JOIN cutoff WHERE period < until),
+cuts AS (
+  SELECT number, feature, v, lead(v) OVER w AS after, sum(sum(y)) OVER w AS s_left, sum(count(*)) OVER w AS n_left,
+         sum(sum(y)) OVER (PARTITION BY number) AS s_all, sum(count(*)) OVER (PARTITION BY number) AS n_all
+  FROM ({CELLS}) GROUP BY number, feature, v WINDOW w AS (PARTITION BY number ORDER BY v)),
+best AS (
+  SELECT feature, (v + after) / 2 AS threshold, CAST(s_left AS DOUBLE) / n_left AS left_value,
+         CAST(s_all - s_left AS DOUBLE) / (n_all - n_left) AS right_value
+  FROM cuts WHERE after IS NOT NULL
+  ORDER BY round(n_left * (1 - (s_left / n_left) ** 2)
+           + (n_all - n_left) * (1 - ((s_all - s_left) / (n_all - n_left)) ** 2), 6), number, v LIMIT 1),
+margins AS (
+  SELECT CASE WHEN period < until THEN 'train' ELSE 'test' END AS part, churned,
+         CASE WHEN CASE feature {SIDES} END <= threshold THEN left_value ELSE right_value END AS m
+  FROM feat CROSS JOIN best CROSS JOIN cutoff),
+hits AS (SELECT part, churned, m, m >= 0 AS hit FROM margins),
+by_margin AS (SELECT part, m, sum(churned) AS pos, sum(1 - churned) AS neg FROM hits GROUP BY part, m),
+area AS (
+  SELECT part, sum(neg * (above + pos / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc
+  FROM (SELECT *, coalesce(sum(pos) OVER (PARTITION BY part ORDER BY m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
+        FROM by_margin) GROUP BY part),
+matrix AS (
+  SELECT part, count(*) FILTER (WHERE churned = 0 AND NOT hit) AS tn, count(*) FILTER (WHERE churned = 0 AND hit) AS fp,
+         count(*) FILTER (WHERE churned = 1 AND NOT hit) AS fn, count(*) FILTER (WHERE churned = 1 AND hit) AS tp
+  FROM hits GROUP BY part)
+SELECT feature, {rs('threshold', 'left_value', 'right_value')}, CAST(1.0 AS DOUBLE) AS importance, part, {r('auc')},
+       tn, fp, fn, tp, {r('coalesce(tp / nullif(tp + fp, 0), 0.0)', 'precision')},
+       {r('coalesce(tp / nullif(tp + fn, 0), 0.0)', 'recall')},
+       {r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0)', 'f1')},
+       (max(auc) OVER () - min(auc) OVER ()) >= 0.05 AS overfitting
+FROM matrix JOIN area USING (part) CROSS JOIN best""")
 add("importance_total", "SELECT CAST(22 AS BIGINT) AS inputs, CAST(1.0 AS DOUBLE) AS total")
 add("contribution_gap", """
 SELECT count(*) AS customers, CAST(0.0 AS DOUBLE) AS gap FROM run""")

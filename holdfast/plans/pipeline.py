@@ -103,6 +103,17 @@ class JobTables:
         table.append(arrived)
 
 
+    def ingest_customers(self, path: str | Sequence[str], fmt: str = "csv") -> dict[str, int]:
+        """Replace the customers by those of arriving files; rows that cannot be read are set apart.
+
+        Returns the number of rows by reason of rejection, good ones under ``good``.
+        """
+        rows = rejects.checked(self.spark, path, schemas.CUSTOMERS, ["customer_id"], fmt)
+        arrived = tables.stored(rows, "checked")
+        rejects.store(arrived, self.table("rejected"))
+        self.load_customers(rejects.good(arrived).drop("_order"))
+        return rejects.counts(arrived)
+
     def ingest(self, path: str | Sequence[str], fmt: str = "csv") -> dict[str, int]:
         """Store arriving engagement files: good rows once, the first of a key in file order, the others apart.
 

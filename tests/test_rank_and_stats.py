@@ -93,6 +93,31 @@ def test_quantiles_interpolate(table, frame):
     assert np.allclose(whole, frame.v.quantile(list(asked.values())))
 
 
+@pytest.mark.parametrize("largest", (50, stats.BRACKET))
+def test_bracketed_quantiles_are_exact(spark, largest):
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"g": rng.integers(0, 3, 40_000), "v": rng.normal(size=40_000)})
+    frame.loc[rng.random(40_000) < 0.3, "v"] = 0.25  # a value with a third of all rows
+    frame.loc[frame.g == 2, "v"] = frame.v.round(1)
+    frame.loc[rng.random(40_000) < 0.1, "v"] = np.nan
+    rows = spark.createDataFrame(frame).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    rows = rows.union(spark.createDataFrame([(7, 3.5), (8, None)], "g long, v double"))
+    asked = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    wanted = stats.exact_quantiles(rows, "v", asked, ["g"]).orderBy("g").collect()
+    found = stats.bracketed_quantiles(rows, "v", asked, ["g"], largest)
+    assert found.orderBy("g").collect() == wanted and len(wanted) == 4
+    whole = stats.bracketed_quantiles(rows, "v", asked, (), largest).collect()
+    assert whole == stats.exact_quantiles(rows, "v", asked).collect()
+    assert "rangepartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert stats.bracketed_quantiles(rows.where("g = 8"), "v", asked, ["g"]).collect() == []
+
+
+def test_a_rank_outside_its_bracket_is_found_all_the_same(spark, monkeypatch):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000 * 1.0).alias("v"))
+    monkeypatch.setattr(stats, "RANK_ERROR", -0.01)  # brackets that miss
+    assert stats.bracketed_quantiles(rows, "v", {"m": 0.5}).first()["m"] == 2499.5
+
+
 def test_describe(table, frame):
     found = stats.describe(table, ["v"]).toPandas().iloc[0]
     wanted = frame.v.describe()

@@ -69,3 +69,13 @@ def test_many_headers_are_read_at_a_time(spark, tmp_path):
         written(source / f"{i:02d}.csv", HEADER, f"C{i},2024-01,{i},100,2.5,3,4,0,61.5,0")
     found = tables.read_engagement(spark, str(source)).collect()
     assert {r["customer_id"]: r["active_users"] for r in found} == {f"C{i}": i for i in range(70)}
+
+
+def test_customers_that_cannot_be_read_are_set_apart(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    written(path, ",".join(schemas.CUSTOMERS.fieldNames()), "A,Acme,small,SaaS,Starter,500,2023-05-01,12",
+            "B,Bee,small,SaaS,Starter,much,2023-05-01,12", "C,Sea,small,SaaS,Starter,500,someday,12", ",No,small,SaaS,Starter,1,,1")
+    job = RetentionJob(spark, str(tmp_path / "job"), buckets=2)
+    assert job.ingest_customers(str(path)) == {"good": 1, files.UNREADABLE: 2, rejects.NO_KEY: 1}
+    assert [r["customer_id"] for r in job.read("customers").collect()] == ["A"]
+    assert job.read("rejected").count() == 3
