@@ -44,7 +44,9 @@ DRIFT = 0.25
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
 FLOOR, CEILING, STEP = -20.0, 60.0, 0.25
-MEMO = 1 << 18
+MEMO = 1 << 15
+#: Units that a worker counts before it passes them on.
+HELD = 100_000
 
 _NO_WORD = re.compile(r"[\W_]+")
 
@@ -191,15 +193,21 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, max_labelled: int
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Memo(units)
+        seen: dict[str, list[int]] = {}
+
+        def counted() -> pd.DataFrame:
+            return pd.DataFrame(list(seen.values()), columns=["n0", "n1", "n2", "n3"]).assign(unit=list(seen))
+
         for frame in pieces(frames):
-            seen: dict[str, list[int]] = {}
             for text, toxic in zip(frame["text"], frame["toxic"]):
                 cell = 2 * _fold(text) + toxic
                 for u in {u for w in set(text.split()) for u in words[w]}:
                     seen.setdefault(u, [0, 0, 0, 0])[cell] += 1
-            if seen:
-                out = pd.DataFrame(list(seen.values()), columns=["n0", "n1", "n2", "n3"])
-                yield out.assign(unit=list(seen))
+                if len(seen) >= HELD:
+                    yield counted()
+                    seen.clear()
+        if seen:
+            yield counted()
 
     counts = known.mapInPandas(count, "n0 long, n1 long, n2 long, n3 long, unit string")
     counts = store.put(counts.groupBy("unit").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]), "units")
