@@ -18,7 +18,7 @@ SPACE = r"[\x20\x09-\x0D]"
 NO_LETTER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a Python worker takes on at a time, and of an Arrow batch that it is sent.
-BATCH_BYTES, ARROW_BYTES = 8 << 20, 16 << 20
+BATCH_BYTES, ARROW_BYTES = 8 << 20, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
