@@ -17,7 +17,7 @@ _CRC32 = """xor(4294967295, list_reduce(
 
 def _license_sql() -> str:
     """Every template tried at every word: phrase in place, with the share of the notice around it."""
-    parts = []
+    parts, firsts = [], ", ".join(sorted({f"'{t.key[0]}'" for t in TEMPLATES}))
     for t in TEMPLATES:
         key, start = "[" + ", ".join(f"'{x}'" for x in t.key) + "]", t.start
         inside = " + ".join(
@@ -27,13 +27,13 @@ def _license_sql() -> str:
         parts.append(
             f"SELECT doc_id, '{t.label}' AS label, {str(t.base).lower()} AS base, p - 1 AS first, "
             f"({inside}) / {len(t.words)}.0::DOUBLE AS cover "
-            f"FROM p WHERE w[p : p + {len(t.key) - 1}] = {key}"
+            f"FROM p WHERE x = '{t.key[0]}' AND w[p : p + {len(t.key) - 1}] = {key}"
         )
     return f"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, {_LETTERS}) AS w FROM documents
-), p AS (
-  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d
+), p AS MATERIALIZED (
+  SELECT * FROM (SELECT doc_id, w, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) WHERE x IN ({firsts})
 ), m AS (
   SELECT * FROM ({" UNION ALL ".join(parts)})
 ), s AS (
