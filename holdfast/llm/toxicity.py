@@ -135,22 +135,20 @@ def scored(text: str, words: Memo) -> np.ndarray:
     return np.fromiter(map(words.__getitem__, split), dtype=np.float64, count=len(split))
 
 
-def log_odds(counts: DataFrame, toxic: Column, clean: Column, name: str) -> Column:
+def log_odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int, units: int) -> Column:
     """Shrunk log-odds of each counted unit; the prior weighs as much as the smaller class.
 
-    The sums over all units are scalars of the stored counts.
+    ``n_toxic`` and ``n_clean`` are the sums over all ``units``.
     """
-    sums = counts.agg(F.struct(
-        F.sum(toxic).cast("double").alias("toxic"), F.sum(clean).cast("double").alias("clean"), F.count(F.lit(1)).alias("units")
-    ).alias(name)).scalar()
-    n_toxic, n_clean = sums["toxic"], sums["clean"]
-    weight = F.least(n_toxic, n_clean)
-    prior = weight * (toxic + clean + 0.01) / (n_toxic + n_clean + 0.01 * sums["units"])
+    weight = float(min(n_toxic, n_clean))
+    if not weight:
+        return F.lit(0.0)
+    prior = weight * (toxic + clean + 0.01) / (n_toxic + n_clean + 0.01 * units)
     a, b = toxic + prior, clean + prior
     odds = F.log(a / (n_toxic + weight - a)) - F.log(b / (n_clean + weight - b))
     clear = odds**2 / (1 / a + 1 / b)
     shrunk = odds * F.greatest(F.lit(0.0), 1 - CLEAR**2 / F.greatest(clear, F.lit(1e-9)))
-    return F.when((weight > 0) & (toxic + clean > 0), shrunk + 0.0).otherwise(0.0)  # no negative zero
+    return F.when(toxic + clean > 0, shrunk + 0.0).otherwise(0.0)  # no negative zero
 
 
 def decay(scores: np.ndarray, clean: np.ndarray) -> float:
@@ -210,13 +208,16 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, max_labelled: int
             yield counted()
 
     counts = known.mapInPandas(count, "n0 long, n1 long, n2 long, n3 long, unit string")
-    counts = store.put(counts.groupBy("unit").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]), "units")
-    n = [F.col(f"n{i}") for i in range(4)]
+    counts = counts.groupBy("unit").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)])
+    counts = store.put(counts, "units", **{f"n{i}": F.sum(f"n{i}") for i in range(4)})
+    n, sums = [F.col(f"n{i}") for i in range(4)], [counts.measured[f"n{i}"] or 0 for i in range(4)]
     # all words; then the words of a document of one fold are scored by the counts of the other
-    parts = [("whole", n[1] + n[3], n[0] + n[2]), ("fold0", n[3], n[2]), ("fold1", n[1], n[0])]
+    parts = [("whole", (1, 3), (0, 2)), ("fold0", (3,), (2,)), ("fold1", (1,), (0,))]
+    of = lambda values, cells: sum(values[i] for i in cells)
     rated = counts.select(
-        "unit", *[log_odds(counts, t, c, name).alias(name) for name, t, c in parts],
-        *[c.alias(f"{name}_clean") for name, _, c in parts],
+        "unit",
+        *[log_odds(of(n, t), of(n, c), of(sums, t), of(sums, c), counts.measured["rows"]).alias(name) for name, t, c in parts],
+        *[of(n, c).alias(f"{name}_clean") for name, _, c in parts],
     )
     rated = store.put(rated, "odds")
     whole, *folds = [_scorer(rated, name) for name, _, _ in parts]
