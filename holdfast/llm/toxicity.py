@@ -44,7 +44,7 @@ DRIFT = 0.25
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
 FLOOR, CEILING, STEP = -20.0, 60.0, 0.25
-MEMO = 1 << 15
+MEMO = 1 << 18
 #: Units that a worker counts before it passes them on.
 HELD = 100_000
 
