@@ -290,7 +290,10 @@ def _stripes(blocks: int, sent):
 
 
 def _merged(min_count: int):
-    """Entries of equal prefix and word added up over all packed rows of a partition."""
+    """Entries of equal prefix and word added up over all packed rows of a partition.
+
+    A rare word whose hash is marked for another one is no entry, but counts among the words of its language.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[str, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
@@ -298,6 +301,10 @@ def _merged(min_count: int):
             for _, *row in frame.itertuples(index=False):
                 for lang, prefix, word, n in zip(*row):
                     held[lang, prefix][word] += n
+        for (_, prefix), stripe in held.items():
+            rare = 0 if prefix else sum(n for w, n in stripe.items() if w and n < min_count)
+            if rare:
+                stripe[""] += rare
         rows = [(*of, w, n) for of, stripe in held.items() for w, n in stripe.items() if n >= min_count or not w]
         for start in range(0, len(rows), HELD):
             yield pd.DataFrame(rows[start : start + HELD], columns=["lang", "prefix", "word", "n"])
@@ -308,8 +315,8 @@ def _merged(min_count: int):
 def stripes(docs: DataFrame, store: Store, min_count: int = MIN_COUNT) -> DataFrame:
     """Merged entries with ``min_count``, stored: ``lang``, ``prefix``, ``word``, ``n``.
 
-    The stripe of the empty prefix has all words; rare ones are one entry, under an empty word. Entries
-    are dealt by a hash of prefix and word, so that the stripe of a very common prefix is spread over all
+    The stripe of the empty prefix has all words; rare ones are entries under an empty word, one a task at
+    most. Entries are dealt by a hash of prefix and word, so that the stripe of a very common prefix is spread over all
     tasks; a task holds the distinct frequent entries of its share.
     """
     texts = docs.select(

@@ -70,6 +70,19 @@ def test_stripes_hold_frequent_entries_and_all_words(spark):
                       "a b": {"c": 8, "d": 4}}
 
 
+def test_rare_words_that_share_a_bit_with_frequent_ones_count(spark):
+    frequent, rare = [f"often{i}" for i in range(2000)], [f"once{i}" for i in range(300_000)]
+    place = lambda words: collocations.Words("en", " ".join(words).encode()).hashes() >> np.uint64(
+        64 - collocations.FILTER_BITS
+    )
+    shared = [rare[i] for i in np.flatnonzero(np.isin(place(rare), place(frequent)))]
+    assert shared
+    rows = [("en", " ".join(frequent))] * 3 + [("en", ". ".join(shared)), ("en", "x")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    found = collocations.collocations(docs, Store(spark), min_count=3, limit=None)
+    assert sorted(tuple(r) for r in found.collect()) == counted_directly(rows, 3, None)
+
+
 def test_packed_numbers_and_sums():
     numbers = np.array([0, 1, 255, 256, 2**32 - 1], np.uint64)
     assert collocations._numbers(collocations._planes(numbers)).tolist() == numbers.tolist()
