@@ -343,6 +343,21 @@ def test_every_repeated_run_of_fifty_words_is_found(spark):
         assert len(set(ours) & set(theirs)) / len(set(ours) | set(theirs)) >= 0.8 and r.n_words >= 50
 
 
+def test_texts_far_apart_in_a_bucket_are_linked(spark):
+    random.seed(11)
+    fresh = lambda n: [f"w{random.randrange(10**9)}" for _ in range(n)]
+    rows, wanted = [], set()
+    for i in range(0, 200, 10):
+        passage = fresh(60)
+        rows += [(i + k, " ".join(fresh(20) + passage + fresh(20))) for k in (0, 7)]
+        rows += [(i + k, " ".join(fresh(20) + passage[:40] + fresh(40))) for k in range(1, 7)]
+        wanted.add((i + 7, i))
+    docs = spark.createDataFrame(rows + [(500, rows[0][1])], "doc_id long, text string")
+    found = substrings.repeats(docs, Store(spark)).collect()
+    assert {(r.doc_id, r.partner) for r in found if r.kind == "passage"} == wanted
+    assert {(r.doc_id, r.class_id) for r in found} == wanted | {(500, 0)}
+
+
 # --- shards and quality
 
 def test_items_larger_than_a_share_do_not_empty_other_shards():
