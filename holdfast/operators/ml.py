@@ -14,6 +14,8 @@ from holdfast.operators.features import model_columns
 from holdfast.operators.rank import global_rank
 
 INPUT_SUFFIX = "_in"
+#: Column that marks the rows of the test part.
+TEST = "_test"
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,19 @@ def stratified_split(
     test_share: float = 0.2,
     seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
-    """Random train and test parts with the same share of every label.
+    """Random train and test parts with the same share of every label, see ``marked_split``."""
+    marked = marked_split(df, label, key, test_share, seed)
+    return marked.where(~F.col(TEST)).drop(TEST), marked.where(TEST).drop(TEST)
+
+
+def marked_split(
+    df: DataFrame,
+    label: str = "churned",
+    key: tuple[str, ...] = ("customer_id", "period"),
+    test_share: float = 0.2,
+    seed: int = 42,
+) -> DataFrame:
+    """All rows, ``TEST`` says which are in the test part; store them to rank once for both parts.
 
     Rows are ordered by a seeded hash of their key, so the split does not depend
     on partitioning. The majority label is ranked in ranges, not in one task.
@@ -45,8 +59,18 @@ def stratified_split(
     sizes = df.groupBy(label).agg(F.round(F.count("*") * test_share).alias("_test_rows"))
     placed = placed.join(F.broadcast(sizes), label)
     chosen = F.col("_place") <= F.col("_test_rows")
-    helpers = ("_draw", "_place", "_test_rows")
-    return placed.where(~chosen).drop(*helpers), placed.where(chosen).drop(*helpers)
+    return placed.withColumn(TEST, chosen).drop("_draw", "_place", "_test_rows")
+
+
+def evenly_dealt(df: DataFrame, stored: DataFrame, key: tuple[str, ...] = ("customer_id", "period")) -> DataFrame:
+    """The rows, made from a stored table that is read in as many parts as there are cores or more, in equal
+    parts: a multiple of the cores. Rows of a smaller table stay as they are.
+
+    Boosting runs a short stage for each level of each tree. With one part more than cores all cores but one
+    wait for half of the time.
+    """
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, stored.rdd.getNumPartitions()
+    return df.repartition(-(-parts // cores) * cores, *key) if parts >= cores > 1 else df
 
 
 def temporal_split(df: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:

@@ -22,14 +22,13 @@ def fit_and_store(
 
     What is scanned more than once is written next to the model first: boosting
     and evaluation scan their rows often, and a stored table survives lost executors.
+    The rows are ranked once for both parts and dealt evenly, as each level of a tree waits for its longest task.
     """
     spark = features.sparkSession
     tables.replace_table(features, f"{path}/all_rows")
-    parts = ml.stratified_split(spark.read.parquet(f"{path}/all_rows"))
-    rows = {}
-    for name, part in zip(("train", "test"), parts):
-        tables.replace_table(part, f"{path}/{name}_rows")
-        rows[name] = spark.read.parquet(f"{path}/{name}_rows")
+    stored = spark.read.parquet(f"{path}/all_rows")
+    tables.replace_table(ml.evenly_dealt(ml.marked_split(stored), stored), f"{path}/split_rows")
+    rows = _split_rows(spark, path)
     model = ml.train(rows["train"], settings)
     ml.save_model(model, f"{path}/model")
     for name in rows:
@@ -42,6 +41,14 @@ def fit_and_store(
     return model, report
 
 
+def _split_rows(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The stored rows of the parts ``train`` and ``test``."""
+    marked = spark.read.parquet(f"{path}/split_rows")
+    return {
+        "train": marked.where(~F.col(ml.TEST)).drop(ml.TEST), "test": marked.where(ml.TEST).drop(ml.TEST)
+    }
+
+
 def tree_explanations(current: DataFrame, model: PipelineModel, path: str) -> DataFrame:
     """Contributions of the stored model to its predictions for the latest features."""
     run = scoring.predict(current, scoring.trained(model))
@@ -74,8 +81,7 @@ def stratified_split(w: Workspace) -> DataFrame:
     """Rows of every label in both parts."""
     _, path = _fitted(w)
     parts = [
-        w.spark.read.parquet(f"{path}/{part}_rows").select(F.lit(part).alias("part"), "churned")
-        for part in ("train", "test")
+        rows.select(F.lit(part).alias("part"), "churned") for part, rows in _split_rows(w.spark, path).items()
     ]
     return parts[0].union(parts[1]).groupBy("part", "churned").agg(F.count("*").alias("records"))
 
