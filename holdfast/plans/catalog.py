@@ -833,10 +833,10 @@ def run_status(w: Workspace) -> DataFrame:
 @query
 def run_ledger(w: Workspace) -> DataFrame:
     """The ledger of all runs, stored with model tiers, then given business tiers, the last run again."""
-    job = RetentionJob(w.spark, _folder(w, "ledger"))
-    job.store_runs(scoring.predict(w.features, scoring.scorecard(), tiers="model"))
+    job, scorecard = RetentionJob(w.spark, _folder(w, "ledger")), scoring.scorecard()
+    job.store_runs(scoring.predict(w.stored_features, scorecard, tiers="model"))
     job.retier()
-    job.store_runs(w.run)
+    job.store_runs(scoring.predict(w.stored_features, scorecard).where(F.col("prediction_date") == w.as_of))
     cents = {c: F.round(c, 2) for c in ("total_revenue_at_risk", "quarter_revenue_at_risk")}
     return job.ledger().withColumns(cents)
 

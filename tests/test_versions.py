@@ -134,6 +134,42 @@ def test_lookups_equal_the_scans(spark, stored):
 # --- the ledger ------------------------------------------------------------------------------
 
 
+def test_the_ledger_query_derives_its_features_once(spark, monkeypatch, tmp_path):
+    """Both its runs come from the stored features; none goes back to the events."""
+    from holdfast.plans import catalog
+    from holdfast.plans.workspace import Workspace
+
+    class Job:
+        runs = []
+
+        def __init__(self, spark, root):
+            pass
+
+        def store_runs(self, ranked):
+            self.runs.append(ranked)
+
+        def retier(self):
+            pass
+
+        def ledger(self):
+            money = "total_revenue_at_risk double, quarter_revenue_at_risk double"
+            return spark.createDataFrame([(1.0, 2.0)], money)
+
+    events = spark.range(6).select(
+        (F.col("id") % 2).alias("user_id"), F.timestamp_seconds(F.col("id") * 86400).alias("ts"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    customer = "c_custkey long, c_name string, c_mktsegment string, c_acctbal double"
+    given = spark.createDataFrame([(0, "A", "BUILDING", 100.0), (1, "B", "MACHINERY", 9000.0)], customer)
+    given.write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(catalog, "RetentionJob", Job)
+    catalog.BUILDERS["run_ledger"](Workspace(spark, str(tmp_path)))
+    assert len(Job.runs) == 2
+    assert not [f for run in Job.runs for f in run.inputFiles() if "events" in f]
+    assert [run.count() for run in Job.runs] == [12, 2]
+
+
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("job"))
