@@ -63,14 +63,14 @@ def marked_split(
 
 
 def evenly_dealt(df: DataFrame, stored: DataFrame, key: tuple[str, ...] = ("customer_id", "period")) -> DataFrame:
-    """The rows, made from a stored table that is read in as many parts as there are cores or more, in equal
+    """The rows, made from a stored table that is read in more parts than there are cores, in equal
     parts: a multiple of the cores. Rows of a smaller table stay as they are.
 
     Boosting runs a short stage for each level of each tree. With one part more than cores all cores but one
     wait for half of the time.
     """
     cores, parts = df.sparkSession.sparkContext.defaultParallelism, stored.rdd.getNumPartitions()
-    return df.repartition(-(-parts // cores) * cores, *key) if parts >= cores > 1 else df
+    return df.repartition(-(-parts // cores) * cores, *key) if parts > cores else df
 
 
 def temporal_split(df: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:

@@ -59,7 +59,7 @@ def test_boosting_gets_equal_parts_for_all_cores(spark, labelled, tmp_path, monk
     """One part more than cores, or a single one, leaves cores idle in every level of every tree."""
     cores, seen, fit = spark.sparkContext.defaultParallelism, [], ml.train
     monkeypatch.setattr(ml, "train", lambda df, *more: seen.append(df) or fit(df, *more))
-    fit_and_store(labelled.repartition(3 * cores), str(tmp_path), ml.BoostingSettings(trees=1, max_depth=2))
+    fit_and_store(labelled.repartition(3 * cores + 1), str(tmp_path), ml.BoostingSettings(trees=1, max_depth=2))
     sizes = seen[0].rdd.glom().map(len).collect()
     assert len(sizes) == cores and max(sizes) < 1.5 * sum(sizes) / cores
     parts = ml.stratified_split(labelled)
