@@ -55,16 +55,14 @@ def test_split_does_not_depend_on_partitions(labelled):
     assert first.exceptAll(second).isEmpty()
 
 
-def test_boosting_gets_equal_parts_for_all_cores(spark, labelled, tmp_path, monkeypatch):
-    """One part more than cores, or a single one, leaves cores idle in every level of every tree."""
-    cores, seen, fit = spark.sparkContext.defaultParallelism, [], ml.train
-    monkeypatch.setattr(ml, "train", lambda df, *more: seen.append(df) or fit(df, *more))
-    fit_and_store(labelled.repartition(3 * cores + 1), str(tmp_path), ml.BoostingSettings(trees=1, max_depth=2))
-    sizes = seen[0].rdd.glom().map(len).collect()
-    assert len(sizes) == cores and max(sizes) < 1.5 * sum(sizes) / cores
-    parts = ml.stratified_split(labelled)
-    assert sum(sizes) == parts[0].count()
-    assert seen[0].select("customer_id").exceptAll(parts[0].select("customer_id")).isEmpty()
+def test_rows_of_more_parts_than_cores_are_dealt_evenly(spark, labelled):
+    """With one part more than cores all cores but one wait; a smaller table stays as it is."""
+    cores = spark.sparkContext.defaultParallelism
+    many, few = labelled.repartition(2 * cores + 1), labelled.coalesce(1)
+    sizes = ml.evenly_dealt(many, many).select("customer_id").rdd.glom().map(len).collect()
+    assert len(sizes) == 3 * cores and sum(sizes) == labelled.count()
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert ml.evenly_dealt(few, few) is few
 
 
 def test_temporal_split(labelled):
