@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.llm.common import pieces, texts
 
-#: Entries of a worker's memos; a full memo is emptied and fills anew.
-MEMO = 1 << 19
+#: Entries of a worker's memos: of pieces, in each of two generations, and of pairs.
+MEMO, FITS = 1 << 17, 1 << 18
 #: Longer pieces are rare and not worth remembering.
 MEMO_PIECE = 64
 
@@ -89,15 +89,20 @@ class Codec:
         #: Length of the longest vocabulary path at the start of a text, and a token's rank.
         self.longest, self.rank_of = automaton.longest_prefix, spelled.get
         self.widest = max(map(len, spelled), default=0)
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: Pairs are numbers, the left rank times ``span`` and the right one: half as large as tuples.
+        self.fits: dict[int, bool] = {}
+        self.span = max(self.bytes_of, default=0) + 1
+        #: Pieces seen of late, and those before them: a full memo replaces the older one, so that
+        #: frequent pieces stay and the room is bounded.
         self.memo: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the merges of the two tokens' bytes end in exactly these two."""
-        if len(self.fits) >= MEMO:
+        if len(self.fits) >= FITS:
             self.fits.clear()
         fit = merge(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
-        self.fits[left, right] = fit
+        self.fits[left * self.span + right] = fit
         return fit
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -106,7 +111,7 @@ class Codec:
         if whole is not None:
             return [whole]
         spelled = piece.decode("latin-1")
-        size, fits, rank_of, longest = len(piece), self.fits, self.rank_of, self.longest
+        size, fits, rank_of, longest, span = len(piece), self.fits, self.rank_of, self.longest, self.span
         ids: list[int] = []
         trail: list[tuple[int, int]] = []  # start and length of each token
         failed = bytearray(size + 1)
@@ -116,7 +121,7 @@ class Codec:
                 rank = rank_of(spelled[at : at + length])
                 if rank is not None and not failed[at + length]:
                     if not ids or (
-                        fits[pair] if (pair := (ids[-1], rank)) in fits else self.follows(*pair)
+                        fits[pair] if (pair := ids[-1] * span + rank) in fits else self.follows(ids[-1], rank)
                     ):
                         break
                 length -= 1
@@ -135,9 +140,11 @@ class Codec:
         return ids
 
     def entry(self, piece: str) -> str:
-        found = " ".join(map(str, self.encode_piece(piece.encode())))
+        found = self.older.get(piece) or " ".join(map(str, self.encode_piece(piece.encode())))
         if len(piece) <= MEMO_PIECE:
             if len(self.memo) >= MEMO:
+                self.older.clear()
+                self.older.update(self.memo)
                 self.memo.clear()
             self.memo[piece] = found
         return found
@@ -191,19 +198,19 @@ def digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(given.value, pattern)
         for frame in pieces(frames):
-            ids = [codec.encode(t) for t in frame["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"],
-                    "n_tokens": [i.count(" ") + 1 if i else 0 for i in ids],
-                    "ids_sha256": [_sha256(i.encode()) for i in ids],
-                    "decoded_sha256": [_sha256(codec.decode(i)) for i in ids],
-                }
-            )
+            # one text's ids at a time are held
+            rows = [_digests(codec, codec.encode(t)) for t in frame["text"]]
+            found = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            found.insert(0, "doc_id", frame["doc_id"].array)
+            yield found
 
     return texts(docs).mapInPandas(run, DIGESTS)
 
 
+def _digests(codec: Codec, ids: str) -> tuple[int, str, str]:
+    return ids.count(" ") + 1 if ids else 0, _sha256(ids.encode()), _sha256(codec.decode(ids))
+
+
 def _sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

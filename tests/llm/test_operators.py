@@ -49,6 +49,17 @@ def test_bpe_encode_then_decode_gives_the_bytes(spark):
     assert back == {r.doc_id: (r.text or "").encode() for r in docs.collect()}
 
 
+def test_bpe_memos_stay_small_and_keep_frequent_pieces():
+    ours = codec()
+    often = " zyxqwvut"
+    for at in range(0, 300_000, 5_000):
+        ours.encode(often + "".join(f" k{n:x}q" for n in range(at, at + 5_000)))
+        assert often in ours.memo or often in ours.older
+    held = [len(k) + len(v) for memo in (ours.memo, ours.older) for k, v in memo.items()]
+    assert 0 < len(held) <= 2 * bpe.MEMO <= 1 << 18 and len(ours.fits) <= bpe.FITS
+    assert all(isinstance(pair, int) for pair in ours.fits)
+
+
 # --- components and SimHash
 
 def union_find(edges):
