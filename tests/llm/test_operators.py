@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -194,6 +195,82 @@ def test_equal_lines_of_few_words_go_but_not_the_shortest(spark):
     assert {r.doc_id: r.text for r in found} == {0: rows[0][1], 1: "yes\n今天", 2: "yes\n今天"}
 
 
+def test_the_sample_of_rarity_changes_no_result(spark, monkeypatch):
+    """Any order of the word pairs finds the same groups: counts only decide how many forms meet."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    texts = [rng.choices(words, k=rng.randrange(5, 40)) for _ in range(60)]
+    for base in texts[:60]:
+        other = list(base)
+        other[rng.randrange(len(base))] = "x"
+        texts.append(other)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = []
+    for counts in (None, np.zeros(lines.PAIRS + lines.WORDS, np.uint16),
+                   np.random.default_rng(0).integers(0, 1 << 16, lines.PAIRS + lines.WORDS).astype(np.uint16)):
+        if counts is not None:
+            monkeypatch.setattr(lines, "sample_counts", lambda docs, counts=counts: counts)
+        found.append(sorted(map(tuple, lines.removed(docs, Store(spark)).collect()), key=str))
+    assert found[0] == found[1] == found[2] and sum(r[2] for r in found[0]) > 20
+
+
+def test_word_pairs_without_a_fitting_partner_stay_behind():
+    rng = np.random.default_rng(4)
+    pairs = np.concatenate([rng.integers(-200, 200, 800), np.full(150, 7)]).astype(np.int32)
+    words = rng.integers(5, 90, len(pairs)).astype(np.int32)
+    places = (rng.random(len(pairs)) * (words - 1)).astype(np.int32)
+    places[rng.random(len(pairs)) < 0.05] = -1
+    wanted = set()
+    for i in range(len(pairs)):
+        for j in range(i):
+            n, m, a, b = words[i], words[j], places[i], places[j]
+            most = lines.most_edits(max(n, m), 0.8)
+            if pairs[i] == pairs[j] and abs(n - m) <= most and (min(a, b) < 0 or abs(a - b) + abs((n - a) - (m - b)) <= most):
+                wanted |= {i, j}
+    found = lines.partnered(pairs, words, places, 0.8).tolist()
+    assert len(set(found)) == len(found) and wanted <= set(found) and len(found) < len(pairs)
+    few = [i for i in found if pairs[i] != 7]
+    assert set(few) == {i for i in wanted if pairs[i] != 7}
+    assert not len(lines.partnered(pairs[:0], words[:0], places[:0], 0.8))
+
+
+def test_long_lines_of_the_same_words_are_not_compared(spark, monkeypatch):
+    """Each line has a rare pair of every other one, and 150 words of one small vocabulary."""
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(60):
+        text = rng.choices(words, k=150)
+        for n in range(12):
+            at = rng.randrange(149)
+            text[at : at + 2] = [f"rare{n}", "pair"]
+        texts.append(" ".join(text))
+    compared, put = [], Store.put
+
+    def counting(store, df, name, **measures):
+        out = put(store, df, name, **measures)
+        compared.extend([out.measured["rows"]] * (name == "pairs"))
+        return out
+
+    monkeypatch.setattr(Store, "put", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not any(r.n_removed for r in lines.removed(docs, Store(spark)).collect())
+    assert sum(compared) < 60
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    for _ in range(3):
+        Store(spark).put(spark.range(1000).repartition(7, "id"), "dealt")
+    held = blocks.getAllFiles().size()
+    Store(spark).put(spark.range(100_000).repartition(7, "id"), "dealt")
+    for _ in range(50):
+        if blocks.getAllFiles().size() <= held:
+            break
+        time.sleep(0.1)
+    assert blocks.getAllFiles().size() <= held
+
+
 # --- toxicity
 
 def test_segments_equal_the_recursive_definition():
