@@ -446,6 +446,24 @@ def test_texts_far_apart_in_a_bucket_are_linked(spark):
     assert {(r.doc_id, r.class_id) for r in found} == wanted | {(500, 0)}
 
 
+def test_texts_linked_by_one_passage_meet_at_another(spark):
+    """Between the two texts that share both passages stand six that have a part of the second one."""
+    random.seed(14)
+    fresh = lambda n: [f"w{random.randrange(10**9)}" for _ in range(n)]
+    rows, wanted = [], set()
+    for i in range(0, 200, 10):
+        one, two = fresh(60), fresh(60)
+        rows += [(i + k, " ".join(one + fresh(80 + 40 * k) + two + fresh(20))) for k in (0, 7)]
+        rows += [(i + k, " ".join(fresh(20) + two[:40] + fresh(40))) for k in range(1, 7)]
+        wanted |= {(i + 7, i, 0, 0), (i + 7, i, 420, 140)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substrings.repeats(docs, Store(spark)).collect()
+    # chains may have told a part of the second passage already
+    assert wanted <= {(r.doc_id, r.partner, r.first_word, r.partner_first) for r in found}
+    assert {(r.doc_id, r.partner, r.first_word - r.partner_first) for r in found} == {(a, b, c - d) for a, b, c, d in wanted}
+    assert {r.class_id for r in found} == set(range(0, 200, 10))
+
+
 # --- shards and quality
 
 def test_items_larger_than_a_share_do_not_empty_other_shards():
